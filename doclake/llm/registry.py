@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from doclake.llm.bpe import op9_bpe
+from doclake.llm.packing import op3_packing
 from doclake.llm.substring_dedup import op1_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_packing": op3_packing,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}

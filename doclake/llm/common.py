@@ -158,3 +158,24 @@ def to_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             yield pa.record_batch({"chunk": pa.array([part + i], pa.int64()), "blob": pa.array([_squeeze(ids, texts)], pa.binary())})
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(pack, "chunk long, blob binary").repartition("chunk")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder that spark.checkpoint.dir names; a temporary one where it is unset."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        import tempfile
+
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
+def distinct_sums(codes: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes with their counts, added to those counted before."""
+    values, n = np.unique(codes, return_counts=True)
+    if held is None:
+        return values, n
+    all_values, back = np.unique(np.concatenate([held[0], values]), return_inverse=True)
+    total = np.zeros(len(all_values), dtype=np.int64)
+    np.add.at(total, back, np.concatenate([held[1], n]))
+    return all_values, total

@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from doclake.llm.bpe import op9_bpe
+from doclake.llm.chat import OP7_SQL, op7_chat
+from doclake.llm.lm_score import op4_lm_score
 from doclake.llm.packing import op3_packing
+from doclake.llm.quality import op10_quality
 from doclake.llm.substring_dedup import op1_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_packing": op3_packing,
+    "op4_lm_score": op4_lm_score,
+    "op7_chat": op7_chat,
     "op9_bpe": op9_bpe,
+    "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_chat": OP7_SQL}

@@ -146,7 +146,8 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         .withColumn("nth", F.row_number().over(same.orderBy("chunk")))
         .where("total > 0")
     )
-    sums = known.where("nth = 1").agg(F.struct(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count("*").alias("v")).alias("s")).scalar()
+    # The sums read every column that the answers do, so both use one exchange.
+    sums = known.where("nth = 1 and place >= -1").agg(F.struct(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count("*").alias("v")).alias("s")).scalar()
     answers = known.groupBy("chunk").agg(F.collect_list(F.struct("place", "total")).alias("found"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

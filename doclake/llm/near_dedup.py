@@ -9,11 +9,12 @@ a band are compared on their full sets.
 No pairs are made within a group.  Documents of one set are one class.  In a
 band, every class is compared with the band's first one; the confirmed links
 give components.  Where a band still holds several components, the members
-outside the largest are compared with those of other components, so each pair
-that shares a band is either compared or joined already.
+outside the largest (strays) are compared with those of other components, so
+each pair that shares a band is either compared or joined already.  In large
+bands this is done block by block, without a row for each pair.
 
-A link of similarity 0.8 shares none of the 40 bands of 5 bins with a
-probability of 1.2e-7.
+A link of similarity 0.8 shares none of the 68 bands of 7 bins with a
+probability of 1.1e-7; one of 0.3 shares one with a probability of 1.5 %.
 
 Nulls: a null or empty text has an empty set and is linked with nothing.  Ids
 should be unique and not null; repeated ids are judged on their united rows'
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from doclake.llm import common
 
-BINS, BAND = 200, 5
+BINS, BAND = 476, 7
+#: Comparisons from which a band is compared in blocks, and the members of a block.
+LARGE, BLOCK = 2000, 1000
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -116,6 +119,51 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return with_both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
+def _large_bands(mixed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of strays and members of other components that seem similar, on sets folded to 32 bits.
+
+    A band's strays and members are dealt to blocks, and each pair of blocks is
+    one small task.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in common.text_groups(batches):
+            sets = [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in shingle_sets(texts, width)]
+            yield pa.record_batch({"id": pa.array(ids, pa.int64()), "s": pa.array(sets, pa.binary())})
+
+    def compare(rows: pa.Table) -> pa.Table:
+        ids, c = rows["id"].to_numpy(), rows["c"].to_numpy()
+        side = rows["as_stray"].to_numpy(zero_copy_only=False).astype(bool)
+        sets = [np.frombuffer(x, np.uint32) for x in rows["s"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        _, back = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.concatenate([[0], np.cumsum(size)])
+        members = np.flatnonzero(~side)
+        of = np.concatenate([back[at[i] : at[i + 1]] for i in members]) if len(members) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(members)), size[members])
+        mark = np.zeros(len(back) + 1, dtype=bool)
+        a, b = [], []
+        for x in np.flatnonzero(side):
+            own = back[at[x] : at[x + 1]]
+            mark[own] = True
+            n = np.bincount(owner[mark[of]], minlength=len(members))
+            mark[own] = False
+            near = members[(100 * n >= (percent - 2) * (size[members] + size[x] - n)) & (c[members] != c[x])]
+            a.append(np.minimum(ids[near], ids[x]))
+            b.append(np.maximum(ids[near], ids[x]))
+        found = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)]
+        return pa.table({"a": found[0], "b": found[1]})
+
+    sets = docs.join(mixed.select("id").distinct(), "id", "left_semi").mapInArrow(fold, "id long, s binary")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    columns = ["band", "id", "c"]
+    strays = mixed.where("stray").select(*columns, F.lit(True).alias("as_stray"), deal(F.col("strays")).alias("p"), each(F.col("m")).alias("q"))
+    members = mixed.select(*columns, F.lit(False).alias("as_stray"), each(F.col("strays")).alias("p"), deal(F.col("m")).alias("q"))
+    return strays.unionByName(members).join(sets, "id").groupBy("band", "p", "q").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept): one row a document; kept is its component's smallest id."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -142,19 +190,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     classes = common.checkpointed(classes)
     banded = classes.select(F.explode("bands").alias("band"), F.col("class").alias("id"))
     of_band = Window.partitionBy("band")
-    first = banded.withColumn("a", F.min("id").over(of_band)).where("a < id")
-    stars = common.checkpointed(first.select("a", F.col("id").alias("b")).distinct())
+    shared = banded.withColumn("m", F.count("*").over(of_band)).withColumn("a", F.min("id").over(of_band)).where("m > 1")
+    shared = common.checkpointed(shared)
+    stars = common.checkpointed(shared.where("a < id").select("a", F.col("id").alias("b")).distinct())
     links = common.checkpointed(_confirm(stars, texts, width, percent))
     known = components(links)
     # Bands that still hold several components.
-    shared = banded.join(banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band", "left_semi")
-    labelled = shared.join(known, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    sizes = labelled.groupBy("band", "c").agg(F.count("*").alias("m")).groupBy("band").agg(F.count("*").alias("parts"), F.max_by("c", "m").alias("main"))
-    mixed = common.checkpointed(labelled.join(sizes.where("parts > 1"), "band").select("band", "id", "c", "main"))
-    stray = mixed.where("c <> main").select("band", F.col("id").alias("x"), F.col("c").alias("cx"))
-    other = mixed.select("band", F.col("id").alias("y"), F.col("c").alias("cy"), (F.col("c") == F.col("main")).alias("in_main"))
-    crossed = stray.join(other, "band").where("cx <> cy and (in_main or x < y)")
-    pairs = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    labelled = shared.join(known, "id", "left").select("band", "id", "m", F.coalesce("component", "id").alias("c"))
+    sizes = labelled.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.max_by("c", "n").alias("main"), (F.sum("n") - F.max("n")).alias("strays"))
+    mixed = labelled.join(sizes.where("parts > 1"), "band").withColumn("stray", F.col("c") != F.col("main"))
+    mixed = common.checkpointed(mixed.drop("main", "parts"))
+    large = F.col("m") * F.col("strays") >= LARGE
+    few = mixed.where(~large)
+    other = few.select("band", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("stray").alias("y_stray"))
+    crossed = few.where("stray").select("band", F.col("id").alias("x"), F.col("c").alias("cx")).join(other, "band").where("cx <> cy and (not y_stray or x < y)")
+    pairs = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = pairs.unionByName(_large_bands(mixed.where(large), texts, width, percent)).distinct().join(stars, ["a", "b"], "left_anti")
     more = common.checkpointed(_confirm(common.checkpointed(pairs), texts, width, percent))
     final = known if more.isEmpty() else components(links.unionByName(more))
     named = described.select("id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "class"), ["n", "h1", "h2"], "left")

@@ -9,6 +9,7 @@ makes at most one row a chunk, and answers return to the chunk, not to a key.
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -160,16 +161,29 @@ def to_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(pack, "chunk long, blob binary").repartition("chunk")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names; a temporary one where it is unset."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one where it is unset."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         import tempfile
 
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def distinct_sums(codes: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes with their counts, added to those counted before."""
     values, n = np.unique(codes, return_counts=True)

@@ -8,15 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from doclake.llm.bpe import op9_bpe
 from doclake.llm.chat import OP7_SQL, op7_chat
+from doclake.llm.html_extract import op6_html
 from doclake.llm.lm_score import op4_lm_score
+from doclake.llm.near_dedup import op5_near_dedup
 from doclake.llm.packing import op3_packing
+from doclake.llm.pii import op2_pii
 from doclake.llm.quality import op10_quality
 from doclake.llm.substring_dedup import op1_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op4_lm_score": op4_lm_score,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_html": op6_html,
     "op7_chat": op7_chat,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,

@@ -34,7 +34,7 @@ from doclake.llm import common
 
 BINS, BAND = 476, 7
 #: Comparisons from which a band is compared in blocks, and the members of a block.
-LARGE, BLOCK = 2000, 1000
+LARGE, BLOCK = 300, 1000
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:

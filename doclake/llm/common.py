@@ -193,3 +193,14 @@ def distinct_sums(codes: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None)
     total = np.zeros(len(all_values), dtype=np.int64)
     np.add.at(total, back, np.concatenate([held[1], n]))
     return all_values, total
+
+
+def thinned(df: DataFrame, column: str, rows: int) -> DataFrame:
+    """About ``rows`` rows to train on, by a hash of a column, so that their number is bounded; all if there are fewer."""
+    every = max(1, df.count() // rows)
+    return df.where(F.pmod(F.xxhash64(column), F.lit(every)) == 0)
+
+
+def least_hashes(df: DataFrame, column: str, rows: int) -> DataFrame:
+    """The ``rows`` rows of least hash among some that were chosen by hash."""
+    return thinned(df, column, 4 * rows).orderBy(F.xxhash64(column), column).limit(rows)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from doclake.llm.audio import op8_audio
 from doclake.llm.bpe import op9_bpe
 from doclake.llm.chat import OP7_SQL, op7_chat
 from doclake.llm.html_extract import op6_html
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": op5_near_dedup,
     "op6_html": op6_html,
     "op7_chat": op7_chat,
+    "op8_audio": op8_audio,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
 }

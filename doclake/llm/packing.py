@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +32,8 @@ WORD_BPE = "word_bpe_49k.json"
 DIMS, BITS = 4, 12
 #: Words that a worker's lookup holds before it starts afresh.
 CACHE_ENTRIES = 300_000
+#: What marks a piece's last token in the public vocabulary (fixed value), and words looked up at a time.
+WORD_END, RUN = "</w>", 200
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _TAIL = re.compile(r"^([^\W\d_]+)([!-/:-@\[-`{-~]+)$")
@@ -73,8 +74,9 @@ def curve_keys(texts: list[bytes]) -> np.ndarray:
     first = np.searchsorted(start, at)
     count = np.diff(first)
     points = np.empty((len(texts), DIMS), dtype=np.int64)
-    for d in range(DIMS):
-        side = (common.mix(words, d + 11) >> np.uint64(11)).astype(np.float64) * 2.0**-52 - 1
+    mixed = common.mix(words, 11)
+    for d in range(DIMS):  # each dimension's weight is a quarter of the hash
+        side = (mixed >> np.uint64(16 * d) & np.uint64(0xFFFF)).astype(np.float64) * 2.0**-15 - 1
         total = np.concatenate([[0.0], np.cumsum(side)])
         mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(count, 1)
         # Means lie near 0; the square root spreads them over the grid.
@@ -94,6 +96,9 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(1 + max(vocab.values()), dtype=bool)  # ids that end a piece
+        self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -111,6 +116,31 @@ class _Words(dict):
             self[word] = value
         return value
 
+    def learn(self, texts: list[str]) -> None:
+        """Look up the new words of texts in runs, as a call for each word costs twice the time."""
+        distinct: set[str] = set()
+        for text in texts:
+            distinct.update(text.split())
+        if len(self) + len(distinct) > CACHE_ENTRIES:
+            self.clear()
+        new = set()
+        for word in distinct.difference(self):
+            small = word.lower() if word.isascii() else word
+            if not small.isalpha() and (tail := _TAIL.match(small)):
+                small = tail[1]
+            if len(small) <= 64 and small.isalpha() and small not in self:
+                new.add(small)
+        words = list(new)
+        for i in range(0, len(words), RUN):
+            run = words[i : i + RUN]
+            ids = np.array(self.tokenizer.encode(" ".join(run), add_special_tokens=False).ids, dtype="<u4")
+            to = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+            if len(to) == len(run):  # each word is one piece; otherwise they are looked up one by one
+                data, at = ids.tobytes(), 0
+                for word, end in zip(run, (4 * to).tolist(), strict=True):
+                    self[word] = data[at:end]
+                    at = end
+
     def encode(self, text: str) -> bytes:
         # No piece crosses white space, so words are encoded apart.
         return self.whole(text) if _SEPARATORS.search(text) else b"".join(map(self.__getitem__, text.split()))
@@ -128,18 +158,11 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     tokenizers file that every executor has.
     """
 
-    @F.pandas_udf("long")
-    def place(texts: pd.Series) -> pd.Series:
-        out, group, size = [], [], 0
-        for t in texts:
-            group.append((t or "").encode())
-            size += len(group[-1])
-            if size >= common.CHUNK_BYTES:
-                out.append(curve_keys(group))
-                group, size = [], 0
-        if group:
-            out.append(curve_keys(group))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, np.int64))
+    @F.arrow_udf("long")
+    def place(texts: pa.Array) -> pa.Array:
+        rows = pa.record_batch({"i": pa.nulls(len(texts), pa.int64()), "text": texts})
+        keys = [curve_keys(group) for _, group in common.text_groups([rows])]
+        return pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -150,8 +173,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
         waiting: list[tuple] = []  # pieces of the sequence that is not full
         for batch in batches:
             done: list[tuple] = []
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.encode(t or "") + end
+            docs_, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            words.learn(texts)
+            for doc, t in zip(docs_, texts, strict=True):
+                ids = words.encode(t) + end
                 total, at = len(ids) // 4, 0
                 while at < total:
                     n = min(total - at, length - filled)
@@ -182,10 +207,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         return pa.record_batch([pa.array(x, k) for x, k in zip((doc, at, n, ids, total, sequence, offset), kinds, strict=True)], names=[key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
+    # The range borders come from a first pass over the keys, so these are written, not computed twice.
+    placed = common.written(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).withColumn("place", place("text")))
     ordered = (
-        docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text"))
-        .withColumn("place", place("text"))
-        .repartitionByRange("place", key)
+        placed.repartitionByRange("place", key)
         .sortWithinPartitions("place", key, "text")
         .select(key, "text")
     )

@@ -217,3 +217,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     return near_duplicates(common.table(spark, sf_dir, "documents"), width=2)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS pos FROM low),
+two AS (SELECT doc_id, pos, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM words),
+sets AS (SELECT DISTINCT doc_id, CASE WHEN after IS NULL THEN word ELSE word || ' ' || after END AS s FROM two WHERE after IS NOT NULL OR pos = 1),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+arcs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, other) AS (SELECT a, b FROM arcs UNION SELECT r.id, l.b FROM reach r JOIN arcs l ON l.a = r.other),
+least_id AS (SELECT id, min(other) AS m FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, component_id = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN least_id l ON l.id = d.doc_id
+"""

@@ -11,11 +11,11 @@ from doclake.llm.bpe import op9_bpe
 from doclake.llm.chat import OP7_SQL, op7_chat
 from doclake.llm.html_extract import op6_html
 from doclake.llm.lm_score import op4_lm_score
-from doclake.llm.near_dedup import op5_near_dedup
+from doclake.llm.near_dedup import OP5_SQL, op5_near_dedup
 from doclake.llm.packing import op3_packing
 from doclake.llm.pii import op2_pii
 from doclake.llm.quality import op10_quality
-from doclake.llm.substring_dedup import op1_substring_dedup
+from doclake.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_chat": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op7_chat": OP7_SQL}

@@ -144,3 +144,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     out = substring_dedup(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS pos FROM documents),
+runs AS (SELECT doc_id, pos, word, CASE WHEN count(*) OVER w = 35 THEN md5(string_agg(word, ' ') OVER w) END AS h FROM t
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+hits AS (SELECT doc_id, pos, word, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS hit FROM runs),
+marked AS (SELECT doc_id, pos, word, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM hits)
+SELECT d.doc_id, count(word) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY 1
+"""

@@ -53,9 +53,18 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int, metric: str = "l2sq", m
 
 
 def _knn_arrow(questions: DataFrame, chunks: DataFrame, k: int, metric: str) -> DataFrame:
-    if questions.count() > BLOCK:
-        raise ValueError(f"the arrow method takes {BLOCK} questions at most")
-    rows = questions.select("qid", "embedding").collect()
+    """Distances by matrix products, one block of questions at a time."""
+    n = max(1, -(-questions.count() // BLOCK))
+    found = None
+    for i in range(n):
+        block = questions.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i).select("qid", "embedding")
+        hits = _block_arrow(block, chunks, k, metric)
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _block_arrow(questions: DataFrame, chunks: DataFrame, k: int, metric: str) -> DataFrame:
+    rows = questions.collect()  # about BLOCK rows
     ids, vectors = np.array([r.qid for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclake.functions import scalars as S
@@ -101,9 +101,14 @@ def hashed_terms(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame
     return df.select(key, F.explode(S.terms(F.col(text))).alias("term")).groupBy(key, place.alias("dim")).agg(F.count("*").alias("n"))
 
 
-def top_concepts(docs: DataFrame, n: int = 15, max_chars: int = 6000) -> DataFrame:
+def _start(text: str, max_chars: int | None) -> Column:
+    """The first characters of a text; all of it by default."""
+    return F.col(text) if max_chars is None else S.truncate(F.col(text), max_chars)
+
+
+def top_concepts(docs: DataFrame, n: int = 15, max_chars: int | None = None) -> DataFrame:
     """(doc_id, term, weight, rank): terms of highest tf-idf; ties by term."""
-    tf = docs.select("doc_id", F.explode(S.terms(S.truncate(F.col("full_text"), max_chars))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    tf = docs.select("doc_id", F.explode(S.terms(_start("full_text", max_chars))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*")).scalar()
     weight = F.round(F.col("tf") * F.ln((total + 1) / (F.col("df") + 1)), 6)
@@ -117,9 +122,9 @@ def shared_concepts(concepts: DataFrame) -> DataFrame:
     return found.withColumn("n", F.size("found_in")).filter("n >= 2").orderBy(F.desc("n"), "concept")
 
 
-def compare_terms(pairs: DataFrame, docs: DataFrame, max_chars: int = 8000) -> DataFrame:
+def compare_terms(pairs: DataFrame, docs: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Terms that both, only b or only a of (a, b) hold, and their overlap in percent."""
-    own = docs.select("doc_id", F.array_distinct(S.terms(S.truncate(F.col("full_text"), max_chars))).alias("t"))
+    own = docs.select("doc_id", F.array_distinct(S.terms(_start("full_text", max_chars))).alias("t"))
     both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
     union = F.size(F.array_union("ta", "tb"))
     share = F.when(union == 0, 0.0).otherwise(F.round(100 * F.size(F.array_intersect("ta", "tb")) / union, 1))
@@ -129,10 +134,10 @@ def compare_terms(pairs: DataFrame, docs: DataFrame, max_chars: int = 8000) -> D
     )
 
 
-def extractive_summary(docs: DataFrame, n: int = 3, max_chars: int = 12000, topics: int = 15) -> DataFrame:
+def extractive_summary(docs: DataFrame, n: int = 3, max_chars: int | None = None, topics: int = 15) -> DataFrame:
     """(doc_id, summary): the n sentences of highest mean concept weight, in text order."""
     weights = top_concepts(docs, topics, max_chars).select("doc_id", "term", "weight")
-    sentences = docs.select("doc_id", F.posexplode(F.split(S.truncate(F.col("full_text"), max_chars), r"[.!?\n]+")).alias("pos", "s")).withColumn("s", F.trim("s")).filter("s <> ''")
+    sentences = docs.select("doc_id", F.posexplode(F.split(_start("full_text", max_chars), r"[.!?\n]+")).alias("pos", "s")).withColumn("s", F.trim("s")).filter("s <> ''")
     scored = sentences.select("doc_id", "pos", "s", F.explode_outer(S.terms(F.col("s"))).alias("term")).join(weights, ["doc_id", "term"], "left")
     mean = scored.groupBy("doc_id", "pos", "s").agg(F.round(F.avg(F.coalesce("weight", F.lit(0.0))), 6).alias("w"))
     best = Window.partitionBy("doc_id").orderBy(F.desc("w"), "pos")

@@ -23,7 +23,7 @@ docs AS (SELECT doc_id, source AS filename, source AS file_path, text AS full_te
   CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 40) END AS summary FROM documents),
 chunks AS (SELECT vec_id AS chunk_id, doc_id, '/in/' || source || '.txt' AS source, CASE WHEN vec_id % 4 > 0 THEN CAST(vec_id % 7 AS INTEGER) END AS page, text AS content, embedding
   FROM embeddings JOIN documents ON vec_id = doc_id),
-questions AS (SELECT vec_id AS qid, substr(text, 1, 80) AS question, embedding FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id < 5),
+questions AS (SELECT vec_id AS qid, text AS question, embedding FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % 50 = 0),
 collections AS (SELECT label AS collection_id, 'c' || label AS name, TIMESTAMP '2024-01-01' + to_days(label) AS created_at FROM (SELECT DISTINCT label FROM embeddings)),
 members AS (SELECT label AS collection_id, vec_id AS doc_id, vec_id AS position FROM embeddings),
 history AS (SELECT * FROM (SELECT conv_id || '-' || turn AS id, TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS timestamp, conv_id, text AS question,
@@ -39,8 +39,8 @@ stripped AS (SELECT *, regexp_replace(regexp_replace(content, '^[\t-\r\x1c-\x20\
 firsts AS (SELECT *, row_number() OVER (PARTITION BY qid, k ORDER BY rank) AS nth FROM stripped),
 kept AS (SELECT * FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank FROM firsts WHERE nth = 1) WHERE rank <= 4),
 conf AS (SELECT *, round_even(greatest(0, least(1, 1 - distance / 2)) * 100, 1) AS confidence FROM kept),
-terms6 AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(substr(full_text, 1, 6000)), '[^\p{L}]+'), lambda x: length(x) > 3)) AS term FROM docs),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM terms6 GROUP BY ALL),
+all_terms AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(full_text), '[^\p{L}]+'), lambda x: length(x) > 3)) AS term FROM docs),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM all_terms GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
 weighted AS (SELECT doc_id, term, round(tf * ln(((SELECT count(*) FROM docs) + 1) / (df + 1)), 6) AS weight FROM tf JOIN df USING (term)),
 concepts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rank FROM weighted) WHERE rank <= 15)
@@ -60,7 +60,7 @@ def fixtures(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
         F.col("vec_id").alias("chunk_id"), "doc_id", F.concat(F.lit("/in/"), "source", F.lit(".txt")).alias("source"),
         F.when(F.col("vec_id") % 4 > 0, (F.col("vec_id") % 7).cast("int")).alias("page"), F.col("text").alias("content"), "embedding",
     )
-    questions = joined.filter("vec_id < 5").select(F.col("vec_id").alias("qid"), F.substring("text", 1, 80).alias("question"), "embedding")
+    questions = joined.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("text").alias("question"), "embedding")
     collections = vectors.select("label").distinct().select(F.col("label").alias("collection_id"), F.concat(F.lit("c"), "label").alias("name"), F.expr(f"{start} + make_dt_interval(label)").alias("created_at"))
     members = vectors.select(F.col("label").alias("collection_id"), F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("position"))
     turns = Window.partitionBy("conv_id").orderBy("turn")
@@ -71,7 +71,7 @@ def fixtures(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
         F.coalesce(F.transform("s", lambda x: F.struct(x["source"].alias("source"))), F.expr("cast(array() as array<struct<source:string>>)")).alias("context"),
     )
     pairs = raw.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
-    return SimpleNamespace(raw=raw, docs=docs, chunks=chunks, questions=questions, collections=collections, members=members, history=history, pairs=pairs)
+    return SimpleNamespace(raw=raw, turns=read("conversations"), docs=docs, chunks=chunks, questions=questions, collections=collections, members=members, history=history, pairs=pairs)
 
 
 def _kept(f: SimpleNamespace) -> tuple[DataFrame, DataFrame]:
@@ -99,8 +99,8 @@ Rows = Callable[[SimpleNamespace], DataFrame]
 #: name -> (rows, SQL after the fixtures' WITH).
 TABLE: dict[str, tuple[Rows, str | None]] = {
     "a4_assemble_full_text": (
-        lambda f: X.assemble_full_text(f.raw.select("source", F.col("doc_id").alias("page"), F.substring("text", 1, 50).alias("text"))),
-        "SELECT source, string_agg(substr(text, 1, 50), chr(10) || chr(10) ORDER BY doc_id) AS full_text FROM documents GROUP BY source",
+        lambda f: X.assemble_full_text(f.turns.select(F.col("conv_id").alias("source"), F.col("turn").alias("page"), "text")),
+        "SELECT conv_id AS source, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS full_text FROM conversations GROUP BY 1",
     ),
     "p1_get_document": (lambda f: K.get_document(f.docs, 7).select("doc_id", "filename", "full_text"), "SELECT doc_id, filename, full_text FROM docs WHERE doc_id = 7"),
     "p2_light_documents": (lambda f: K.light_documents(f.docs).withColumn("uploaded_at", F.col("uploaded_at").cast("string")), "SELECT doc_id, filename, file_path, CAST(uploaded_at AS VARCHAR) AS uploaded_at, summary FROM docs"),
@@ -177,11 +177,11 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
     ),
     "g3_compare_terms": (
         lambda f: X.compare_terms(f.pairs, f.docs).select("a", "b", F.size("matching_points").alias("both"), F.size("missing_in_a").alias("only_b"), F.size("missing_in_b").alias("only_a"), "overall_match_percent"),
-        r"WITH_MORE own AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(substr(full_text, 1, 8000)), '[^\p{L}]+'), lambda x: length(x) > 3)) AS t FROM docs), s AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS na, len(b.t) AS nb FROM own a JOIN own b ON b.doc_id = a.doc_id + 1) SELECT a, b, CAST(i AS INTEGER) AS both, CAST(nb - i AS INTEGER) AS only_b, CAST(na - i AS INTEGER) AS only_a, CASE WHEN na + nb = 0 THEN 0.0 ELSE round(100 * i / (na + nb - i), 1) END AS overall_match_percent FROM s",
+        r"WITH_MORE own AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(full_text), '[^\p{L}]+'), lambda x: length(x) > 3)) AS t FROM docs), s AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS na, len(b.t) AS nb FROM own a JOIN own b ON b.doc_id = a.doc_id + 1) SELECT a, b, CAST(i AS INTEGER) AS both, CAST(nb - i AS INTEGER) AS only_b, CAST(na - i AS INTEGER) AS only_a, CASE WHEN na + nb = 0 THEN 0.0 ELSE round(100 * i / (na + nb - i), 1) END AS overall_match_percent FROM s",
     ),
     "g4_extractive_summary": (
         lambda f: X.extractive_summary(f.docs),
-        r"WITH_MORE t12 AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(substr(full_text, 1, 12000)), '[^\p{L}]+'), lambda x: length(x) > 3)) AS term FROM docs), tf12 AS (SELECT doc_id, term, count(*) AS tf FROM t12 GROUP BY ALL), df12 AS (SELECT term, count(*) AS df FROM tf12 GROUP BY ALL), w12 AS (SELECT doc_id, term, round(tf * ln(((SELECT count(*) FROM docs) + 1) / (df + 1)), 6) AS weight FROM tf12 JOIN df12 USING (term)), c12 AS (SELECT * FROM w12 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 15), parts AS (SELECT doc_id, regexp_split_to_array(substr(full_text, 1, 12000), '[.!?\n]+') AS p FROM docs), sent0 AS (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS s FROM parts), sent AS (SELECT doc_id, pos, trim(s, ' ') AS s FROM sent0 WHERE trim(s, ' ') <> ''), st AS (SELECT doc_id, pos, s, list_filter(regexp_split_to_array(lower(s), '[^\p{L}]+'), lambda x: length(x) > 3) AS ts FROM sent), m AS (SELECT doc_id, pos, s, round(avg(coalesce(weight, 0)), 6) AS w FROM (SELECT doc_id, pos, s, unnest(CASE WHEN len(ts) = 0 THEN ['?'] ELSE ts END) AS term FROM st) LEFT JOIN c12 USING (doc_id, term) GROUP BY ALL), best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, pos) <= 3) SELECT doc_id, string_agg(s, '. ' ORDER BY pos) AS summary FROM best GROUP BY 1",
+        r"WITH_MORE t12 AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(full_text), '[^\p{L}]+'), lambda x: length(x) > 3)) AS term FROM docs), tf12 AS (SELECT doc_id, term, count(*) AS tf FROM t12 GROUP BY ALL), df12 AS (SELECT term, count(*) AS df FROM tf12 GROUP BY ALL), w12 AS (SELECT doc_id, term, round(tf * ln(((SELECT count(*) FROM docs) + 1) / (df + 1)), 6) AS weight FROM tf12 JOIN df12 USING (term)), c12 AS (SELECT * FROM w12 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 15), parts AS (SELECT doc_id, regexp_split_to_array(full_text, '[.!?\n]+') AS p FROM docs), sent0 AS (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS s FROM parts), sent AS (SELECT doc_id, pos, trim(s, ' ') AS s FROM sent0 WHERE trim(s, ' ') <> ''), st AS (SELECT doc_id, pos, s, list_filter(regexp_split_to_array(lower(s), '[^\p{L}]+'), lambda x: length(x) > 3) AS ts FROM sent), m AS (SELECT doc_id, pos, s, round(avg(coalesce(weight, 0)), 6) AS w FROM (SELECT doc_id, pos, s, unnest(CASE WHEN len(ts) = 0 THEN ['?'] ELSE ts END) AS term FROM st) LEFT JOIN c12 USING (doc_id, term) GROUP BY ALL), best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, pos) <= 3) SELECT doc_id, string_agg(s, '. ' ORDER BY pos) AS summary FROM best GROUP BY 1",
     ),
     "g5_concept_questions": (
         lambda f: _sets(X.concept_questions(X.top_concepts(f.docs)), "questions"),

@@ -155,7 +155,7 @@ def test_model_tasks(spark):
 def test_answers(spark):
     f = plans.fixtures(spark, DATA)
     answers, history = tasks.answer_questions(f.questions, f.chunks, respond, now())
-    assert {r.success for r in answers.collect()} == {True} and history.count() == 5
+    assert {r.success for r in answers.collect()} == {True} and history.count() == f.questions.count() > 0
 
 
 def test_files_and_stores(spark, tmp_path):

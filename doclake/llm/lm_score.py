@@ -4,9 +4,10 @@ Training documents give a trie of byte contexts up to three bytes long.  At
 each context, a symbol seen there gets count / (total + distinct); the rest of
 the probability escapes to the next shorter context, where symbols already
 seen in the longer ones are excluded, and at last to all other bytes alike.
-The trie's answers are laid out as rows of 256 code lengths, one row a context:
-65,536 contexts of three bytes at most (the most frequent; the others use two
-bytes), so the broadcast is bounded by 135 MB whatever the corpus.
+The counts of contexts up to two bytes are broadcast; there are 65,793 of them
+at most, so counts and code lengths are bounded by 135 MB whatever the corpus.
+All three-byte contexts stay in a table that grows with the corpus: each chunk
+of documents asks once for each of its contexts, with the symbols it needs.
 
 Beside it, each document gets the smoothed unigram score of its words.  Word
 counts are asked for once per chunk of documents and distinct word, so no
@@ -23,15 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclake.llm import common
 
-#: Contexts of three bytes that the trie keeps.
-CONTEXTS = 1 << 16
-
-
 def held_out(key: int | None, parts: int = 5, part: int = 1) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % parts == part
 
@@ -58,40 +56,39 @@ def byte_grams(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
 
 
-def code_rows(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Log10 probabilities of all bytes in each context.
+def symbol_rows(contexts: np.ndarray, own: np.ndarray, shorter: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Log10 probabilities of all bytes (contexts x 256), from their counts and those of the shorter contexts.
 
-    ``counts[k]`` has the sorted contexts of k bytes and their counts (contexts
-    x 256).  Returns, for each k, the contexts, and all rows, order 0 first.
+    ``shorter[k]`` has the sorted contexts of k bytes and their counts.
     """
+    left = np.ones(len(contexts))
+    free = np.ones((len(contexts), 256), dtype=bool)
+    p = np.zeros((len(contexts), 256))
+    for k in range(len(shorter), -1, -1):
+        n = own if k == len(shorter) else shorter[k][1][np.searchsorted(shorter[k][0], contexts & ((1 << 8 * k) - 1))]
+        c = n * free
+        total, distinct = c.sum(1), (c > 0).sum(1)
+        p += (left / np.maximum(total + distinct, 1))[:, None] * c
+        left = left * np.where(distinct > 0, distinct / np.maximum(total + distinct, 1), 1)
+        free &= c == 0
+    p += (left / np.maximum(free.sum(1), 1))[:, None] * free
+    return np.log10(np.maximum(p, 1e-30)).astype(np.float32)
+
+
+def code_rows(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The contexts of each length, and the rows of them all, order 0 first."""
     rows = []
     for k, (contexts, own) in enumerate(counts):
         for at in range(0, len(contexts), 2048):
-            context = contexts[at : at + 2048]
-            left = np.ones(len(context))
-            free = np.ones((len(context), 256), dtype=bool)
-            p = np.zeros((len(context), 256))
-            for j in range(k, -1, -1):
-                shorter, n = (contexts, own) if j == k else counts[j]
-                c = n[np.searchsorted(shorter, context & ((1 << 8 * j) - 1))] * free
-                total, distinct = c.sum(1), (c > 0).sum(1)
-                p += (left / np.maximum(total + distinct, 1))[:, None] * c
-                left = left * np.where(distinct > 0, distinct / np.maximum(total + distinct, 1), 1)
-                free &= c == 0
-            p += (left / np.maximum(free.sum(1), 1))[:, None] * free
-            rows.append(np.log10(np.maximum(p, 1e-30)).astype(np.float32))
+            rows.append(symbol_rows(contexts[at : at + 2048], own[at : at + 2048], counts[:k]))
     return [c for c, _ in counts], np.concatenate(rows)
 
 
-def _trie(docs: DataFrame, key: str, text: str) -> tuple[list[np.ndarray], np.ndarray]:
-    grams = common.checkpointed(byte_grams(docs, key, text))
-    top = grams.groupBy("context").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "context").limit(CONTEXTS).select("context")
+def _short_contexts(grams: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Contexts of no, one and two bytes with their counts."""
     counts = []
-    for k in range(4):
-        if k == 3:
-            own = grams.join(top, "context", "left_semi")
-        else:
-            own = grams.groupBy(F.col("context").bitwiseAND((1 << 8 * k) - 1).alias("context"), "symbol").agg(F.sum("n").alias("n"))
+    for k in range(3):
+        own = grams.groupBy(F.col("context").bitwiseAND((1 << 8 * k) - 1).alias("context"), "symbol").agg(F.sum("n").alias("n"))
         found = own.toArrow()  # 65,536 contexts x 256 symbols at most
         context, at = np.unique(found["context"].to_numpy().astype(np.int64), return_inverse=True)
         n = np.zeros((len(context), 256), dtype=np.float32)
@@ -99,20 +96,57 @@ def _trie(docs: DataFrame, key: str, text: str) -> tuple[list[np.ndarray], np.nd
         if k == 0 and not len(context):
             context, n = np.zeros(1, np.int64), np.zeros((1, 256), np.float32)
         counts.append((context, n))
-    return code_rows(counts)
+    return counts
 
 
 def _row_of(contexts: list[np.ndarray]) -> np.ndarray:
-    """For each three bytes, the row of the longest context known."""
+    """For each two bytes, the row of the longest context known."""
     first = np.cumsum([0, *map(len, contexts)])
-    two = np.zeros(1 << 16, dtype=np.int32)
     one = np.zeros(1 << 8, dtype=np.int32)
     one[contexts[1]] = first[1] + np.arange(len(contexts[1]))
-    two[:] = np.tile(one, 256)
+    two = np.tile(one, 256)
     two[contexts[2]] = first[2] + np.arange(len(contexts[2]))
-    three = np.tile(two, 256)
-    three[contexts[3]] = first[3] + np.arange(len(contexts[3]))
-    return three
+    return two
+
+
+def _long_contexts(grams: DataFrame, chunks: DataFrame, shorter: Broadcast) -> DataFrame:
+    """(chunk, codes): for each chunk, (context, symbols, log10 probabilities) of its known three-byte contexts.
+
+    A context is asked for at most once a chunk.  As most chunks ask for the same
+    thousands of contexts, no one of them has more than its share of the rows.
+    """
+
+    @F.arrow_udf("array<float>")
+    def lengths(contexts: pa.Array, found: pa.Array) -> pa.Array:
+        pairs, size = found.flatten(), found.value_lengths().to_numpy()
+        n = np.zeros((len(contexts), 256), dtype=np.float32)
+        n[np.repeat(np.arange(len(contexts)), size), pairs.field(0).to_numpy()] = pairs.field(1).to_numpy()
+        rows = symbol_rows(contexts.to_numpy().astype(np.int64), n, shorter.value[0])
+        return pa.ListArray.from_arrays(np.arange(len(contexts) + 1, dtype=np.int32) * 256, rows.ravel())
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                codes = np.unique(np.concatenate([np.unique(_codes(t)) for t in common.unpack(blob)[1]]))
+                context, first = np.unique(codes >> 8, return_index=True)
+                symbols = pa.ListArray.from_arrays(np.append(first, len(codes)).astype(np.int32), (codes & 255).astype(np.int16))
+                yield pa.record_batch({"context": context.astype(np.int32), "chunk": np.full(len(context), chunk), "symbols": symbols})
+
+    known = grams.groupBy("context").agg(F.collect_list(F.struct("symbol", "n")).alias("found")).select("context", lengths("context", "found").alias("row"))
+    asked = chunks.mapInArrow(ask, "context int, chunk long, symbols array<smallint>")
+    # The table of contexts has no bound that would allow a broadcast.
+    told = asked.join(known.hint("merge"), "context").select("chunk", F.struct("context", "symbols", F.transform("symbols", lambda s: F.get("row", s)).alias("p")).alias("code"))
+    return told.groupBy("chunk").agg(F.collect_list("code").alias("codes"))
+
+
+def _told(found: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes (context and symbol) of a chunk's answer, and their log10 probabilities."""
+    if not found.is_valid or not len(found.values):
+        return np.zeros(1, np.uint32), np.full(1, np.nan, np.float32)
+    context, symbols, p = found.values.flatten()
+    codes = np.repeat(context.to_numpy().astype(np.uint32) << 8, symbols.value_lengths().to_numpy()) | symbols.flatten().to_numpy().astype(np.uint32)
+    order = np.argsort(codes)
+    return codes[order], p.flatten().to_numpy()[order]
 
 
 def _distinct(ids: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,8 +161,11 @@ def _distinct(ids: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np
 
 def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of all documents."""
-    trie = docs.sparkSession.sparkContext.broadcast(_trie(docs, key, text))
+    grams = common.checkpointed(byte_grams(docs, key, text))
+    counts = _short_contexts(grams)
+    trie = docs.sparkSession.sparkContext.broadcast((counts, code_rows(counts)))
     chunks = common.to_chunks(docs, key, text)
+    long = _long_contexts(grams, chunks, trie)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,10 +188,10 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     answers = known.groupBy("chunk").agg(F.collect_list(F.struct("place", "total")).alias("found"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, rows = trie.value
+        contexts, rows = trie.value[1]
         row_of = _row_of(contexts)
         for batch in batches:
-            for blob, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for blob, found, told in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 ids, texts = common.unpack(blob)
                 distinct, back, first, _ = _distinct(ids, texts)
                 c = np.zeros(len(distinct) + 1)  # the last is the end token's
@@ -162,10 +199,13 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                     c[found.values.field(0).to_numpy()] = found.values.field(1).to_numpy()
                 log = np.concatenate([[0.0], np.cumsum(np.log10(c[:-1] + 0.5)[back])])
                 seen = np.concatenate([[0], np.cumsum(c[:-1][back] > 0)])
+                known, p = _told(told)
                 model = []
                 for t in texts:
                     codes = _codes(t)
-                    model.append(float(rows[row_of[codes >> 8], codes & 255].sum(dtype=np.float64)))
+                    place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                    logs = np.where((known[place] == codes) & ~np.isnan(p[place]), p[place], rows[row_of[codes >> 8 & 0xFFFF], codes & 255])
+                    model.append(float(logs.sum(dtype=np.float64)))
                 yield pa.record_batch({
                     key: pa.array(ids, pa.int64()),
                     "held_out": pa.array([held_out(i) for i in ids]),
@@ -175,7 +215,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                     "score": np.array(model, dtype=np.float64),
                 })
 
-    scored = chunks.join(answers, "chunk", "left").select("blob", "found").mapInArrow(score, f"{key} long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    scored = chunks.join(answers, "chunk", "left").join(long, "chunk", "left").select("blob", "found", "codes").mapInArrow(score, f"{key} long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     scored = scored.withColumn("sums", sums)
     return scored.select(
         key, "held_out", "n_tokens", "n_known", F.col("sums.n").alias("train_tokens"),

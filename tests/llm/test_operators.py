@@ -114,6 +114,30 @@ def test_scores(docs, none):
     assert lm_score.lm_scores(none).count() == 0
 
 
+def test_model_scores_use_every_context(docs):
+    seen = collections.defaultdict(collections.Counter)
+    padded = {i: b"\0\0\0" + (t or "").encode() for i, t in enumerate(TEXTS)}
+    for i, t in padded.items():
+        for at in range(3, len(t) if not lm_score.held_out(i) else 0):
+            for k in range(4):
+                seen[t[at - k : at]][t[at]] += 1
+
+    def p(context, symbol):
+        left, gone = 1.0, set()
+        for k in range(3, -1, -1):
+            own = {s: n for s, n in seen.get(context[3 - k :], {}).items() if s not in gone}
+            if own:
+                if symbol in own:
+                    return left * own[symbol] / (sum(own.values()) + len(own))
+                left *= len(own) / (sum(own.values()) + len(own))
+                gone |= set(own)
+        return left / (256 - len(gone))
+
+    for r in lm_score.lm_scores(docs).collect():
+        t = padded[r.doc_id]
+        assert r.score == pytest.approx(sum(np.log10(p(t[at - 3 : at], t[at])) for at in range(3, len(t))), rel=1e-4, abs=1e-6)
+
+
 def test_trie_rows_are_distributions():
     n = [np.zeros((1, 256), np.float32), np.zeros((2, 256), np.float32)]
     n[0][0, [65, 66, 67]] = [5, 2, 1]

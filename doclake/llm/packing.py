@@ -30,8 +30,8 @@ from doclake.llm import common
 WORD_BPE = "word_bpe_49k.json"
 #: Dimensions of the projected vector, and bits of each on the curve.
 DIMS, BITS = 4, 12
-#: Words that a worker's lookup holds before it starts afresh.
-CACHE_ENTRIES = 300_000
+#: Words that a worker's lookup holds in each of its two generations.
+CACHE_ENTRIES = 400_000
 #: What marks a piece's last token in the public vocabulary (fixed value), and words looked up at a time.
 WORD_END, RUN = "</w>", 200
 
@@ -86,10 +86,15 @@ def curve_keys(texts: list[bytes]) -> np.ndarray:
 
 
 class _Words(dict):
-    """The token ids of a word, as little-endian 32-bit integers."""
+    """The token ids of a word, as little-endian 32-bit integers.
+
+    When full, it becomes ``older`` and a new one begins; words asked for again
+    move to the new one, so those in steady use are not looked up twice.
+    """
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -103,9 +108,15 @@ class _Words(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def age(self) -> None:
         if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
+
+    def __missing__(self, word: str) -> bytes:
+        if word in self.older:
+            self[word] = value = self.older[word]
+            return value
         # The vocabulary folds case, and punctuation after letters is a piece of its own.
         small = word.lower() if word.isascii() else word
         tail = _TAIL.match(small)
@@ -121,14 +132,15 @@ class _Words(dict):
         distinct: set[str] = set()
         for text in texts:
             distinct.update(text.split())
-        if len(self) + len(distinct) > CACHE_ENTRIES:
-            self.clear()
+        self.age()
         new = set()
-        for word in distinct.difference(self):
+        for word in distinct:
+            if word in self or word in self.older:
+                continue
             small = word.lower() if word.isascii() else word
             if not small.isalpha() and (tail := _TAIL.match(small)):
                 small = tail[1]
-            if len(small) <= 64 and small.isalpha() and small not in self:
+            if len(small) <= 64 and small.isalpha() and small not in self and small not in self.older:
                 new.add(small)
         words = list(new)
         for i in range(0, len(words), RUN):

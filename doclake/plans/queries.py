@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from types import SimpleNamespace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclake.functions import scalars as S
@@ -94,6 +95,16 @@ def _sets(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def _digests(prompts: list[str]) -> list[str]:
+    """Stands in for a model: the digest of each prompt."""
+    return [hashlib.md5(p.encode()).hexdigest() for p in prompts]
+
+
+def _answers(f: SimpleNamespace, answer: Column) -> DataFrame:
+    """A fenced JSON answer for each document."""
+    return f.docs.select("doc_id", F.concat(F.lit("```json\n"), F.to_json(answer), F.lit("\n```")).alias("raw"))
+
+
 Rows = Callable[[SimpleNamespace], DataFrame]
 
 #: name -> (rows, SQL after the fixtures' WITH).
@@ -209,6 +220,23 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
         lambda f: f.docs.select("doc_id", tasks.render("concepts", F.col("full_text")).alias("prompt")),
         "SELECT doc_id, '" + tasks.TEMPLATES["concepts"][0] + "' || substr(full_text, 1, 6000) AS prompt FROM docs",
     ),
+    "f3_short_summary": (
+        lambda f: tasks.short_summary(f.docs, _digests).select("doc_id", "raw"),
+        "SELECT doc_id, md5('Summarise in 150 words at most:' || chr(10) || chr(10) || full_text) AS raw FROM docs",
+    ),
+    "f4_parse_summary": (
+        lambda f: tasks.parse_summary(_answers(f, F.struct(F.col("full_text").alias("executive_summary"), F.array("filename").alias("key_topics")))).select("doc_id", "summary.executive_summary", F.array_join("summary.key_topics", ",").alias("key_topics"), F.size("summary.key_takeaways").alias("n_takeaways")),
+        "SELECT doc_id, full_text AS executive_summary, filename AS key_topics, CAST(0 AS INTEGER) AS n_takeaways FROM docs",
+    ),
+    "f5_parse_questions": (
+        lambda f: tasks.parse_questions(_answers(f, F.array("filename", "full_text", *map(F.lit, "cdef")))).select("doc_id", F.array_join("questions", "|").alias("questions")),
+        "SELECT doc_id, filename || '|' || full_text || '|c|d|e' AS questions FROM docs",
+    ),
+    "f6_parse_concepts": (
+        lambda f: tasks.parse_concepts(_answers(f, F.array_distinct(S.terms(F.col("full_text"))))).select("doc_id", F.explode("concepts").alias("concept")),
+        r"SELECT DISTINCT doc_id, term AS concept FROM all_terms",
+    ),
+    "s9_file_extension": (lambda f: f.chunks.select("chunk_id", S.file_extension(F.col("source")).alias("ext")), r"SELECT chunk_id, lower(regexp_extract(source, '[^/.][^/]*(\.[^./]+)$', 1)) AS ext FROM chunks"),
     "q1_retrieve_context": (
         _retrieve,
         "SELECT q.qid, q.question AS query, CAST(count(k.rank) AS INTEGER) AS chunks_retrieved, CAST(any_value(b.n) AS INTEGER) AS chunks_before_dedup, CAST(any_value(b.n) - count(k.rank) AS INTEGER) AS duplicates_removed, CAST(any_value(b.n - b.d) AS INTEGER) AS exact_duplicates, string_agg(regexp_extract(source, '[^/]+$') || '|' || printf('%.1f', confidence) || '|' || coalesce(CAST(page + 1 AS VARCHAR), '-') || '|' || length(content), ';' ORDER BY k.rank) AS items, count(k.rank) > 0 AS success FROM questions q LEFT JOIN conf k USING (qid) LEFT JOIN (SELECT qid, count(*) AS n, count(DISTINCT k) AS d FROM stripped GROUP BY 1) b USING (qid) GROUP BY 1, 2",

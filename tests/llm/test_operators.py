@@ -162,6 +162,45 @@ def test_quality(docs, none):
     assert quality.quality_rules(none).count() == 0
 
 
+def test_quality_word_bits_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BUCKET_BYTES", 64)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 9, n)) for n in (0, 1, 2, 30, 60, 60)] * 2
+    rows = [(i, t, "en" if i % 3 else None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()}
+    model = quality.kneser_ney(*np.unique(np.concatenate([quality._codes(t.encode()) for t in texts]), return_counts=True))
+    padded = [["<p>", "<s>", *words(t)] for t in texts]
+    for i, (t, p) in enumerate(zip(texts, padded, strict=True)):
+        seen = collections.Counter(tuple(q[a : a + k]) for j, q in enumerate(padded) if j != i and rows[j][2] == rows[i][2] for k in (1, 2, 3) for a in range(len(q) - k + 1))
+        total = sum(len(q) - 2 for j, q in enumerate(padded) if j != i and rows[j][2] == rows[i][2])
+        byte_bits, at, alone, last = quality.gram_bits(model, quality._codes(t.encode())).astype(float), 0, 0.0, 0.0
+        for k in range(2, len(p)):
+            prob = 2.0 ** -byte_bits[at : at + len(p[k]) + 1].sum()
+            at += len(p[k]) + 1
+            prob = (seen[(p[k],)] + quality.STRENGTH * prob) / (total + quality.STRENGTH)
+            alone -= np.log2(prob)
+            for m in (1, 2):
+                prob = (seen[tuple(p[k - m : k + 1])] + quality.STRENGTH * prob) / (seen[tuple(p[k - m : k])] + quality.STRENGTH)
+            last -= np.log2(prob)
+        n = max(1, len(p) - 2)
+        assert np.allclose((got[i].bits_alone, got[i].bits_per_word), (alone / n, last / n), atol=1e-3)
+
+
+def test_quality_catches_junk_of_usual_bytes(spark):
+    rng = np.random.default_rng(4)
+    known = ["".join(rng.choice(list("abcdeilnorst"), rng.integers(3, 8))) for _ in range(400)]
+    texts = [" ".join(rng.choice(known, 120)) for _ in range(80)]
+    after, junk = collections.defaultdict(list), "a "
+    for t in texts:
+        for i in range(len(t) - 2):
+            after[t[i : i + 2]].append(t[i + 2])
+    while len(junk) < 700:  # byte trigrams as in the texts, other words
+        junk += rng.choice(after[junk[-2:]])
+    texts.append(junk)
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()}
+    assert not kept.pop(80) and all(kept.values())
+
+
 def test_kneser_ney_sums_to_one():
     text = b"abracadabra abracadabra alakazam"
     model = quality.kneser_ney(*np.unique(quality._codes(text), return_counts=True))

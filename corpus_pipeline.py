@@ -1,4 +1,8 @@
-"""Documents to packed training sequences: five stages, each over all that the one before kept."""
+"""Documents to packed training sequences: five stages, each over all that the one before kept.
+
+The first stage writes its input with a key for each row, and all stages match
+rows by it, as a doc_id may be null, repeated or used for several texts.
+"""
 
 from __future__ import annotations
 
@@ -17,41 +21,56 @@ from doclake.llm.substring_dedup import substring_dedup
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+ROW = "row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, written so that each read gives the same ones."""
+    if ROW in docs.columns:
+        return docs
+    return common.written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "zstd")
+
+
 def _chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    ids = kept.where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
+    return docs.join(kept, ROW, "left_semi").select(*COLUMNS, ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and lie in their language's perplexity band."""
     common.small_batches(spark)
-    return _chosen(docs, quality_rules(docs))
+    docs = _keyed(docs)
+    return _chosen(docs, quality_rules(docs, key=ROW).where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, 0.8)."""
+    """The row of least doc_id (nulls last) and key of each group of near duplicates (five-word shingles, 0.8)."""
     common.small_batches(spark)
-    return _chosen(docs, near_duplicates(docs, width=5))
+    docs = _keyed(docs)
+    named = docs.select(ROW, "doc_id").join(near_duplicates(docs, width=5, key=ROW), ROW)
+    least = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", ROW)).alias("m"))
+    return _chosen(docs, least.select(f"m.{ROW}"))
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 35-word windows that are found twice or more; a text may become empty."""
     common.small_batches(spark)
-    kept = substring_dedup(docs).select(F.col("doc_id").alias("of"), F.col("kept").alias("text"))
-    joined = docs.drop("text", "n_chars").join(kept, F.col("doc_id").eqNullSafe(F.col("of")))
-    return joined.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    docs = _keyed(docs)
+    kept = substring_dedup(docs, key=ROW).select(ROW, F.col("kept").alias("text"))
+    joined = docs.drop("text", "n_chars").join(kept, ROW)
+    return joined.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS, ROW)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
     common.small_batches(spark)
-    return mask_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return mask_pii(_keyed(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS, ROW)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens."""
     common.small_batches(spark)
-    return pack(docs)
+    docs = _keyed(docs)
+    return pack(docs, key=ROW).join(docs.select(ROW, "doc_id"), ROW)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -177,10 +177,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The rows as a Parquet table in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)
 
 

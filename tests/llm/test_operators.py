@@ -263,3 +263,22 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+@pytest.mark.skipif(not os.path.exists("corpus_pipeline.py"), reason="no pipeline")
+def test_pipeline_repeated_rows_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    known = [f"{x}{y}" for x in "ba ce di fo".split() for y in "lam nor set tis vun".split()]
+    good = [" ".join(rng.choice(known, 120)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(good[:30])] + [(3, good[3])] * 3 + [(None, t) for t in good[30:34]] + [(None, good[30])]
+    rows += [(None, "short"), (None, None), (5, "too short"), (7, good[35]), (50, good[34]), (40, good[34])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    by_id = lambda pairs: sorted(pairs, key=str)
+    wanted = by_id([(i, t) for i, t in enumerate(good[:30])] + [(None, t) for t in good[30:34]] + [(7, good[35]), (40, good[34])])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = common.written(stage(spark, docs, ""))
+        if name != "quality":
+            assert by_id((r.doc_id, r.text) for r in docs.collect()) == wanted
+    assert corpus_pipeline.packing(spark, docs, "").where("start = 0").count() == len(wanted)

@@ -18,6 +18,7 @@ it: an unfinished last tag is dropped, a paragraph ends where a block begins.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -133,17 +134,19 @@ def features(order: list[Node]) -> np.ndarray:
     """A row for each element."""
     rows = []
     inside: dict[int, tuple[int, int]] = {}
+    siblings: dict[int, Counter[str]] = {}  # for each parent, its child elements by tag
     for node in order:
+        siblings[id(node)] = Counter(c.tag for c in node.children if isinstance(c, Node))
         up = node.parent
         held, dropped = inside[id(up)] if up else (0, 0)
         held |= node.tag in ("article", "main")
         dropped |= node.tag in _DROPPED_TAGS
         inside[id(node)] = (held, dropped)
-        siblings = [c for c in up.children if isinstance(c, Node)] if up and len(up.children) < 200 else []
+        beside = siblings[id(up)] if up else Counter()
         group = [sum(w in node.words for w in words) for words in _ATTRIBUTE_WORDS]
         rows.append([
             node.depth, node.letters, node.linked / max(1, node.letters), node.letters / node.nodes, node.paragraphs, node.nodes,
-            held, dropped, node.place, len(siblings), sum(s.tag == node.tag for s in siblings),
+            held, dropped, node.place, beside.total(), beside[node.tag],
             node.letters / max(1, up.letters) if up else 1.0, up.linked / max(1, up.letters) if up else 0.0,
             _TAGS.index(up.tag) if up and up.tag in _TAGS else -1, *(node.tag == t for t in _TAGS), *group,
         ])

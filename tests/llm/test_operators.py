@@ -257,6 +257,14 @@ def test_html(spark):
     assert got[0] == "T&t\n\nOne two three.\n\nFour." and got[20] == "" and got[21] == ""
 
 
+def test_html_counts_siblings_at_every_size():
+    for n in (3, 199, 700):
+        _, order = html_extract.parse("<article><h1>T</h1>" + "<p>Some words.</p>\n" * n + "</article>")
+        x = html_extract.features(order)
+        assert {tuple(x[i, 9:11]) for i, node in enumerate(order) if node.tag == "p"} == {(n + 1, n)}
+        assert {tuple(x[i, 9:11]) for i, node in enumerate(order) if node.tag == "h1"} == {(n + 1, 1)}
+
+
 @pytest.mark.skipif(not os.path.exists("corpus_pipeline.py"), reason="no pipeline")
 def test_pipeline(spark):
     import corpus_pipeline

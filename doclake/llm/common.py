@@ -95,6 +95,21 @@ def hash_words(data: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
 
 
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each of the spans, which are sorted and don't overlap."""
+    out, i = np.empty(len(start), dtype=np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + BLOCK_BYTES)))
+        base, size = int(start[i]), int(end[j - 1] - start[i])
+        forward, back = powers(_P, size), powers(pow(_P, -1, 1 << 64), size)
+        with np.errstate(over="ignore"):
+            total = np.zeros(size + 1, dtype=np.uint64)
+            np.cumsum(_VALUE[buf[base : base + size]] * forward[:size], out=total[1:])
+            out[i:j] = mix((total[end[i:j] - base] - total[start[i:j] - base]) * back[start[i:j] - base])
+        i = j
+    return out
+
+
 def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """Hash of each run of ``width`` words; a run's hash depends on its words alone."""
     n = len(words) - width + 1

@@ -14,8 +14,6 @@ by id.  Repeated ids are packed as separate documents.
 from __future__ import annotations
 
 import os
-import re
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,13 +28,20 @@ from doclake.llm import common
 WORD_BPE = "word_bpe_49k.json"
 #: Dimensions of the projected vector, and bits of each on the curve.
 DIMS, BITS = 4, 12
-#: Words that a worker's lookup holds in each of its two generations.
+#: Pieces that a worker's lookup holds in each of its two generations.
 CACHE_ENTRIES = 400_000
-#: What marks a piece's last token in the public vocabulary (fixed value), and words looked up at a time.
-WORD_END, RUN = "</w>", 200
+#: What marks a piece's last token in the public vocabulary (fixed value), and pieces looked up at a time.
+WORD_END, RUN = "</w>", 1000
 
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_TAIL = re.compile(r"^([^\W\d_]+)([!-/:-@\[-`{-~]+)$")
+#: Kinds of bytes: white space, letter, digit, apostrophe, other ASCII, beyond ASCII; and between which a piece ends.
+_KIND = np.full(256, 4, dtype=np.uint8)
+_KIND[128:] = 5
+_KIND[common._SPACE] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[39] = 3
+_CUT = np.zeros((6, 6), dtype=bool)
+_CUT[0, :] = _CUT[:, 0] = _CUT[2, 1:5] = _CUT[1, 2:5] = _CUT[3:5, 2] = _CUT[4, 1] = True
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -85,77 +90,113 @@ def curve_keys(texts: list[bytes]) -> np.ndarray:
     return np.where(count > 0, hilbert(points, BITS), 0)
 
 
-class _Words(dict):
-    """The token ids of a word, as little-endian 32-bit integers.
+class _Memo:
+    """A bounded lookup of two generations: when the new one is full it becomes the old one; what is asked for again moves on."""
 
-    When full, it becomes ``older`` and a new one begins; words asked for again
-    move to the new one, so those in steady use are not looked up twice.
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def many(self, keys: list) -> list:
+        """The keys' values; None where unknown."""
+        found = list(map(self.new.get, keys))
+        if None in found:
+            for i, value in enumerate(found):
+                if value is None and (value := self.old.get(keys[i])) is not None:
+                    found[i] = self.new[keys[i]] = value
+        return found
+
+    def age(self) -> None:
+        if len(self.new) >= self.limit:
+            self.old, self.new = self.new, {}
+
+
+def pieces(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text with capitals made small, and where its pieces begin and end.
+
+    Both sides of each cut are ASCII, and the vocabulary cuts there too, so
+    pieces are encoded apart.  A capital before a byte beyond ASCII stays, as a
+    mark could join it.
     """
+    buf = np.frombuffer(data, dtype=np.uint8)
+    kind = _KIND[buf]
+    cut = np.ones(len(buf) + 1, dtype=bool)
+    cut[1:-1] = _CUT[kind[:-1], kind[1:]]
+    inside = kind != 0
+    start, end = np.flatnonzero(inside & cut[:-1]), np.flatnonzero(inside & cut[1:]) + 1
+    after = np.append(buf[1:], 0).astype(np.uint8) if len(buf) else buf
+    return np.where(after < 128, common.LOWER[buf], buf), start, end
+
+
+class _Words:
+    """Token ids of texts: each group of texts looks up its distinct pieces only, by their 64-bit hash."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.older: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.known = _Memo(CACHE_ENTRIES)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(1 + max(vocab.values()), dtype=bool)  # ids that end a piece
         self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def age(self) -> None:
-        if len(self) >= CACHE_ENTRIES:
-            self.older = dict(self)
-            self.clear()
-
-    def __missing__(self, word: str) -> bytes:
-        if word in self.older:
-            self[word] = value = self.older[word]
-            return value
-        # The vocabulary folds case, and punctuation after letters is a piece of its own.
-        small = word.lower() if word.isascii() else word
-        tail = _TAIL.match(small)
-        if tail and not (word.isascii() or unicodedata.is_normalized("NFC", word) and "\u0130" not in word):
-            tail = None  # folding could leave a mark, which would join the tail's piece
-        value = self[tail[1]] + self[tail[2]] if tail else self[small] if small != word else self.whole(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-    def learn(self, texts: list[str]) -> None:
-        """Look up the new words of texts in runs, as a call for each word costs twice the time."""
-        distinct: set[str] = set()
-        for text in texts:
-            distinct.update(text.split())
-        self.age()
-        new = set()
-        for word in distinct:
-            if word in self or word in self.older:
-                continue
-            small = word.lower() if word.isascii() else word
-            if not small.isalpha() and (tail := _TAIL.match(small)):
-                small = tail[1]
-            if len(small) <= 64 and small.isalpha() and small not in self and small not in self.older:
-                new.add(small)
-        words = list(new)
-        for i in range(0, len(words), RUN):
-            run = words[i : i + RUN]
-            ids = np.array(self.tokenizer.encode(" ".join(run), add_special_tokens=False).ids, dtype="<u4")
-            to = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
-            if len(to) == len(run):  # each word is one piece; otherwise they are looked up one by one
-                data, at = ids.tobytes(), 0
-                for word, end in zip(run, (4 * to).tolist(), strict=True):
-                    self[word] = data[at:end]
-                    at = end
-
-    def encode(self, text: str) -> bytes:
-        # No piece crosses white space, so words are encoded apart.
-        return self.whole(text) if _SEPARATORS.search(text) else b"".join(map(self.__getitem__, text.split()))
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _run(self, words: list[str]) -> list[bytes]:
+        """Words of letters together, as a call for each costs twice the time."""
+        ids = self.whole(" ".join(words))
+        if len(words) == 1:
+            return [ids.tobytes()]
+        to = (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1) * 4
+        if len(to) != len(words):  # some word is more than one piece
+            return self._run(words[: len(words) // 2]) + self._run(words[len(words) // 2 :])
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *to.tolist()], to.tolist(), strict=False)]
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        letters = [i for i, w in enumerate(words) if len(w) <= 64 and w.isalpha()]
+        for at in range(0, len(letters), RUN):
+            some = letters[at : at + RUN]
+            for i, value in zip(some, self._run([words[i] for i in some]), strict=True):
+                out[i] = value
+        for i, w in enumerate(words):
+            if not out[i]:
+                out[i] = self.whole(w).tobytes()
+        return out
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, and where each text's begin (one more at the end)."""
+        odd = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
+        if odd:  # control tokens are found before text is cut
+            given = {i: self.whole(texts[i].decode("utf-8", "replace")) for i in odd}
+            ids, at = self.encode([b"" if i in given else t for i, t in enumerate(texts)])
+            parts = [given.get(i, ids[at[i] : at[i + 1]]) for i in range(len(texts))]
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        data, begins = common.joined(texts)
+        buf, start, end = pieces(data)
+        distinct, first, back = np.unique(common.hash_spans(buf, start, end), return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        self.known.age()
+        found = self.known.many(keys)
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            small, at = buf.tobytes(), first[missing]
+            words = [small[s:e].decode("utf-8", "replace") for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            for i, word, value in zip(missing, words, self._new(words), strict=True):
+                found[i] = value
+                if len(word) <= 64:
+                    self.known.new[keys[i]] = value
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        n = size[back]
+        to = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat((np.cumsum(size) - size)[back] - to[:-1], n) + np.arange(to[-1])] if len(back) else np.zeros(0, "<u4")
+        return ids, to[np.searchsorted(start, begins)]
 
 
 @cache
@@ -183,12 +224,12 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
         end = np.array([end_id], dtype="<u4").tobytes()
         sequence, filled = TaskContext.get().partitionId() << 33, 0
         waiting: list[tuple] = []  # pieces of the sequence that is not full
-        for batch in batches:
+        for keys, texts in common.text_groups(batches):
             done: list[tuple] = []
-            docs_, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            words.learn(texts)
-            for doc, t in zip(docs_, texts, strict=True):
-                ids = words.encode(t) + end
+            coded, begins = words.encode(texts)
+            bounds = begins.tolist()
+            for doc, a, b in zip(keys, bounds, bounds[1:], strict=False):
+                ids = coded[a:b].tobytes() + end
                 total, at = len(ids) // 4, 0
                 while at < total:
                     n = min(total - at, length - filled)

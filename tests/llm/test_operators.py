@@ -99,6 +99,19 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_ids_are_the_library_s():
+    import public_tokenizers
+
+    words = packing._Words(public_tokenizers.path(packing.WORD_BPE))
+    rng = np.random.default_rng(8)
+    letters = [*"aAbBzJéÉİıßǅſ漢字🙂'’s.,!#$%&*|<>0123456789\xa0\x85\u2003\x1c\x1f\x0b\x0c \n\t-_", "'s", "'re", "<|endoftext|>", "\u0301", "\u0307", "\u030c", "\u0338", "\u212a", "ﬁ", "e\u0301", "A\u030a"]
+    for _ in range(600):
+        texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3)]
+        ids, at = words.encode([t.encode() for t in texts])
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_scores(docs, none):
     got = {r.doc_id: r for r in lm_score.lm_scores(docs).collect()}
     assert got[0].n_tokens == 1 and got[0].score == 0

@@ -175,51 +175,71 @@ def test_quality(docs, none):
     assert quality.quality_rules(none).count() == 0
 
 
-def test_quality_word_bits_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(quality, "BUCKET_BYTES", 64)
+def brute_bits(train, text, order=5):
+    """-log2 of a text's probability: interpolated modified Kneser-Ney over bytes, from its definition."""
+    counts = {order: collections.Counter(p[i : i + order] for p in (bytes(order - 1) + t for t in train) for i in range(len(p) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    discounts, follow = {}, {}
+    for k, c in counts.items():
+        n = [sum(v == j for v in c.values()) for j in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else None
+        clip = lambda x, top: min(max(x, 0.05), top)
+        discounts[k] = [0.5] * 3 if y is None else [clip(1 - 2 * y * n[2] / n[1], 0.95), clip(2 - 3 * y * n[3] / n[2], 1.95), clip(3 - 4 * y * n[4] / n[3] if n[3] else 1.5, 2.95)]
+        for g, v in c.items():
+            follow.setdefault(g[:-1], {})[g[-1]] = v
+
+    def p(context, symbol):
+        if len(context) == 0 and b"" not in follow:
+            return 1 / 256
+        below = p(context[1:], symbol) if context else 1 / 256
+        own = follow.get(context)
+        if own is None:
+            return below
+        d = discounts[len(context) + 1]
+        cut = lambda v: d[min(v, 3) - 1]
+        total = sum(own.values())
+        seen = own.get(symbol, 0)
+        return (seen - cut(seen) if seen else 0) / total + sum(map(cut, own.values())) / total * below
+
+    padded = bytes(order - 1) + text
+    return -sum(np.log2(p(padded[i : i + order - 1], padded[i + order - 1])) for i in range(len(text)))
+
+
+def test_quality_bits_bands_and_verdict_brute_force(spark):
     rng = np.random.default_rng(3)
-    texts = [" ".join(f"v{x}" for x in rng.integers(0, 9, n)) for n in (0, 1, 2, 30, 60, 60)] * 2
+    known = ["".join(rng.choice(list("abcdeilnorst"), rng.integers(2, 8))) for _ in range(300)]
+    texts = [" ".join(rng.choice(known, n)) for n in (*rng.integers(55, 75, 60), 0, 3, 20)] + [" ".join(f"{w.upper()}$%" for w in rng.choice(known, 70)), None]
     rows = [(i, t, "en" if i % 3 else None) for i, t in enumerate(texts)]
-    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()}
-    model = quality.kneser_ney(*np.unique(np.concatenate([quality._codes(t.encode()) for t in texts]), return_counts=True))
-    padded = [["<p>", "<s>", *words(t)] for t in texts]
-    for i, (t, p) in enumerate(zip(texts, padded, strict=True)):
-        seen = collections.Counter(tuple(q[a : a + k]) for j, q in enumerate(padded) if j != i and rows[j][2] == rows[i][2] for k in (1, 2, 3) for a in range(len(q) - k + 1))
-        total = sum(len(q) - 2 for j, q in enumerate(padded) if j != i and rows[j][2] == rows[i][2])
-        byte_bits, at, alone, last = quality.gram_bits(model, quality._codes(t.encode())).astype(float), 0, 0.0, 0.0
-        for k in range(2, len(p)):
-            prob = 2.0 ** -byte_bits[at : at + len(p[k]) + 1].sum()
-            at += len(p[k]) + 1
-            prob = (seen[(p[k],)] + quality.STRENGTH * prob) / (total + quality.STRENGTH)
-            alone -= np.log2(prob)
-            for m in (1, 2):
-                prob = (seen[tuple(p[k - m : k + 1])] + quality.STRENGTH * prob) / (seen[tuple(p[k - m : k])] + quality.STRENGTH)
-            last -= np.log2(prob)
-        n = max(1, len(p) - 2)
-        assert np.allclose((got[i].bits_alone, got[i].bits_per_word), (alone / n, last / n), atol=1e-3)
-
-
-def test_quality_catches_junk_of_usual_bytes(spark):
-    rng = np.random.default_rng(4)
-    known = ["".join(rng.choice(list("abcdeilnorst"), rng.integers(3, 8))) for _ in range(400)]
-    texts = [" ".join(rng.choice(known, 120)) for _ in range(80)]
-    after, junk = collections.defaultdict(list), "a "
-    for t in texts:
-        for i in range(len(t) - 2):
-            after[t[i : i + 2]].append(t[i + 2])
-    while len(junk) < 700:  # byte trigrams as in the texts, other words
-        junk += rng.choice(after[junk[-2:]])
-    texts.append(junk)
-    kept = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()}
-    assert not kept.pop(80) and all(kept.values())
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(0, 60)] + [(None, 1), (999, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r.doc_id: r for r in quality.quality_rules(docs, labels).collect()}
+    raw = [(t or "").encode() for t in texts]
+    half = quality._half(raw)
+    bits = [brute_bits([t for j, t in enumerate(raw[:40]) if half[j] != half[i]], t) / max(1, len(t)) for i, t in enumerate(raw)]
+    assert np.allclose([got[i].bits_per_byte for i in range(len(texts))], bits, atol=1e-4)
+    for lang in ("en", None):
+        own = [i for i, r in enumerate(rows) if r[2] == lang]
+        low, mid, high = np.quantile([round(bits[i], 3) for i in own if len(words(texts[i])) >= 50], [0.25, 0.5, 0.75])
+        sigma = max((high - low) / 1.349, 0.01 * mid)
+        for i in own:
+            assert got[i].kept == (not got[i].base_failed and mid - 10 * sigma <= bits[i] <= mid + 15 * sigma)
+    assert not got[63].base_failed and not got[63].kept and sum(r.kept for r in got.values()) == 60
+
+
+def test_quality_without_labels_and_empty(spark, none):
+    one = spark.createDataFrame([(1, None, None), (1, "a b " * 40, "en"), (None, "c d", "en")], "doc_id long, text string, lang string")
+    assert [r.kept for r in quality.quality_rules(one).collect()] == [False] * 3
+    empty = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.quality_rules(none, empty).count() == 0 and quality.quality_rules(one, empty).count() == 3
 
 
 def test_kneser_ney_sums_to_one():
     text = b"abracadabra abracadabra alakazam"
     model = quality.kneser_ney(*np.unique(quality._codes(text), return_counts=True))
-    for context in (b"ab", b"zq", b"a "):
-        codes = np.array([context[0] << 16 | context[1] << 8 | c for c in range(256)], dtype=np.uint32)
-        assert np.isclose((2.0 ** -quality.gram_bits(model, codes).astype(float)).sum(), 1, atol=1e-3)
+    for context in (b"abra", b"zzzq", b"zzra"):
+        codes = np.array([int.from_bytes(context + bytes([c]), "big") for c in range(256)], dtype=np.uint64)
+        assert np.isclose((2.0 ** -quality.gram_bits(model, codes)).sum(), 1, atol=1e-3)
 
 
 def test_pii(docs, none):

@@ -39,7 +39,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and lie in their language's perplexity band."""
     common.small_batches(spark)
     docs = _keyed(docs)
-    return _chosen(docs, quality_rules(docs, key=ROW).where("kept"))
+    labels = common.table(spark, sf_dir, "labels") if sf_dir else None
+    return _chosen(docs, quality_rules(docs, labels, key=ROW, label_key="doc_id").where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

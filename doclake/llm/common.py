@@ -177,12 +177,17 @@ def to_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset."""
+    """The folder that spark.checkpoint.dir names; where it is unset and all is local, a temporary one."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if not given and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not given:
+            import tempfile
+
+            given = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(given)
     return sc.getCheckpointDir()
 
 
@@ -196,7 +201,16 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The rows as a Parquet table in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    table._written = path
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table made by ``written``, once nothing reads it any more."""
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def distinct_sums(codes: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:

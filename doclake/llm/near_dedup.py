@@ -23,18 +23,20 @@ smallest class.  Ties don't matter: a component is named by its smallest id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclake.llm import common
 
-BINS, BAND = 476, 7
+BINS, BAND = 200, 5
 #: Comparisons from which a band is compared in blocks, and the members of a block.
-LARGE, BLOCK = 300, 1000
+LARGE, BLOCK = 300, 400
+#: Size of the broadcast filter of candidates: 16 bits for each, 16 MB in all at most.
+FILTER_BITS = 1 << 27
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -91,13 +93,36 @@ def components(links: DataFrame) -> DataFrame:
             return label.select(F.col("a").alias("id"), F.col("c").alias("component"))
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _maybe(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A test of xxhash64(id) that all ids of a table pass and, of others, few while the filter is not full."""
+    bits = min(FILTER_BITS, max(1 << 10, 1 << (16 * ids.count()).bit_length()))
+    at = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("at"))
+    rows = at.selectExpr("shiftright(at, 6) AS k", "shiftleft(1L, cast(at % 64 AS int)) AS v").groupBy("k").agg(F.bit_or("v").alias("v")).toArrow()
+    words = np.zeros(bits // 64, dtype=np.int64)
+    words[rows["k"].to_numpy()] = rows["v"].to_numpy()
+    held = ids.sparkSession.sparkContext.broadcast(words)
+    return lambda h: held.value[(h % bits) >> 6] >> (h % bits & 63) & 1 == 1
+
+
+def _candidate_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, s): the shingle sets of the wanted ids, written."""
+    maybe = _maybe(wanted)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select([0, 1]).filter(pa.array(maybe(batch.column(2).to_numpy()), pa.bool_()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in common.text_groups(batches):
             yield pa.record_batch({"id": pa.array(ids, pa.int64()), "s": pa.array([x.tobytes() for x in shingle_sets(texts, width)], pa.binary())})
 
+    few = docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(some, "id long, text string")
+    return common.written(few.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, s binary"), "zstd")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -112,14 +137,12 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 keep.append(100 * common_n >= percent * (n + m - common_n))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = docs.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, s binary")
-    with_a = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    with_both = with_a.join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    with_both = with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return with_both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def _large_bands(mixed: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _large_bands(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of strays and members of other components that seem similar, on sets folded to 32 bits.
 
     A band's strays and members are dealt to blocks, and each pair of blocks is
@@ -127,9 +150,9 @@ def _large_bands(mixed: DataFrame, docs: DataFrame, width: int, percent: int) ->
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in common.text_groups(batches):
-            sets = [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in shingle_sets(texts, width)]
-            yield pa.record_batch({"id": pa.array(ids, pa.int64()), "s": pa.array(sets, pa.binary())})
+        for batch in batches:
+            folded = [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.record_batch({"id": batch.column(0), "s": pa.array(folded, pa.binary())})
 
     def compare(rows: pa.Table) -> pa.Table:
         ids, c = rows["id"].to_numpy(), rows["c"].to_numpy()
@@ -154,14 +177,14 @@ def _large_bands(mixed: DataFrame, docs: DataFrame, width: int, percent: int) ->
         found = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)]
         return pa.table({"a": found[0], "b": found[1]})
 
-    sets = docs.join(mixed.select("id").distinct(), "id", "left_semi").mapInArrow(fold, "id long, s binary")
+    few = sets.join(mixed.select("id").distinct(), "id", "left_semi").mapInArrow(fold, "id long, s binary")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     deal = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     columns = ["band", "id", "c"]
     strays = mixed.where("stray").select(*columns, F.lit(True).alias("as_stray"), deal(F.col("strays")).alias("p"), each(F.col("m")).alias("q"))
     members = mixed.select(*columns, F.lit(False).alias("as_stray"), each(F.col("strays")).alias("p"), deal(F.col("m")).alias("q"))
-    return strays.unionByName(members).join(sets, "id").groupBy("band", "p", "q").applyInArrow(compare, "a long, b long")
+    return strays.unionByName(members).join(few, "id").groupBy("band", "p", "q").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,16 +207,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
                 "bands": pa.array(keys, pa.list_(pa.int64())),
             })
 
-    described = common.checkpointed(texts.mapInArrow(describe, "id long, n long, h1 long, h2 long, bands array<long>"))
+    described = common.written(texts.mapInArrow(describe, "id long, n long, h1 long, h2 long, bands array<long>"), "zstd")
     # Documents of one set are one class, named by its smallest id.
-    classes = described.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("class"), F.first("bands").alias("bands"))
-    classes = common.checkpointed(classes)
-    banded = classes.select(F.explode("bands").alias("band"), F.col("class").alias("id"))
-    of_band = Window.partitionBy("band")
-    shared = banded.withColumn("m", F.count("*").over(of_band)).withColumn("a", F.min("id").over(of_band)).where("m > 1")
-    shared = common.checkpointed(shared)
+    of_set = described.where("n > 0").groupBy("n", "h1", "h2")
+    banded = of_set.agg(F.min("id").alias("id"), F.first("bands").alias("bands")).where("id is not null").select(F.explode("bands").alias("band"), "id")
+    counted = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("a")).where("m > 1")
+    shared = common.written(banded.join(counted, "band"), "zstd")
     stars = common.checkpointed(shared.where("a < id").select("a", F.col("id").alias("b")).distinct())
-    links = common.checkpointed(_confirm(stars, texts, width, percent))
+    sets = _candidate_sets(texts, shared.select("id").distinct(), width)
+    links = common.checkpointed(_confirm(stars, sets, percent))
     known = components(links)
     # Bands that still hold several components.
     labelled = shared.join(known, "id", "left").select("band", "id", "m", F.coalesce("component", "id").alias("c"))
@@ -205,10 +227,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     other = few.select("band", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("stray").alias("y_stray"))
     crossed = few.where("stray").select("band", F.col("id").alias("x"), F.col("c").alias("cx")).join(other, "band").where("cx <> cy and (not y_stray or x < y)")
     pairs = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = pairs.unionByName(_large_bands(mixed.where(large), texts, width, percent)).distinct().join(stars, ["a", "b"], "left_anti")
-    more = common.checkpointed(_confirm(common.checkpointed(pairs), texts, width, percent))
+    pairs = pairs.unionByName(_large_bands(mixed.where(large), sets, percent)).distinct().join(stars, ["a", "b"], "left_anti")
+    more = common.checkpointed(_confirm(common.checkpointed(pairs), sets, percent))
+    common.forget(sets)
+    common.forget(shared)
     final = known if more.isEmpty() else components(links.unionByName(more))
-    named = described.select("id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "class"), ["n", "h1", "h2"], "left")
+    classes = of_set.agg(F.min("id").alias("class"))
+    named = described.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left")
     out = named.join(final.withColumnRenamed("id", "class"), "class", "left")
     component = F.coalesce("component", "class", "id")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

@@ -63,10 +63,24 @@ def test_near_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == {i: (len(x), least[i], least[i] == i) for i, x in enumerate(sets)}
 
 
+def test_near_repeated_and_null_ids(spark):
+    rows = [(1, BASE), (1, "x y z"), (2, "x y z"), (None, BASE), (None, "alone here"), (7, "q r s t u v"), (7, "q r s t u v")]
+    got = sorted(((r.doc_id, r.component_id, r.n_shingles) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()), key=str)
+    n = len({(a, b) for a, b in zip(BASE.split(), BASE.split()[1:])})
+    assert got == sorted([(1, 1, n), (1, 1, 2), (2, 1, 2), (None, 1, n), (None, None, 1), (7, 7, 5), (7, 7, 5)], key=str)
+
+
+def test_near_filter_that_is_full(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FILTER_BITS", 64)
+    rows = [(i, BASE.replace("w3x3", f"z{i}")) for i in range(20)] + [(i, f"other{i} text{i}") for i in range(20, 40)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == {i: 0 if i < 20 else i for i in range(40)}
+
+
 def test_sketch_bins_are_full():
     for n in (1, 2, 50, 5000):
         s = near_dedup.sketch(common.mix(np.arange(n, dtype=np.uint64)))
-        assert len(s) == near_dedup.BINS and np.array_equal(s >> np.uint64(55), np.arange(near_dedup.BINS, dtype=np.uint64))
+        assert len(s) == near_dedup.BINS and np.array_equal(s >> np.uint64(64 - (near_dedup.BINS - 1).bit_length()), np.arange(near_dedup.BINS, dtype=np.uint64))
 
 
 def test_coding(docs, none):

@@ -264,6 +264,82 @@ def test_pii(docs, none):
     assert pii.find_pii(none).count() == 0
 
 
+def segmentations(lat, at=0):
+    """All ways to cut a site: lists of (segment or None)."""
+    if at == lat.n:
+        yield []
+        return
+    for rest in segmentations(lat, at + 1):
+        yield [None, *rest]
+    for s, (i, j) in enumerate(zip(lat.i, lat.j, strict=True)):
+        if i == at:
+            for rest in segmentations(lat, j):
+                yield [s, *rest]
+
+
+def test_pii_decoding_and_likelihood_brute_force():
+    rng = np.random.default_rng(1)
+    k = len(pii.KINDS)
+    for text in ("token = a1 22 (33) b", "ssn 12 3 4 x", "call 5 (6) 7", "@ 1"):
+        lat = pii.lattice(text, pii.words_of(text))
+        assert len(lat.i) > 1
+        scores, moves = rng.normal(0, 1, (len(lat.i), k)), rng.normal(0, 1, (k + 1, k + 1))
+        total, best = -np.inf, -np.inf
+        for cut in segmentations(lat):  # kinds are summed, or the best taken, state by state
+            state, top = np.full(k + 1, -np.inf), np.full(k + 1, -np.inf)
+            state[0] = top[0] = 0.0
+            for s in cut:
+                to = [0] if s is None else range(1, k + 1)
+                new, up = np.full(k + 1, -np.inf), np.full(k + 1, -np.inf)
+                for c in to:
+                    own = 0.0 if s is None else scores[s, c - 1]
+                    new[c] = np.logaddexp.reduce(state + moves[:, c]) + own
+                    up[c] = (top + moves[:, c]).max() + own
+                state, top = new, up
+            total, best = np.logaddexp(total, np.logaddexp.reduce(state)), max(best, top.max())
+        found, expected, moved = pii.likelihood(lat, scores, moves)
+        assert np.isclose(found, total) and np.isclose(moved[:, 1:].sum(), expected.sum())
+        step = 1e-5
+        for s, c in ((0, 0), (len(lat.i) - 1, 3)):
+            more = scores.copy()
+            more[s, c] += step
+            assert np.isclose((pii.likelihood(lat, more, moves)[0] - found) / step, expected[s, c], atol=1e-3)
+        value, state, at = 0.0, 0, 0
+        entities = {i: (kind, j) for kind, i, j in pii.decode(lat, scores, moves)}
+        while at < lat.n:
+            kind, j = entities.get(at, (None, at + 1))
+            to = pii.KINDS.index(kind) + 1 if kind else 0
+            value += moves[state, to] + (scores[next(s for s in range(len(lat.i)) if (lat.i[s], lat.j[s]) == (at, j)), to - 1] if kind else 0.0)
+            state, at = to, j
+        assert np.isclose(value, best)
+
+
+def test_pii_held_out_sentences():
+    import random
+
+    model, rng = pii.train(()), random.Random(7)
+    found = wanted = wrong = clean = 0
+    for _ in range(500):
+        text, spans = pii._made_up(rng)
+        base = pii.base_spans(text)
+        got = base + pii.added_spans(text, base, model)
+        wanted += len(spans)
+        found += sum(any(x <= a and y >= b for _, x, y in got) for _, a, b in spans)
+        clean += not spans
+        wrong += not spans and len(got) > len(base)
+    assert found >= 0.93 * wanted and wrong <= 0.05 * clean
+
+
+def test_pii_whole_words_and_long_texts(spark):
+    secret = "aB3" * 400
+    texts = [f"x password = {secret} y", '{"password":"correcthorse","n":12}', "the password reset page", "Call 555-123-4567 now", "My name is John Smith today", "a" * 100_000 + "1" + "b" * 100_000, "1 2\n" * 3000, None, ""]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[0], 2)], "doc_id long, text string, spans int")
+    got = {r.doc_id: r.text for r in pii.mask_pii(docs).collect()}
+    assert got[0] == got[None] == "x password = [secret] y" and got[1] == '{"password":"[secret]","n":12}' and got[2] == texts[2]
+    assert got[3] == "Call [phone] now" and got[4] == "My name is [name] today" and got[5] == texts[5] and got[7] is None and got[8] == ""
+    assert pii.find_pii(docs).count() == len(texts) + 1
+
+
 def test_pii_base_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(3000):

@@ -380,12 +380,48 @@ def test_html(spark):
     assert got[0] == "T&t\n\nOne two three.\n\nFour." and got[20] == "" and got[21] == ""
 
 
+def test_html_other_structures(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    long = " ".join(["some words of text, here."] * 18)
+    odd = [
+        (f"<body><article><h1>T</h1><p>{long}</p><h2>Sub</h2><p>{long} b</p><table><tr><td>cell one</td><td>cell two</td></tr></table><pre>code  here</pre></article><div class=comments><p>{long} c</p><p>{long} d</p></div><div class=x><p>Other story <a href=/a>here now</a></p></div></body>", f"T|{long}|Sub|{long} b|cell one|cell two|code here"),
+        (f"<body><nav><a href=/>Menu</a></nav><div class=b7><h1>Title of it</h1><p title=it's>{long}</p><p>{long} don't</p></div><footer>Foot</footer></body>", f"Title of it|{long}|{long} don't"),
+        ("<article>" + "".join(f"<p>{long} {i}</p>" for i in range(400)) + "</article>", "|".join(f"{long} {i}" for i in range(400))),
+        ("<p title='never closed>" + "<div" * 50 + "<<<>>> &#0; &nosuch; <!-- open", None), ("<" * 5000, None), ("plain", None), (None, ""),
+    ]
+    more = spark.createDataFrame([(9000 + i, None, h, "clash", 1) for i, (h, _) in enumerate(odd)] + [(None, "u", odd[0][0], "x", 2)], "page_id long, url string, html string, text string, n_chars int")
+    got = {r.page_id: r.text for r in html_extract.extract(pages.unionByName(more, allowMissingColumns=True)).collect()}
+    for i, (_, wanted) in enumerate(odd):
+        assert wanted is None or got[9000 + i] == wanted.replace("|", "\n\n")
+    assert got[None] == got[9000] and html_extract.extract(more.limit(0)).count() == 0
+
+
+def test_html_held_out_rebuilt_pages():
+    import random
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    model, rng = html_extract.train(pages[:100]), random.Random(99)
+    right = extra = lost = 0
+    for k in range(100, 200):
+        root, order = html_extract.parse(pages[k])
+        blocks = html_extract.blocks_of(root, {id(n) for n, g in zip(order, html_extract.labels(order), strict=True) if g})
+        other, nodes = html_extract.parse(pages[k + 50])
+        page, wanted = html_extract.truth(html_extract.rebuilt(blocks, html_extract.blocks_of(other, {id(n) for n in nodes}), rng))
+        root, order = html_extract.parse(page)
+        got = collections.Counter(html_extract.blocks_of(root, html_extract.kept(order, model.log_odds(html_extract.features(order)))))
+        want = collections.Counter(wanted)
+        right, extra, lost = right + (got & want).total(), extra + (got - want).total(), lost + (want - got).total()
+    assert right >= 0.95 * (right + lost) and right >= 0.95 * (right + extra)
+
+
 def test_html_counts_siblings_at_every_size():
     for n in (3, 199, 700):
         _, order = html_extract.parse("<article><h1>T</h1>" + "<p>Some words.</p>\n" * n + "</article>")
         x = html_extract.features(order)
-        assert {tuple(x[i, 9:11]) for i, node in enumerate(order) if node.tag == "p"} == {(n + 1, n)}
-        assert {tuple(x[i, 9:11]) for i, node in enumerate(order) if node.tag == "h1"} == {(n + 1, 1)}
+        assert {tuple(x[i, 12:14]) for i, node in enumerate(order) if node.tag == "p"} == {(n + 1, n)}
+        assert {tuple(x[i, 12:14]) for i, node in enumerate(order) if node.tag == "h1"} == {(n + 1, 1)}
 
 
 @pytest.mark.skipif(not os.path.exists("corpus_pipeline.py"), reason="no pipeline")

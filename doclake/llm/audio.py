@@ -6,16 +6,24 @@ frames, each quantised to two bits, give one 32-bit item a frame.  Two
 recordings are aligned where most of their equal items agree on an offset, and
 compared there by the share of unequal bits.
 
+Two recordings are linked when the offset with most votes has ``LEAST_VOTES`` of
+them, ``LEAST_FRAMES`` frames lie over each other there, and at most
+``MOST_ERRORS`` of their bits differ.
+
 Recordings with the same fingerprint are one class, so copies are compared
-once.  Queries and classes are dealt to blocks, and each pair of blocks is one
-small task; no row is made for a pair of items.
+once.  The queries, a stated set, and all classes are dealt to blocks, and each
+pair of blocks is one small task; no row is made for a pair of items.
+``alignments`` returns every link of classes, ``best_matches`` the number of
+recordings that each query is linked with, and the best of them.
 
 The given tables hold no audio.  ``derive_audio`` plays each vector of
 ``embeddings`` as a tune, so close vectors give close recordings.
 
-Nulls: a null or too short recording has no items, is a class of its own kind
-(all such are one class) and matches nothing.  Ties go to fewer bit errors, then
-to the smaller id.
+Nulls: a null or too short recording has no items, is in no class and matches
+nothing; so is a class without any id.  An odd last byte is ignored.  Of equal
+votes an offset of least value is taken; ties of matches go to fewer bit errors,
+then to the smaller id.  Repeated ids are recordings of their own in counts.  An
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +43,8 @@ RATE, FRAME, HOP, NOTE = 2000, 256, 128, 200
 FILTERS = tuple((k % 4, (5 * k) % 12, 2 + k % 5, (4, 6, 8, 12)[k // 4]) for k in range(16))
 WIDEST = max(f[3] for f in FILTERS)
 QUERIES, CLASSES = 200, 1000
+#: What links two recordings: equal items at one offset, frames that lie over each other there, share of unequal bits.
+LEAST_VOTES, LEAST_FRAMES, MOST_ERRORS = 8, 24, 0.2
 
 
 def tune(vector: np.ndarray) -> bytes:
@@ -133,48 +143,84 @@ def bit_errors(q: np.ndarray, r: np.ndarray, offset: int) -> tuple[int, int]:
     return int(np.unpackbits(x.view(np.uint8)).sum()), 32 * (b - a)
 
 
-def best_matches(prints: DataFrame, is_query, key: str = "vec_id") -> DataFrame:
-    """All recordings with their class; queries also with the best other class, its offset, votes and bit errors."""
-    classes = prints.groupBy("sha256").agg(F.min(key).alias("class_id"), F.count("*").alias("class_size"), F.first("items").alias("items"), F.first("n_items").alias("n"))
-    classes = common.checkpointed(classes.where("n > 0"))
-    asked = prints.where(is_query).select("sha256").distinct().join(classes, "sha256")
-    n_q, n_c = asked.count(), classes.count()
+def _classes_of(prints: DataFrame, key: str) -> DataFrame:
+    """(sha256, class_id, class_size, items): recordings of one fingerprint."""
+    return prints.where("n_items > 0").groupBy("sha256").agg(F.min(key).alias("class_id"), F.count("*").alias("class_size"), F.first("items").alias("items")).where("class_id is not null")
 
-    def compare(rows: pa.Table) -> pa.Table:
-        side = rows["as_query"].to_numpy(zero_copy_only=False).astype(bool)
-        ids = rows["class_id"].to_numpy()
-        prints = [np.frombuffer(x, "<u4") for x in rows["items"].to_pylist()]
 
-        def flat(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            size = [len(prints[i]) for i in which]
-            return (np.concatenate([prints[i] for i in which]) if len(which) else np.zeros(0, np.uint32)), np.repeat(which, size), np.concatenate([np.arange(s) for s in size]) if len(which) else np.zeros(0, np.int64)
+def _links(rows: pa.Table) -> list[tuple]:
+    """Links (query, size of the query's class, class, its size, votes, offset, bit errors, bits) of two blocks."""
+    side = rows["as_query"].to_numpy(zero_copy_only=False).astype(bool)
+    ids, sizes = rows["class_id"].to_pylist(), rows["class_size"].to_pylist()
+    prints = [np.frombuffer(x, "<u4") for x in rows["items"].to_pylist()]
 
-        span = max(map(len, prints))
-        best: dict[int, tuple] = {}
-        for i, j, offset, votes in zip(*(x.tolist() for x in align(*flat(np.flatnonzero(side)), *flat(np.flatnonzero(~side)), span)), strict=True):
-            if ids[i] == ids[j] or (i in best and votes < best[i][0]):
-                continue
+    def flat(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = [len(prints[i]) for i in which]
+        return (np.concatenate([prints[i] for i in which]) if len(which) else np.zeros(0, np.uint32)), np.repeat(which, size), np.concatenate([np.arange(s) for s in size]) if len(which) else np.zeros(0, np.int64)
+
+    found = align(*flat(np.flatnonzero(side)), *flat(np.flatnonzero(~side)), max(map(len, prints)))
+    enough = found[3] >= LEAST_VOTES
+    out = []
+    for i, j, offset, votes in zip(*(x[enough].tolist() for x in found), strict=True):
+        if ids[i] != ids[j]:
             errors, bits = bit_errors(prints[i], prints[j], offset)
-            rank = (votes, -errors / max(1, bits), -int(ids[j]))
-            if i not in best or rank > best[i][:3]:
-                best[i] = (*rank, int(offset), errors, bits)
-        out = [(int(ids[i]), v, r, -m, o, e, b) for i, (v, r, m, o, e, b) in best.items()]
-        names = ["class_id", "votes", "nearness", "best_match", "offset", "bit_errors", "bits"]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.table([pa.array([row[c] for row in out], kinds[c]) for c in range(7)], names=names)
+            if bits >= 32 * LEAST_FRAMES and errors <= MOST_ERRORS * bits:
+                out.append((ids[i], sizes[i], ids[j], sizes[j], votes, offset, errors, bits))
+    return out
+
 
+def _blocks(classes: DataFrame, asked: DataFrame, n_c: int, n_q: int):
+    """Queries and classes, dealt so that each query meets each class in one block."""
     blocks_q, blocks_c = -(-n_q // QUERIES) or 1, -(-n_c // CLASSES) or 1
     deal = lambda n: F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = asked.select("class_id", "items", F.lit(True).alias("as_query"), deal(blocks_q).alias("p"), each(blocks_c).alias("q"))
-    others = classes.select("class_id", "items", F.lit(False).alias("as_query"), each(blocks_q).alias("p"), deal(blocks_c).alias("q"))
-    schema = "class_id long, votes long, nearness double, best_match long, offset long, bit_errors long, bits long"
-    found = queries.unionByName(others).groupBy("p", "q").applyInArrow(compare, schema)
+    columns = ["class_id", "class_size", "items"]
+    queries = asked.select(*columns, F.lit(True).alias("as_query"), deal(blocks_q).alias("p"), each(blocks_c).alias("q"))
+    others = classes.select(*columns, F.lit(False).alias("as_query"), each(blocks_q).alias("p"), deal(blocks_c).alias("q"))
+    return queries.unionByName(others).groupBy("p", "q")
+
+
+def alignments(prints: DataFrame, is_query, key: str = "vec_id") -> DataFrame:
+    """(class_id, other_class, votes, offset, bit_errors, bits): every link of a query's class."""
+    classes = common.checkpointed(_classes_of(prints, key))
+    asked = prints.where(is_query).select("sha256").distinct().join(classes, "sha256")
+    names = ["class_id", "size", "other_class", "other_size", "votes", "offset", "bit_errors", "bits"]
+
+    def compare(rows: pa.Table) -> pa.Table:
+        links = _links(rows)
+        return pa.table([pa.array([x[c] for x in links], pa.int64()) for c in range(8)], names=names)
+
+    found = _blocks(classes, asked, classes.count(), asked.count()).applyInArrow(compare, ", ".join(f"{n} long" for n in names))
+    return found.drop("size", "other_size")
+
+
+def best_matches(prints: DataFrame, is_query, key: str = "vec_id") -> DataFrame:
+    """All recordings with their class; queries also with their number of links and the best other class, its offset, votes and bit errors."""
+    classes = common.checkpointed(_classes_of(prints, key))
+    asked = prints.where(is_query).select("sha256").distinct().join(classes, "sha256")
+    names = ["class_id", "links", "votes", "nearness", "best_match", "offset", "bit_errors", "bits"]
+    kinds = [pa.float64() if n == "nearness" else pa.int64() for n in names]
+
+    def compare(rows: pa.Table) -> pa.Table:
+        best: dict[int, tuple] = {}
+        links: dict[int, int] = {}
+        for query, _, other, size, votes, offset, errors, bits in _links(rows):
+            links[query] = links.get(query, 0) + size
+            rank = (votes, -errors / bits, -other)
+            if query not in best or rank > best[query][:3]:
+                best[query] = (*rank, offset, errors, bits)
+        out = [(q, links[q], v, r, -m, o, e, b) for q, (v, r, m, o, e, b) in best.items()]
+        return pa.table([pa.array([row[c] for row in out], kinds[c]) for c in range(len(names))], names=names)
+
+    schema = ", ".join(f"{n} {'double' if n == 'nearness' else 'long'}" for n in names)
+    found = _blocks(classes, asked, classes.count(), asked.count()).applyInArrow(compare, schema)
     rank = F.struct("votes", "nearness", (-F.col("best_match")).alias("m"))
-    best = found.groupBy("class_id").agg(F.max_by(F.struct("best_match", "offset", "votes", "bit_errors", "bits"), rank).alias("b"))
+    best = found.groupBy("class_id").agg(F.sum("links").alias("links"), F.max_by(F.struct("best_match", "offset", "votes", "bit_errors", "bits"), rank).alias("b"))
     named = prints.select(key, "n_items", "sha256").join(classes.select("sha256", "class_id", "class_size"), "sha256", "left").join(best, "class_id", "left")
     fields = [F.when(is_query, F.col(f"b.{c}")).alias(c) for c in ("best_match", "offset", "votes", "bit_errors", "bits")]
-    return named.select(key, "n_items", "sha256", "class_id", "class_size", *fields)
+    # Copies of the query are links too.
+    links = F.when(is_query, F.coalesce(F.col("class_size") - 1, F.lit(0)) + F.coalesce("links", F.lit(0)))
+    return named.select(key, "n_items", "sha256", "class_id", "class_size", links.alias("n_links"), *fields)
 
 
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

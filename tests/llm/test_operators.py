@@ -366,6 +366,37 @@ def test_audio(spark):
     assert got[8].n_items == got[9].n_items == 0 and got[8].best_match is None and got[1].best_match is None
 
 
+def test_audio_links_brute_force(spark):
+    rng = np.random.default_rng(4)
+    tunes = [rng.normal(0, 0.3, 64) for _ in range(8)]
+    rows = [audio.tune(t + rng.normal(0, noise, 64)) for t in tunes for noise in (0, 0.004, 0.01, 0.05)]
+    rows += [rows[0][k * audio.HOP * 2 :] for k in (3, 9)] + [rows[0], rows[5], b"x", None, audio.tune(tunes[0])[:20_001]]
+    docs = spark.createDataFrame([(i, r, "clash") for i, r in enumerate(rows)], "vec_id long, pcm binary, items string")
+    prints = audio.fingerprints(docs)
+    items = [audio.fingerprint(r) for r in rows]
+    links = collections.defaultdict(set)
+    for i, x in enumerate(items):
+        for j, y in enumerate(items):
+            votes = collections.Counter(int(b) - int(a) for a in range(len(x)) for b in np.flatnonzero(y == x[a]))
+            if i != j and votes:
+                offset = min(votes, key=lambda o: (-votes[o], o))
+                pairs = [(int(x[a]), int(y[a + offset])) for a in range(len(x)) if 0 <= a + offset < len(y)]
+                errors = sum((p ^ q).bit_count() for p, q in pairs)
+                if votes[offset] >= audio.LEAST_VOTES and len(pairs) >= audio.LEAST_FRAMES and errors <= audio.MOST_ERRORS * 32 * len(pairs):
+                    links[i].add((j, votes[offset], offset, errors))
+    got = {r.vec_id: r for r in audio.best_matches(prints, audio.F.col("vec_id") % 2 == 0).collect()}
+    assert sum(map(len, links.values())) > 60
+    for i in range(0, len(rows), 2):
+        assert got[i].n_links == len(links[i])
+        others = [x for x in links[i] if not np.array_equal(items[x[0]], items[i])]
+        if others:
+            best = max(x[1] for x in others)
+            assert (got[i].votes, got[i].best_match in {got[x[0]].class_id for x in others if x[1] == best}) == (best, True)
+    pairs = {(r.class_id, r.other_class) for r in audio.alignments(prints, audio.F.col("vec_id") % 2 == 0).collect()}
+    assert pairs == {(got[i].class_id, got[j].class_id) for i in range(0, len(rows), 2) for j, *_ in links[i] if got[i].class_id != got[j].class_id}
+    assert audio.best_matches(prints.limit(0), audio.F.lit(True)).count() == 0
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a\\|b<|x<\\|"), (1, 1, "user", "\\"), (1, 2, None, None), (2, None, "assistant", "<|im_end|>"), (2, 1, "assistant", "x")]
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

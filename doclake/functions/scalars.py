@@ -55,7 +55,7 @@ def file_extension(path: Column) -> Column:
 
 
 def strip_fences(raw: Column) -> Column:
-    """A model's answer without code fences around it."""
+    """A model's answer without code fences around it (the pattern is a fixed value)."""
     return pystrip(F.regexp_replace(pystrip(raw), r"(?md)^```(?:json)?|```$", ""))
 
 

@@ -106,14 +106,22 @@ def default_collection(collections: DataFrame, now: Column) -> DataFrame:
     return list_collections(collections).limit(1)
 
 
-def add_members(members: DataFrame, new: DataFrame, collections: DataFrame) -> DataFrame:
-    """Set-add of (collection_id, doc_id, position); unknown collections add nothing."""
+def _placed(members: DataFrame, new: DataFrame, collections: DataFrame) -> DataFrame:
     known = new.join(collections.select("collection_id"), "collection_id", "left_semi")
     fresh = known.groupBy("collection_id", "doc_id").agg(F.min("position").alias("_at")).join(members, ["collection_id", "doc_id"], "left_anti")
     last = members.groupBy("collection_id").agg(F.max("position").alias("_last"))
     order = Window.partitionBy("collection_id").orderBy("_at", "doc_id")
-    placed = fresh.join(last, "collection_id", "left").withColumn("position", (F.coalesce("_last", F.lit(-1)) + F.row_number().over(order)).cast(members.schema["position"].dataType))
-    return members.unionByName(placed.select("collection_id", "doc_id", "position"))
+    return fresh.join(last, "collection_id", "left").withColumn("position", (F.coalesce("_last", F.lit(-1)) + F.row_number().over(order)).cast(members.schema["position"].dataType))
+
+
+def add_members(members: DataFrame, new: DataFrame, collections: DataFrame) -> DataFrame:
+    """Set-add of (collection_id, doc_id, position); unknown collections add nothing."""
+    return members.unionByName(new_members(members, new, collections))
+
+
+def new_members(members: DataFrame, new: DataFrame, collections: DataFrame) -> DataFrame:
+    """The rows that ``add_members`` adds."""
+    return _placed(members, new, collections).select("collection_id", "doc_id", "position")
 
 
 def get_history(history: DataFrame, limit: int | None = 100) -> DataFrame:

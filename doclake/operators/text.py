@@ -85,19 +85,29 @@ def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], li
                 yield pd.DataFrame({key: batch[key], "embedding": embedder(batch[text].fillna("").tolist())})
 
         return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, embedding array<float>")
-    dims = hashed_terms(df, key, text, dim)
-    norm = F.sqrt(F.aggregate("pairs", F.lit(0.0), lambda s, p: s + p["n"] * p["n"]))
-    folded = dims.groupBy(key).agg(F.collect_list(F.struct(F.col("dim").cast("int").alias("dim"), F.col("n").cast("double").alias("n"))).alias("pairs"))
-    counts = F.map_from_entries("pairs")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)) / F.col("norm")).cast("float"))
-    vectors = folded.withColumn("m", counts).withColumn("norm", norm).select(key, dense.alias("embedding"))
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return df.select(key).join(vectors, key, "left").select(key, F.coalesce("embedding", zero).alias("embedding"))
+    return df.select(key, vector(F.col(text), dim).alias("embedding"))
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _dimension(term: Column, dim: int) -> Column:
+    return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % dim
+
+
+def vector(text: Column, dim: int = 64) -> Column:
+    """How many terms fall on each dimension, scaled to unit length; all 0 without terms (or text)."""
+    dims = F.transform(S.terms(F.coalesce(text, F.lit(""))), lambda t: _dimension(t, dim))
+    count = lambda d: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(d, lambda x: x == i)).cast("double"))
+    norm = lambda c: F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, n: s + n * n)), F.lit(1e-9))
+    return _let(dims, lambda d: _let(count(d), lambda c: _let(norm(c), lambda m: F.transform(c, lambda n: (n / m).cast("float")))))
 
 
 def hashed_terms(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
     """(key, dim, n): how many terms fall on each dimension."""
-    place = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % dim
+    place = _dimension(F.col("term"), dim)
     return df.select(key, F.explode(S.terms(F.col(text))).alias("term")).groupBy(key, place.alias("dim")).agg(F.count("*").alias("n"))
 
 
@@ -154,11 +164,15 @@ def concept_questions(concepts: DataFrame, n: int = 5) -> DataFrame:
 
 
 def concept_listing(concepts: DataFrame) -> DataFrame:
-    """One text: each file's concepts (position, filename, concepts array); of same names the last counts, at the first place."""
-    per_file = concepts.groupBy("filename").agg(F.min("position").alias("p"), F.max_by("concepts", "position").alias("c"))
-    block = F.concat(F.lit("Document: "), "filename", F.lit("\nConcepts: "), F.array_join("c", ", "))
-    rows = F.array_sort(F.collect_list(F.struct("p", block.alias("b"))))
-    return per_file.agg(F.array_join(F.transform(rows, lambda x: x["b"]), "\n\n").alias("listing"))
+    """(place, filename, block): each file's concepts (position, filename, concepts array) as text; of same names the last counts, at the first place."""
+    per_file = concepts.groupBy("filename").agg(F.min("position").alias("place"), F.max_by("concepts", "position").alias("c"))
+    return per_file.select("place", "filename", F.concat(F.lit("Document: "), "filename", F.lit("\nConcepts: "), F.array_join("c", ", ")).alias("block"))
+
+
+def listing_text(blocks: DataFrame) -> DataFrame:
+    """(listing): the blocks of one request as one text, in order; a prompt is one text, so a request has to fit a task."""
+    rows = F.array_sort(F.collect_list(F.struct("place", "filename", "block")))
+    return blocks.agg(F.array_join(F.transform(rows, lambda x: x["block"]), "\n\n").alias("listing"))
 
 
 def order_shared(shared: DataFrame) -> DataFrame:

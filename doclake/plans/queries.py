@@ -15,6 +15,8 @@ from doclake.operators import retrieval as R
 from doclake.operators import stores as K
 from doclake.operators import text as X
 from doclake.plans import tasks
+from doclake.plans.ingest import ingest, with_vectors
+from doclake.sources import files
 
 #: Section words that occur in the given texts.
 KEYWORDS = ("tion", "the", "que")
@@ -27,9 +29,9 @@ chunks AS (SELECT vec_id AS chunk_id, doc_id, '/in/' || source || '.txt' AS sour
 questions AS (SELECT vec_id AS qid, text AS question, embedding FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % 50 = 0),
 collections AS (SELECT label AS collection_id, 'c' || label AS name, TIMESTAMP '2024-01-01' + to_days(label) AS created_at FROM (SELECT DISTINCT label FROM embeddings)),
 members AS (SELECT label AS collection_id, vec_id AS doc_id, vec_id AS position FROM embeddings),
-history AS (SELECT * FROM (SELECT conv_id || '-' || turn AS id, TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS timestamp, conv_id, text AS question,
+history AS (SELECT * FROM (SELECT conv_id || '-' || turn AS id, TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS timestamp, conv_id, turn, text AS question,
   lead(text) OVER w AS answer, role, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'),
-asked AS (SELECT h.id, h.timestamp, d.source, row_number() OVER (PARTITION BY h.id ORDER BY d.doc_id) - 1 AS pos FROM history h JOIN documents d ON d.doc_id % 100 = h.conv_id),
+asked AS (SELECT h.id, h.timestamp, d.source, i AS pos FROM history h CROSS JOIN range(4) r(i) JOIN documents d ON d.doc_id = (h.conv_id * 31 + h.turn * 7 + i * 13) % (SELECT count(*) FROM documents)),
 scored AS (SELECT qid, chunk_id, list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda t: (t[1]::DOUBLE - t[2]::DOUBLE) * (t[1]::DOUBLE - t[2]::DOUBLE))) AS distance FROM questions q, chunks c),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, chunk_id) AS rank FROM scored),
 cands0 AS (SELECT r.*, c.source, c.page, c.content, CASE WHEN lower(q.question) LIKE '%tion%' THEN 'tion' WHEN lower(q.question) LIKE '%the%' THEN 'the' WHEN lower(q.question) LIKE '%que%' THEN 'que' END AS section
@@ -66,8 +68,11 @@ def fixtures(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
     members = vectors.select(F.col("label").alias("collection_id"), F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("position"))
     turns = Window.partitionBy("conv_id").orderBy("turn")
     talk = read("conversations").select("*", F.lead("text").over(turns).alias("answer"), F.lead("role").over(turns).alias("next")).filter("role = 'user' and next = 'assistant'")
-    sources = raw.groupBy((F.col("doc_id") % 100).alias("conv_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "source"))).alias("s"))
-    history = talk.join(sources, "conv_id", "left").select(
+    # Each entry was answered from four documents.
+    picked = (F.col("conv_id") * 31 + F.col("turn") * 7 + F.col("pos") * 13) % raw.agg(F.count("*")).scalar()
+    asked = talk.select("conv_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos")).withColumn("doc_id", picked)
+    sources = asked.join(raw.select("doc_id", "source"), "doc_id").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "source"))).alias("s"))
+    history = talk.join(sources, ["conv_id", "turn"], "left").select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), F.expr(f"{start} + make_dt_interval(0, conv_id, turn)").alias("timestamp"), F.col("text").alias("question"), "answer",
         F.coalesce(F.transform("s", lambda x: F.struct(x["source"].alias("source"))), F.expr("cast(array() as array<struct<source:string>>)")).alias("context"),
     )
@@ -85,10 +90,15 @@ def _confidence(df: DataFrame) -> DataFrame:
 
 def _retrieve(f: SimpleNamespace) -> DataFrame:
     found = R.retrieve_context(f.questions, f.chunks, 4, KEYWORDS)
-    items = F.transform("context", lambda c: F.concat_ws("|", c["source"], F.format_string("%.1f", c["confidence_percent"]), F.coalesce(c["page"].cast("string"), F.lit("-")), F.length(c["content"])))
+    items = F.transform("context", lambda c: F.concat_ws("|", c["source"], F.format_string("%.1f", c["confidence_percent"]), F.coalesce(c["page"].cast("string"), F.lit("-")), F.sha2(c["content"], 256)))
     return found.select("qid", "query", "chunks_retrieved", "chunks_before_dedup", "duplicates_removed", "exact_duplicates", F.array_join(items, ";").alias("items"), "success")
 
 
+def _placed(df: DataFrame, *columns: str) -> DataFrame:
+    """With each row's place in a short ordered result."""
+    return df.select(*columns, F.monotonically_increasing_id().alias("_m")).withColumn("place", F.row_number().over(Window.orderBy("_m")).cast("long")).drop("_m")
+
+
 def _sets(df: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
         df = df.withColumn(c, F.array_join(c, ","))
@@ -105,6 +115,98 @@ def _answers(f: SimpleNamespace, answer: Column) -> DataFrame:
     return f.docs.select("doc_id", F.concat(F.lit("```json\n"), F.to_json(answer), F.lit("\n```")).alias("raw"))
 
 
+def _files(f: SimpleNamespace) -> DataFrame:
+    """(path, length) of files, some not to be admitted."""
+    ends = F.array(*map(F.lit, (".txt", ".pdf", ".exe", ".d/noext", ".tar.md")))
+    return f.docs.select(F.concat(F.lit("/in/"), "doc_id", F.get(ends, (F.col("doc_id") % 5).cast("int"))).alias("path"), (F.lit(52428000) + F.col("doc_id")).alias("length"))
+
+
+def _admitted(good: DataFrame, bad: DataFrame) -> DataFrame:
+    return good.select("path", F.lit("accepted").alias("verdict")).unionByName(bad.select("path", F.col("reason").alias("verdict")))
+
+
+def _ingested(f: SimpleNamespace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations uploaded as files, a page for the start of each turn, to the oldest collection."""
+    pages = f.turns.select(F.concat(F.lit("/in/c"), "conv_id", F.lit(".txt")).alias("source"), F.col("turn").cast("int").alias("page"), F.substring("text", 1, 900).alias("text"))
+    members = f.members.withColumn("doc_id", F.col("doc_id").cast("string"))
+    return ingest(pages, f.collections, F.expr("timestamp_ntz'2024-03-01 00:00:00'"), members=members)
+
+
+def _notes(f: SimpleNamespace) -> DataFrame:
+    some = lambda n, *of: F.transform(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda i: i < F.col("doc_id") % n), lambda i: F.struct(*(x(i).alias(c) for c, x in of)))
+    return _answers(f, F.struct(F.col("full_text").alias("summary"), some(4, ("concept", lambda i: F.col("filename")), ("explanation", lambda i: i.cast("string"))).alias("key_concepts"), some(3, ("question", lambda i: F.col("filename")), ("answer", lambda i: F.lit("a"))).alias("viva_questions")))
+
+
+def _comparisons(f: SimpleNamespace) -> DataFrame:
+    """Answers in JSON, in words, of another type, and JSON null."""
+    good = F.to_json(F.struct(F.array("filename", F.lit("x")).alias("matching_points"), (F.col("doc_id") % 100 + 0.5).alias("overall_match_percent")))
+    return f.docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, good).when(F.col("doc_id") % 4 == 1, F.col("filename")).when(F.col("doc_id") % 4 == 2, "[1, 2]").otherwise("null").alias("raw"))
+
+
+def _crosses(f: SimpleNamespace) -> DataFrame:
+    row = lambda name, *files: F.struct(F.lit(name).alias("concept"), F.array(*map(F.lit, files)).alias("found_in"))
+    good = F.to_json(F.array(row("one", "a"), row("two", "a", "b")))
+    return f.docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, good).when(F.col("doc_id") % 3 == 1, '{"a": 1}').otherwise(F.col("filename")).alias("raw"))
+
+
+def _summarised(f: SimpleNamespace) -> DataFrame:
+    """Documents with summaries as structs."""
+    none = F.array().cast("array<string>")
+    held = F.struct(F.col("summary").alias("executive_summary"), *(none.alias(c) for c in ("key_topics", "key_takeaways", "important_entities")))
+    return f.docs.withColumn("summary", F.when(F.col("summary").isNotNull(), held))
+
+
+def _own_vectors(f: SimpleNamespace) -> SimpleNamespace:
+    """All documents cut to chunks with vectors of their own, and questions with vectors made the same way."""
+    pages = f.docs.select("doc_id", F.concat(F.lit("/in/"), "filename").alias("source"), F.lit(None).cast("int").alias("page"), F.col("full_text").alias("text"))
+    chunks = with_vectors(X.chunk_recursive(pages).withColumn("chunk_id", F.concat_ws("#", "doc_id", "pos")))
+    questions = f.docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("full_text").alias("question"))
+    return SimpleNamespace(chunks=chunks, questions=questions.withColumn("embedding", X.vector(F.col("question"))))
+
+
+def _all_prompts(f: SimpleNamespace) -> DataFrame:
+    """Digests of the prompts of all eight kinds."""
+    t = F.col("full_text")
+    prompts = {task: tasks.render(task, t) for task in tasks.TEMPLATES} | {"short": tasks.render_short_summary(t), "answer": tasks.render_answer(F.col("filename"), t), "compare": tasks.render_compare(t, F.col("filename"))}
+    return f.docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("task"), F.md5(p).alias("prompt")) for k, p in prompts.items()))).alias("p")).select("doc_id", "p.*")
+
+
+def _all_prompts_sql() -> str:
+    parts = [f"SELECT doc_id, '{task}' AS task, md5('{before}' || {f'substr(full_text, 1, {S.LIMITS[limit]})' if limit else 'full_text'}) AS prompt FROM docs" for task, (before, _, limit) in tasks.TEMPLATES.items()]
+    parts.append("SELECT doc_id, 'short', md5('Summarise in 150 words at most:' || chr(10) || chr(10) || full_text) FROM docs")
+    parts.append(f"SELECT doc_id, 'answer', md5('{tasks.ANSWER[0]}' || full_text || '{tasks.ANSWER[1]}' || filename || '{tasks.ANSWER[2]}') FROM docs")
+    parts.append(f"SELECT doc_id, 'compare', md5('{tasks.COMPARE[0]}' || substr(full_text, 1, 8000) || '{tasks.COMPARE[1]}' || filename) FROM docs")
+    return " UNION ALL ".join(parts)
+
+
+def _sometimes(prompts: list[str]) -> list[str]:
+    """Fails on some prompts."""
+    if any(p.startswith("FAIL") for p in prompts):
+        raise ValueError("no answer")
+    return _digests(prompts)
+
+
+def _answering(prompts: list[str]) -> list[str]:
+    """Fails on half of the prompts."""
+    found = _digests(prompts)
+    if any(d[0] >= "8" for d in found):
+        raise ValueError("no answer")
+    return found
+
+
+def _json_digests(prompts: list[str]) -> list[str]:
+    return [f'```json\n{{"executive_summary": "{d}"}}\n```' for d in _digests(prompts)]
+
+
+def _note_digests(prompts: list[str]) -> list[str]:
+    return [f'{{"summary": "{d}", "viva_questions": [{{"question": "q", "answer": "a"}}]}}' for d in _digests(prompts)]
+
+
+def _cross_digests(prompts: list[str]) -> list[str]:
+    whole = tasks.TEMPLATES["cross"][0]
+    return [f'[{{"concept": "{d}", "found_in": ["x"]}}]' if p.startswith(whole) else f'["{d}"]' for p, d in zip(prompts, _digests(prompts), strict=True)]
+
+
 Rows = Callable[[SimpleNamespace], DataFrame]
 
 #: name -> (rows, SQL after the fixtures' WITH).
@@ -123,14 +225,14 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
     "p7_uncached": (lambda f: K.uncached(f.docs).select("doc_id"), "SELECT doc_id FROM docs WHERE summary IS NULL"),
     "p8_hits_without_scores": (lambda f: R.hits_without_scores(R.knn(f.questions, f.chunks, 4)), "SELECT qid, chunk_id, rank FROM ranked WHERE rank <= 4"),
     "j1_collection_documents": (
-        lambda f: K.collection_documents(f.collections, f.members, f.docs).select("collection_id", "name", F.array_join(F.transform("documents", lambda d: d["doc_id"].cast("string")), ",").alias("ids")),
-        "SELECT c.collection_id, c.name, coalesce(string_agg(CAST(d.doc_id AS VARCHAR), ',' ORDER BY m.position), '') AS ids FROM collections c LEFT JOIN (members m JOIN docs d USING (doc_id)) USING (collection_id) GROUP BY ALL",
+        lambda f: K.collection_documents(f.collections, f.members, f.docs).select("collection_id", "name", F.array_join(F.transform("documents", lambda d: F.concat_ws("|", d["doc_id"], d["filename"], d["file_path"], d["uploaded_at"].cast("string"), F.coalesce(d["summary"], F.lit("-")))), ",").alias("documents")),
+        "SELECT c.collection_id, c.name, coalesce(string_agg(concat_ws('|', d.doc_id, d.filename, d.file_path, strftime(d.uploaded_at, '%Y-%m-%d %H:%M:%S'), coalesce(d.summary, '-')), ',' ORDER BY m.position), '') AS documents FROM collections c LEFT JOIN (members m JOIN docs d USING (doc_id)) USING (collection_id) GROUP BY ALL",
     ),
     "j2_resolve_documents": (
         lambda f: K.resolve_documents(f.docs.select(F.col("doc_id").cast("string").alias("ident")).union(f.docs.select("filename").distinct()), f.docs).select("ident", F.col("document.doc_id").alias("doc_id")),
         "SELECT CAST(doc_id AS VARCHAR) AS ident, doc_id FROM docs UNION ALL SELECT filename, max(doc_id) FROM docs GROUP BY filename",
     ),
-    "j3_select_documents": (lambda f: K.select_documents(f.docs, [9, -1, 4, 9]).select("doc_id", "filename"), "SELECT doc_id, filename FROM docs JOIN (VALUES (9), (4), (9)) v(i) ON doc_id = i"),
+    "j3_select_documents": (lambda f: _placed(K.select_documents(f.docs, [9, -1, 4, 9]), "doc_id", "filename"), "SELECT doc_id, filename, place FROM docs JOIN (VALUES (9, 1::BIGINT), (4, 2), (9, 3)) v(i, place) ON doc_id = i"),
     "j4_knn": (lambda f: R.knn(f.questions, f.chunks, 8).withColumn("distance", F.round("distance", 6)), "SELECT qid, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 8"),
     "j4_knn_arrow": (lambda f: R.knn(f.questions, f.chunks, 8, method="arrow").withColumn("distance", F.round("distance", 6)), "SELECT qid, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 8"),
     "j5_knn_approx": (lambda f: R.knn_approx(f.questions, f.chunks, 4), None),
@@ -151,8 +253,8 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
     "e3_queries_per_day": (lambda f: A.queries_per_day(f.history), "SELECT CAST(timestamp AS DATE) AS day, count(*) AS n FROM history GROUP BY 1"),
     "e4_summarized_count": (lambda f: A.summarized_count(f.docs), "SELECT count(summary) AS n FROM docs"),
     "e5_dashboard": (
-        lambda f: A.dashboard(f.docs, f.chunks, f.history, f.collections, "2024-01-02", "own", "none").drop("most_queried_document"),
-        "SELECT (SELECT count(*) FROM docs) AS total_documents, (SELECT count(*) FROM chunks) AS total_chunks, (SELECT count(*) FROM history) AS total_queries, (SELECT count(*) FROM history WHERE CAST(timestamp AS DATE) = DATE '2024-01-02') AS queries_today, (SELECT count(*) FROM collections) AS total_collections, (SELECT count(summary) FROM docs) AS summarized_documents, 'own' AS llm_provider, 'none' AS llm_model",
+        lambda f: A.dashboard(f.docs, f.chunks, f.history, f.collections, "2024-01-02", "own", "none"),
+        "SELECT (SELECT count(*) FROM docs) AS total_documents, (SELECT count(*) FROM chunks) AS total_chunks, (SELECT count(*) FROM history) AS total_queries, (SELECT count(*) FROM history WHERE CAST(timestamp AS DATE) = DATE '2024-01-02') AS queries_today, (SELECT count(*) FROM collections) AS total_collections, (SELECT count(summary) FROM docs) AS summarized_documents, (SELECT s.source FROM (SELECT source, count(*) AS n FROM asked GROUP BY 1) s JOIN (SELECT source, row_number() OVER (PARTITION BY source ORDER BY timestamp DESC, id, pos) AS k, timestamp, id, pos FROM asked) a ON s.source = a.source AND k = 1 ORDER BY n DESC, timestamp DESC, id, pos LIMIT 1) AS most_queried_document, 'own' AS llm_provider, 'none' AS llm_model",
     ),
     "e6_collection_info": (lambda f: A.collection_info(f.chunks, "all", "/db"), "SELECT 'all' AS name, count(*) AS document_count, '/db' AS path FROM chunks"),
     "e7_chunk_counts": (lambda f: A.chunk_counts(f.docs, f.chunks), "SELECT d.doc_id, count(c.chunk_id) AS chunk_count FROM docs d LEFT JOIN chunks c USING (doc_id) GROUP BY 1"),
@@ -164,15 +266,15 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
     "e10_context_pack": (lambda f: R.context_pack(_kept(f)[1]), "SELECT qid, string_agg('Source: ' || coalesce(source, 'Unknown') || chr(10) || content, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM kept GROUP BY 1"),
     "e11_concept_listing": (
         lambda f: X.concept_listing(X.top_concepts(f.docs, 5).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("concepts")).join(f.docs, "doc_id").select("filename", F.col("doc_id").alias("position"), "concepts")),
-        "SELECT string_agg('Document: ' || filename || chr(10) || 'Concepts: ' || c, chr(10) || chr(10) ORDER BY p) AS listing FROM (SELECT filename, min(doc_id) AS p, max_by(c, doc_id) AS c FROM (SELECT doc_id, string_agg(term, ', ' ORDER BY rank) AS c FROM concepts WHERE rank <= 5 GROUP BY 1) JOIN docs USING (doc_id) GROUP BY 1)",
+        "SELECT p AS place, filename, 'Document: ' || filename || chr(10) || 'Concepts: ' || c AS block FROM (SELECT filename, min(doc_id) AS p, max_by(c, doc_id) AS c FROM (SELECT doc_id, string_agg(term, ', ' ORDER BY rank) AS c FROM concepts WHERE rank <= 5 GROUP BY 1) JOIN docs USING (doc_id) GROUP BY 1)",
     ),
     "w1_latest_by_filename": (lambda f: K.latest_by_filename(f.docs).select("filename", "doc_id"), "SELECT filename, max(doc_id) AS doc_id FROM docs GROUP BY 1"),
     "w2_dedup_hits": (lambda f: _kept(f)[1].select("qid", "chunk_id", "rank"), "SELECT qid, chunk_id, rank FROM kept"),
     "w3_topk": (lambda f: R.knn(f.questions, f.chunks, 3, metric="l2sq").select("qid", "chunk_id", "rank"), "SELECT qid, chunk_id, rank FROM ranked WHERE rank <= 3"),
     "t1_list_documents": (lambda f: K.list_documents(f.docs).select("doc_id", "filename"), "SELECT doc_id, filename FROM docs ORDER BY uploaded_at DESC, doc_id"),
-    "t2_list_collections": (lambda f: K.list_collections(f.collections).select("collection_id", "name"), "SELECT collection_id, name FROM collections ORDER BY created_at, collection_id"),
+    "t2_list_collections": (lambda f: _placed(K.list_collections(f.collections), "collection_id", "name"), "SELECT collection_id, name, row_number() OVER (ORDER BY created_at, collection_id) AS place FROM collections"),
     "t3_default_collection": (lambda f: K.default_collection(f.collections, F.expr("timestamp_ntz'2024-01-01 00:00:00'")).select("collection_id", "name"), "SELECT collection_id, name FROM collections ORDER BY created_at, collection_id LIMIT 1"),
-    "t4_get_history": (lambda f: K.get_history(f.history, 100).select("id", "question"), "SELECT id, question FROM history ORDER BY timestamp DESC, id LIMIT 100"),
+    "t4_get_history": (lambda f: _placed(K.get_history(f.history, 100), "id", "question"), "SELECT id, question, row_number() OVER (ORDER BY timestamp DESC, id) AS place FROM history ORDER BY timestamp DESC, id LIMIT 100"),
     "t6_order_shared": (
         lambda f: X.order_shared(X.shared_concepts(X.top_concepts(f.docs).join(f.docs, "doc_id").select("filename", F.col("term").alias("concept"))).withColumn("pos", F.col("concept"))).select("concept", F.size("found_in").alias("n")),
         "SELECT term AS concept, CAST(count(DISTINCT filename) AS INTEGER) AS n FROM concepts JOIN docs USING (doc_id) GROUP BY 1 HAVING count(DISTINCT filename) > 1",
@@ -187,8 +289,8 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
         "SELECT term AS concept, string_agg(DISTINCT filename, ',' ORDER BY filename) AS found_in, CAST(count(DISTINCT filename) AS INTEGER) AS n FROM concepts JOIN docs USING (doc_id) GROUP BY 1 HAVING count(DISTINCT filename) > 1",
     ),
     "g3_compare_terms": (
-        lambda f: X.compare_terms(f.pairs, f.docs).select("a", "b", F.size("matching_points").alias("both"), F.size("missing_in_a").alias("only_b"), F.size("missing_in_b").alias("only_a"), "overall_match_percent"),
-        r"WITH_MORE own AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(full_text), '[^\p{L}]+'), lambda x: length(x) > 3)) AS t FROM docs), s AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS na, len(b.t) AS nb FROM own a JOIN own b ON b.doc_id = a.doc_id + 1) SELECT a, b, CAST(i AS INTEGER) AS both, CAST(nb - i AS INTEGER) AS only_b, CAST(na - i AS INTEGER) AS only_a, CASE WHEN na + nb = 0 THEN 0.0 ELSE round(100 * i / (na + nb - i), 1) END AS overall_match_percent FROM s",
+        lambda f: X.compare_terms(f.pairs, f.docs).select("a", "b", *(F.array_join(c, ",").alias(c) for c in ("matching_points", "missing_in_a", "missing_in_b")), "overall_match_percent"),
+        r"WITH_MORE own AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(full_text), '[^\p{L}]+'), lambda x: length(x) > 3)) AS t FROM docs), s AS (SELECT a.doc_id AS a, b.doc_id AS b, list_intersect(a.t, b.t) AS shared, a.t AS ta, b.t AS tb, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS na, len(b.t) AS nb FROM own a JOIN own b ON b.doc_id = a.doc_id + 1) SELECT a, b, array_to_string(list_sort(shared), ',') AS matching_points, array_to_string(list_sort(list_filter(tb, lambda x: NOT list_contains(shared, x))), ',') AS missing_in_a, array_to_string(list_sort(list_filter(ta, lambda x: NOT list_contains(shared, x))), ',') AS missing_in_b, CASE WHEN na + nb = 0 THEN 0.0 ELSE round(100 * i / (na + nb - i), 1) END AS overall_match_percent FROM s",
     ),
     "g4_extractive_summary": (
         lambda f: X.extractive_summary(f.docs),
@@ -207,7 +309,10 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
         lambda f: X.hashed_terms(f.raw, "doc_id", "text"),
         r"SELECT doc_id, CAST(('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS BIGINT) AS dim, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: length(x) > 3)) AS term FROM documents) GROUP BY ALL",
     ),
-    "b3_embed_dense": (lambda f: X.embed(f.raw, "doc_id", "text"), None),
+    "b3_embed_dense": (
+        lambda f: X.embed(f.raw, "doc_id", "text").select("doc_id", F.posexplode("embedding").alias("dim", "value")).select("doc_id", "dim", F.round(F.col("value").cast("double"), 6).alias("value")),
+        r"WITH_MORE counted AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS dim, count(*) AS n FROM all_terms GROUP BY ALL), norms AS (SELECT doc_id, sqrt(sum(n * n)::DOUBLE) AS norm FROM counted GROUP BY 1) SELECT d.doc_id, CAST(i AS INTEGER) AS dim, round(CAST(CAST(coalesce(n / norm, 0) AS FLOAT) AS DOUBLE), 6) AS value FROM documents d CROSS JOIN range(64) r(i) LEFT JOIN norms USING (doc_id) LEFT JOIN counted c ON c.doc_id = d.doc_id AND c.dim = i",
+    ),
     "s1_detect_section": (lambda f: f.docs.select("doc_id", S.detect_section(F.col("full_text"), KEYWORDS).alias("section")), "SELECT doc_id, CASE WHEN contains(lower(full_text), 'tion') THEN 'tion' WHEN contains(lower(full_text), 'the') THEN 'the' WHEN contains(lower(full_text), 'que') THEN 'que' END AS section FROM docs"),
     "s2_confidence": (lambda f: _confidence(_kept(f)[1]).select("qid", "chunk_id", "confidence"), "SELECT qid, chunk_id, confidence FROM conf"),
     "s3_clean_source": (lambda f: f.chunks.select("chunk_id", S.clean_source(F.col("source")).alias("name")), r"SELECT chunk_id, regexp_extract(source, '[^/]+$') AS name FROM chunks"),
@@ -239,7 +344,104 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
     "s9_file_extension": (lambda f: f.chunks.select("chunk_id", S.file_extension(F.col("source")).alias("ext")), r"SELECT chunk_id, lower(regexp_extract(source, '[^/.][^/]*(\.[^./]+)$', 1)) AS ext FROM chunks"),
     "q1_retrieve_context": (
         _retrieve,
-        "SELECT q.qid, q.question AS query, CAST(count(k.rank) AS INTEGER) AS chunks_retrieved, CAST(any_value(b.n) AS INTEGER) AS chunks_before_dedup, CAST(any_value(b.n) - count(k.rank) AS INTEGER) AS duplicates_removed, CAST(any_value(b.n - b.d) AS INTEGER) AS exact_duplicates, string_agg(regexp_extract(source, '[^/]+$') || '|' || printf('%.1f', confidence) || '|' || coalesce(CAST(page + 1 AS VARCHAR), '-') || '|' || length(content), ';' ORDER BY k.rank) AS items, count(k.rank) > 0 AS success FROM questions q LEFT JOIN conf k USING (qid) LEFT JOIN (SELECT qid, count(*) AS n, count(DISTINCT k) AS d FROM stripped GROUP BY 1) b USING (qid) GROUP BY 1, 2",
+        "SELECT q.qid, q.question AS query, CAST(count(k.rank) AS INTEGER) AS chunks_retrieved, CAST(any_value(b.n) AS INTEGER) AS chunks_before_dedup, CAST(any_value(b.n) - count(k.rank) AS INTEGER) AS duplicates_removed, CAST(any_value(b.n - b.d) AS INTEGER) AS exact_duplicates, string_agg(regexp_extract(source, '[^/]+$') || '|' || printf('%.1f', confidence) || '|' || coalesce(CAST(page + 1 AS VARCHAR), '-') || '|' || sha256(content), ';' ORDER BY k.rank) AS items, count(k.rank) > 0 AS success FROM questions q LEFT JOIN conf k USING (qid) LEFT JOIN (SELECT qid, count(*) AS n, count(DISTINCT k) AS d FROM stripped GROUP BY 1) b USING (qid) GROUP BY 1, 2",
+    ),
+    "a3_admit_files": (
+        lambda f: _admitted(*files.admit_files(_files(f))),
+        "SELECT path, CASE WHEN regexp_extract(path, '[^/.][^/]*([.][^./]+)$', 1) NOT IN ('.pdf', '.txt', '.docx', '.md') THEN 'type' WHEN length > 52428800 THEN 'size' ELSE 'accepted' END AS verdict FROM (SELECT '/in/' || doc_id || ['.txt', '.pdf', '.exe', '.d/noext', '.tar.md'][doc_id % 5 + 1] AS path, 52428000 + doc_id AS length FROM docs)",
+    ),
+    "a5_ingest_documents": (
+        lambda f: _ingested(f)[0].select("filename", "file_path", "full_text", "chunk_count", F.col("uploaded_at").cast("string").alias("uploaded_at"), F.col("summary").isNull().alias("new")),
+        "SELECT regexp_extract(path, '[^/]+$') AS filename, path AS file_path, string_agg(t, chr(10) || chr(10) ORDER BY page) AS full_text, CAST(sum(n) AS INTEGER) AS chunk_count, '2024-03-01 00:00:00' AS uploaded_at, true AS new FROM (SELECT '/in/c' || conv_id || '.txt' AS path, turn AS page, substr(text, 1, 900) AS t, CASE WHEN trim(substr(text, 1, 900), chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN 0 ELSE 1 END AS n FROM conversations) GROUP BY path",
+    ),
+    "a5_ingest_chunks": (
+        lambda f: _ingested(f)[1].select("source", "page", "pos", "content", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm")),
+        r"SELECT * FROM (SELECT '/in/c' || conv_id || '.txt' AS source, CAST(turn AS INTEGER) AS page, CAST(0 AS INTEGER) AS pos, trim(substr(text, 1, 900), chr(32) || chr(9) || chr(10) || chr(13)) AS content, CASE WHEN len(list_filter(regexp_split_to_array(lower(content), '[^\p{L}]+'), lambda x: length(x) > 3)) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS norm FROM conversations) WHERE content <> ''",
+    ),
+    "a5_ingest_members": (
+        lambda f: _ingested(f)[2].groupBy("collection_id").agg(F.count("*").alias("n"), F.min("position").alias("first"), F.max("position").alias("last")),
+        "SELECT 0 AS collection_id, n, last_one + 1 AS first, last_one + n AS last FROM (SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS n, (SELECT max(vec_id) FROM embeddings WHERE label = 0) AS last_one)",
+    ),
+    "e12_notes_counts": (
+        lambda f: tasks.notes_counts(tasks.parse_notes(_notes(f))).select("doc_id", "counts.*"),
+        "SELECT doc_id, CAST(doc_id % 4 AS INTEGER) AS key_concepts, CAST(0 AS INTEGER) AS flashcards, CAST(doc_id % 3 AS INTEGER) AS viva_questions, CAST(0 AS INTEGER) AS mcqs FROM docs",
+    ),
+    "t5_oversample": (lambda f: R.knn(f.questions, f.chunks, R.oversample(3)).select("qid", "chunk_id", "rank"), "SELECT qid, chunk_id, rank FROM ranked WHERE rank <= 6"),
+    "t7_cap_questions": (
+        lambda f: f.docs.select("doc_id", F.array_join(S.cap_questions(S.terms(F.col("full_text"))), ",").alias("questions")),
+        r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(full_text), '[^\p{L}]+'), lambda x: length(x) > 3)[1:5], ',') AS questions FROM docs",
+    ),
+    "m1_create_collections": (
+        lambda f: K.create_collections(f.collections, f.docs.select(F.col("doc_id").cast("int").alias("collection_id"), F.col("filename").alias("name")), F.expr("timestamp_ntz'2024-05-01 00:00:00'")).withColumn("created_at", F.col("created_at").cast("string")),
+        "SELECT collection_id, name, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM collections UNION ALL SELECT doc_id, filename, '2024-05-01 00:00:00' FROM docs",
+    ),
+    "s10_strip_fences": (
+        lambda f: f.docs.select("doc_id", S.strip_fences(F.concat(F.lit("  ```json\n"), "full_text", F.lit("\n``` "))).alias("t")),
+        r"SELECT doc_id, regexp_replace(regexp_replace(full_text, '^[\t-\r\x1c-\x20\x{85}\p{Z}]+', ''), '[\t-\r\x1c-\x20\x{85}\p{Z}]+$', '') AS t FROM docs",
+    ),
+    "s11_join_parts": (
+        lambda f: f.docs.select("doc_id", S.join_parts(F.array(*(F.struct(c.alias("text")) for c in (F.lit(" "), F.col("filename"), F.lit(None).cast("string"), F.col("summary"))))).alias("t")),
+        r"SELECT doc_id, regexp_replace(filename || '  ' || coalesce(summary, ''), '[\t-\r\x1c-\x20\x{85}\p{Z}]+$', '') AS t FROM docs",
+    ),
+    "s12_utc_iso": (
+        lambda f: f.docs.select("doc_id", S.utc_iso(F.to_timestamp(F.concat(F.col("uploaded_at").cast("string"), F.lit("+00:00")))).alias("t")),
+        "SELECT doc_id, strftime(uploaded_at, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS t FROM docs",
+    ),
+    "f1_render_all_prompts": (
+        lambda f: _all_prompts(f),
+        _all_prompts_sql(),
+    ),
+    "f2_map_responses": (
+        lambda f: tasks.map_responses(f.docs.select("doc_id", F.concat(F.when(F.col("doc_id") % 7 == 0, "FAIL ").otherwise(""), "full_text").alias("prompt")), _sometimes, "doc_id"),
+        "SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN md5(full_text) END AS raw, CASE WHEN doc_id % 7 = 0 THEN 'no answer' END AS error FROM docs",
+    ),
+    "f4_parse_comparison": (
+        lambda f: tasks.parse_comparison(_comparisons(f)).select("doc_id", F.array_join("comparison.matching_points", ",").alias("matching_points"), F.size("comparison.missing_in_a").alias("n_a"), "comparison.overall_match_percent", "raw_response", "error"),
+        "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN filename || ',x' ELSE '' END AS matching_points, CAST(0 AS INTEGER) AS n_a, CASE WHEN doc_id % 4 = 0 THEN doc_id % 100 + 0.5 ELSE 0.0 END::DOUBLE AS overall_match_percent, CASE WHEN doc_id % 4 = 1 THEN filename END AS raw_response, CASE WHEN doc_id % 4 = 2 THEN 'the answer is JSON, but not an object' END AS error FROM docs",
+    ),
+    "f4_parse_notes": (
+        lambda f: tasks.parse_notes(_notes(f)).select("doc_id", "notes.summary", F.array_join(F.transform("notes.key_concepts", lambda c: F.concat_ws("=", c["concept"], c["explanation"])), ",").alias("concepts"), F.size("notes.mcqs").alias("n_mcqs"), "error"),
+        "SELECT doc_id, full_text AS summary, coalesce(array_to_string(list_transform(range(doc_id % 4), lambda i: filename || '=' || i), ','), '') AS concepts, CAST(0 AS INTEGER) AS n_mcqs, CAST(NULL AS VARCHAR) AS error FROM docs",
+    ),
+    "f6_parse_cross": (
+        lambda f: tasks.parse_cross(_crosses(f)).select("doc_id", F.array_join(F.transform("shared", lambda c: F.concat(c["concept"], F.lit(":"), F.size(c["found_in"]))), ",").alias("shared"), "error"),
+        "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'two:2,one:1' WHEN doc_id % 3 = 1 THEN '' END AS shared, CASE WHEN doc_id % 3 = 1 THEN 'the answer is JSON, but not a list' WHEN doc_id % 3 = 2 THEN 'the answer is not JSON' END AS error FROM docs",
+    ),
+    "f7_summarize_documents": (
+        lambda f: tasks.summarize_documents(_summarised(f), _json_digests).select("doc_id", "summary.executive_summary", "cached", "error"),
+        "SELECT doc_id, CASE WHEN summary IS NOT NULL THEN summary ELSE md5('" + tasks.TEMPLATES["summary"][0] + "' || substr(full_text, 1, 12000)) END AS executive_summary, summary IS NOT NULL AS cached, CAST(NULL AS VARCHAR) AS error FROM docs",
+    ),
+    "f7_summarize_asked": (
+        lambda f: tasks.summarize_documents(_summarised(f), _json_digests, [3, 4, -5, 4]).select("doc_id", "summary.executive_summary", "cached", "error"),
+        "SELECT doc_id, CASE WHEN summary IS NOT NULL THEN summary ELSE md5('" + tasks.TEMPLATES["summary"][0] + "' || substr(full_text, 1, 12000)) END AS executive_summary, summary IS NOT NULL AS cached, CAST(NULL AS VARCHAR) AS error FROM docs WHERE doc_id IN (3, 4) UNION ALL SELECT -5, NULL, false, 'Document not found: -5'",
+    ),
+    "f7_store_summaries": (
+        lambda f: tasks.store_summaries(_summarised(f), tasks.summarize_documents(_summarised(f), _json_digests)).select("doc_id", "summary.executive_summary"),
+        "SELECT doc_id, CASE WHEN summary IS NOT NULL THEN summary ELSE md5('" + tasks.TEMPLATES["summary"][0] + "' || substr(full_text, 1, 12000)) END AS executive_summary FROM docs",
+    ),
+    "f8_compare_documents": (
+        lambda f: tasks.compare_documents(f.pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")), f.docs, _digests).select("a", "b", "error", "raw_response"),
+        "SELECT CAST(p.doc_id AS VARCHAR) AS a, CAST(p.doc_id + 1 AS VARCHAR) AS b, CASE WHEN d.doc_id IS NULL THEN 'Document not found: ' || (p.doc_id + 1) END AS error, md5('" + tasks.COMPARE[0] + "' || substr(p.full_text, 1, 8000) || '" + tasks.COMPARE[1] + "' || substr(d.full_text, 1, 8000)) AS raw_response FROM docs p LEFT JOIN docs d ON d.doc_id = p.doc_id + 1",
+    ),
+    "f9_suggest_questions": (
+        lambda f: _sets(tasks.suggest_questions(f.docs, _digests), "questions"),
+        "SELECT doc_id, md5('" + tasks.TEMPLATES["questions"][0] + "' || substr(full_text, 1, 8000)) AS questions, CAST(NULL AS VARCHAR) AS error FROM docs",
+    ),
+    "f9_study_notes": (
+        lambda f: tasks.study_notes(f.docs, _note_digests).select("doc_id", "filename", "summary", F.col("counts.viva_questions").alias("n_viva"), "error"),
+        "SELECT doc_id, filename, md5('" + tasks.TEMPLATES["notes"][0] + "' || substr(full_text, 1, 12000)) AS summary, CAST(1 AS INTEGER) AS n_viva, CAST(NULL AS VARCHAR) AS error FROM docs",
+    ),
+    "f10_cross_document": (
+        lambda f: tasks.cross_document(f.docs, list(range(40)), _cross_digests).select("document_count", F.array_join(F.transform("shared", lambda c: c["concept"]), ",").alias("shared"), F.size("per_document_concepts").alias("n_files"), F.array_join(F.array_sort(F.transform(F.map_entries("per_document_concepts"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+")))), ",").alias("per_document"), "error"),
+        "WITH_MORE own AS (SELECT filename, doc_id, md5('" + tasks.TEMPLATES["concepts"][0] + "' || substr(full_text, 1, 6000)) AS c FROM docs WHERE doc_id < 40), per AS (SELECT filename, min(doc_id) AS p, max_by(c, doc_id) AS c FROM own GROUP BY 1) SELECT (SELECT count(*) FROM own) AS document_count, (SELECT md5('" + tasks.TEMPLATES["cross"][0] + "' || string_agg('Document: ' || filename || chr(10) || 'Concepts: ' || c, chr(10) || chr(10) ORDER BY p, filename)) FROM per) AS shared, CAST((SELECT count(*) FROM per) AS INTEGER) AS n_files, (SELECT string_agg(filename || '=' || c, ',' ORDER BY filename || '=' || c) FROM per) AS per_document, CAST(NULL AS VARCHAR) AS error",
+    ),
+    "q1_own_vectors": (
+        lambda f: _retrieve(_own_vectors(f)).select("qid", "chunks_retrieved", "chunks_before_dedup", "success"),
+        None,
+    ),
+    "q2_answer_questions": (
+        lambda f: tasks.answer_questions(f.questions, f.chunks, _answering, F.expr("timestamp'2024-04-01 00:00:00'"))[0].select("qid", "query", "answer", "success", "error", F.size("context").alias("n_context"), "chunks_retrieved"),
+        "WITH_MORE plain AS (SELECT r.qid, r.rank, c.source, c.content FROM ranked r JOIN chunks c USING (chunk_id) WHERE rank <= 8), pk AS (SELECT *, regexp_replace(regexp_replace(content, '^[\\t-\\r\\x1c-\\x20\\x{85}\\p{Z}]+', ''), '[\\t-\\r\\x1c-\\x20\\x{85}\\p{Z}]+$', '') AS kk FROM plain), pf AS (SELECT * FROM pk QUALIFY row_number() OVER (PARTITION BY qid, kk ORDER BY rank) = 1), pn AS (SELECT * FROM pf QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= 4), packed AS (SELECT qid, count(*) AS n, string_agg('Source: ' || source || chr(10) || content, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM pn GROUP BY 1), asked_now AS (SELECT q.qid, q.question, n, '" + tasks.ANSWER[0] + "' || context || '" + tasks.ANSWER[1] + "' || q.question || '" + tasks.ANSWER[2] + "' AS prompt FROM questions q JOIN packed USING (qid)), told AS (SELECT *, substr(md5(prompt), 1, 1) < '8' AS ok FROM asked_now) SELECT qid, question AS query, CASE WHEN ok THEN md5(prompt) ELSE 'Error processing query: no answer' END AS answer, ok AS success, CASE WHEN NOT ok THEN 'no answer' END AS error, CASE WHEN ok THEN CAST(n AS INTEGER) END AS n_context, CASE WHEN ok THEN CAST(n AS INTEGER) END AS chunks_retrieved FROM told",
     ),
 }
 

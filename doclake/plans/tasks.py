@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from doclake import schemas
 from doclake.functions import scalars as S
 from doclake.operators import retrieval, stores
-from doclake.operators.text import concept_listing
+from doclake.operators.text import concept_listing, listing_text
 
 Respond = Callable[[list[str]], list[str]]
+#: Before the error in an answer (fixed value).
+FAILED = "Error processing query: "
 
 #: Prompt wording: text before and after the document text, and what limits it.
 _JSON = "Reply with JSON only, in this form:\n"
@@ -26,6 +28,11 @@ TEMPLATES: dict[str, tuple[str, str, str | None]] = {
 }
 
 
+ANSWER = ("Answer from the context alone.\n\nContext:\n", "\n\nQuestion: ", "\nAnswer:")
+_COMPARED = '{"matching_points": [], "missing_in_a": [], "missing_in_b": [], "recommendations": [], "overall_match_percent": 0}'
+COMPARE = ("Compare the documents A and B. " + _JSON + _COMPARED + "\n\nA:\n", "\n\nB:\n")
+
+
 def render(task: str, text: Column) -> Column:
     before, after, limit = TEMPLATES[task]
     return F.concat(F.lit(before), S.truncate(text, S.LIMITS[limit]) if limit else text, F.lit(after))
@@ -36,13 +43,12 @@ def render_short_summary(text: Column, max_length: int = 150) -> Column:
 
 
 def render_answer(question: Column, context: Column) -> Column:
-    return F.concat(F.lit("Answer from the context alone.\n\nContext:\n"), context, F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"))
+    return F.concat(F.lit(ANSWER[0]), context, F.lit(ANSWER[1]), question, F.lit(ANSWER[2]))
 
 
 def render_compare(a: Column, b: Column) -> Column:
     cut = lambda c: S.truncate(c, S.LIMITS["compare"])
-    form = '{"matching_points": [], "missing_in_a": [], "missing_in_b": [], "recommendations": [], "overall_match_percent": 0}'
-    return F.concat(F.lit("Compare the documents A and B. " + _JSON + form + "\n\nA:\n"), cut(a), F.lit("\n\nB:\n"), cut(b))
+    return F.concat(F.lit(COMPARE[0]), cut(a), F.lit(COMPARE[1]), cut(b))
 
 
 def map_responses(prompts: DataFrame, respond: Respond, key: str, batch: int = 32) -> DataFrame:
@@ -73,10 +79,19 @@ def map_responses(prompts: DataFrame, respond: Respond, key: str, batch: int = 3
 
 
 def _parsed(df: DataFrame, schema: str) -> DataFrame:
-    text = S.strip_fences(F.col("raw"))
-    with_text = df.withColumn("_t", text)
-    valid = F.expr("_t <> '' AND try_parse_json(_t) IS NOT NULL")
-    return with_text.withColumn("_valid", valid).withColumn("_p", F.when(F.col("_valid"), F.from_json("_t", schema)))
+    """Adds _t (the answer's text), _valid (it is JSON), _kind (its outer type) and _p (its fields)."""
+    with_text = df.withColumn("_t", S.strip_fences(F.coalesce("raw", F.lit(""))))
+    kind = F.expr("CASE WHEN _t <> '' THEN schema_of_variant(try_parse_json(_t)) END")
+    typed = with_text.withColumn("_kind", kind).withColumn("_valid", F.col("_kind").isNotNull())
+    return typed.withColumn("_p", F.when(F.col("_valid"), F.from_json("_t", schema)))
+
+
+def _with_error(p: DataFrame, kind: str, broken: Column | None) -> DataFrame:
+    """Adds ``error`` where JSON is not of the outer type, or (if that is an error) is none; JSON null is an empty answer."""
+    wrong = F.when(F.col("_valid") & ~F.col("_kind").startswith(kind) & (F.col("_kind") != "VOID"), f"the answer is JSON, but not {'an object' if kind == 'OBJECT' else 'a list'}")
+    if broken is not None:
+        wrong = F.coalesce(wrong, F.when(~F.col("_valid"), broken))
+    return p.withColumn("error", F.coalesce("error", wrong) if "error" in p.columns else wrong).drop("_t", "_valid", "_p", "_kind")
 
 
 def _list(c: str) -> Column:
@@ -84,30 +99,31 @@ def _list(c: str) -> Column:
 
 
 def parse_summary(answers: DataFrame) -> DataFrame:
-    """Adds ``summary``; an answer that isn't JSON is the executive summary itself."""
+    """Adds ``summary``; an answer that isn't JSON is the executive summary itself, JSON of another type sets ``error``; without an answer there is no summary."""
     p = _parsed(answers, schemas.SUMMARY)
     text = F.when(F.col("_valid"), F.coalesce("_p.executive_summary", F.lit(""))).otherwise(F.col("_t"))
-    return p.withColumn("summary", F.struct(text.alias("executive_summary"), *(_list(c).alias(c) for c in ("key_topics", "key_takeaways", "important_entities")))).drop("_t", "_valid", "_p")
+    summary = F.struct(text.alias("executive_summary"), *(_list(c).alias(c) for c in ("key_topics", "key_takeaways", "important_entities")))
+    out = _with_error(p.withColumn("summary", summary), "OBJECT", None)
+    return out.withColumn("summary", F.when(F.col("raw").isNotNull() & F.col("error").isNull(), F.col("summary")))
 
 
 def parse_comparison(answers: DataFrame) -> DataFrame:
-    """Adds ``comparison`` and, where the answer isn't JSON, ``raw_response``."""
+    """Adds ``comparison`` and, where the answer isn't JSON, ``raw_response``; JSON of another type sets ``error``."""
     p = _parsed(answers, schemas.COMPARISON)
     lists = (_list(c).alias(c) for c in ("matching_points", "missing_in_a", "missing_in_b", "recommendations"))
     out = p.withColumn("comparison", F.struct(*lists, F.coalesce("_p.overall_match_percent", F.lit(0.0)).alias("overall_match_percent")))
-    return out.withColumn("raw_response", F.when(~F.col("_valid"), F.col("_t"))).drop("_t", "_valid", "_p")
+    return _with_error(out.withColumn("raw_response", F.when(~F.col("_valid"), F.col("_t"))), "OBJECT", None)
 
 
 def parse_notes(answers: DataFrame) -> DataFrame:
-    """Adds ``notes``; an answer that isn't JSON sets ``error``."""
+    """Adds ``notes``; an answer that isn't a JSON object sets ``error``."""
     p = _parsed(answers, schemas.NOTES)
     fields = []
     for f in ("key_concepts", "flashcards", "viva_questions", "mcqs"):
         fields.append(F.coalesce(F.col(f"_p.{f}"), F.from_json(F.lit("[]"), p.schema["_p"].dataType[f].dataType.simpleString())).alias(f))
     notes = F.struct(F.coalesce("_p.summary", F.lit("")).alias("summary"), *fields)
-    out = p.withColumn("notes", F.when(F.col("_valid"), notes))
-    error = F.when(~F.col("_valid"), F.lit("the answer is not JSON"))
-    return out.withColumn("error", F.coalesce("error", error) if "error" in p.columns else error).drop("_t", "_valid", "_p")
+    out = _with_error(p.withColumn("notes", F.when(F.col("_valid"), notes)), "OBJECT", F.lit("the answer is not JSON"))
+    return out.withColumn("notes", F.when(F.col("error").isNull(), F.col("notes")))
 
 
 def parse_questions(answers: DataFrame) -> DataFrame:
@@ -115,12 +131,12 @@ def parse_questions(answers: DataFrame) -> DataFrame:
     p = _parsed(answers, "array<string>")
     lines = F.transform(F.filter(F.split("_t", "\n"), lambda x: S.pystrip(x) != ""), lambda x: F.btrim(x, F.lit("- •\t")))
     found = F.when(F.col("_valid"), F.coalesce("_p", F.array().cast("array<string>"))).otherwise(lines)
-    return p.withColumn("questions", S.cap_questions(F.coalesce(found, F.array().cast("array<string>")))).drop("_t", "_valid", "_p")
+    return p.withColumn("questions", S.cap_questions(F.coalesce(found, F.array().cast("array<string>")))).drop("_t", "_valid", "_p", "_kind")
 
 
 def parse_concepts(answers: DataFrame) -> DataFrame:
     """Adds ``concepts``; anything but a JSON list is no concept."""
-    return _parsed(answers, "array<string>").withColumn("concepts", F.coalesce("_p", F.array().cast("array<string>"))).drop("_t", "_valid", "_p")
+    return _parsed(answers, "array<string>").withColumn("concepts", F.coalesce("_p", F.array().cast("array<string>"))).drop("_t", "_valid", "_p", "_kind")
 
 
 def parse_cross(answers: DataFrame) -> DataFrame:
@@ -128,7 +144,7 @@ def parse_cross(answers: DataFrame) -> DataFrame:
     p = _parsed(answers, schemas.CROSS)
     more_first = lambda a, b: F.when(F.size(a["found_in"]) > F.size(b["found_in"]), -1).when(F.size(a["found_in"]) < F.size(b["found_in"]), 1).otherwise(0)
     shared = F.array_sort(F.coalesce("_p", F.from_json(F.lit("[]"), schemas.CROSS)), more_first)
-    return p.withColumn("shared", F.when(F.col("_valid"), shared)).withColumn("error", F.when(~F.col("_valid"), F.lit("the answer is not JSON"))).drop("_t", "_valid", "_p")
+    return _with_error(p.withColumn("shared", F.when(F.col("_valid"), shared)), "ARRAY", F.lit("the answer is not JSON"))
 
 
 def notes_counts(notes: DataFrame) -> DataFrame:
@@ -140,19 +156,35 @@ def short_summary(docs: DataFrame, respond: Respond, max_length: int = 150) -> D
     return map_responses(docs.select("doc_id", render_short_summary(F.col("full_text"), max_length).alias("prompt")), respond, "doc_id")
 
 
-def summarize_documents(docs: DataFrame, respond: Respond) -> DataFrame:
-    """(doc_id, summary, cached): only documents without a summary go to the model."""
-    todo = stores.uncached(docs).select("doc_id", render("summary", F.col("full_text")).alias("prompt"))
-    fresh = parse_summary(map_responses(todo, respond, "doc_id")).select("doc_id", "summary", F.lit(False).alias("cached"))
-    held = docs.filter(F.col("summary").isNotNull()).select("doc_id", "summary", F.lit(True).alias("cached"))
-    return held.unionByName(fresh)
+def summarize_documents(docs: DataFrame, respond: Respond, doc_ids: list | None = None) -> DataFrame:
+    """(doc_id, summary, cached, error) of the given ids, or of all: only documents without a summary go to the model; unknown ids have an error.
+
+    Persist the result before ``store_summaries``, or the model is asked again.
+    """
+    chosen, missing = docs, None
+    if doc_ids is not None:
+        asked = docs.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(doc_ids)], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+        chosen = docs.join(asked, "doc_id", "left_semi")
+        unknown = F.concat(F.lit("Document not found: "), F.col("doc_id").cast("string"))
+        missing = asked.join(docs, "doc_id", "left_anti").select("doc_id", F.lit(None).cast(docs.schema["summary"].dataType).alias("summary"), F.lit(False).alias("cached"), unknown.alias("error"))
+    todo = stores.uncached(chosen).select("doc_id", render("summary", F.col("full_text")).alias("prompt"))
+    fresh = parse_summary(map_responses(todo, respond, "doc_id")).select("doc_id", "summary", F.lit(False).alias("cached"), "error")
+    held = chosen.filter(F.col("summary").isNotNull()).select("doc_id", "summary", F.lit(True).alias("cached"), F.lit(None).cast("string").alias("error"))
+    out = held.unionByName(fresh)
+    return out if missing is None else out.unionByName(missing)
+
+
+def store_summaries(docs: DataFrame, summaries: DataFrame) -> DataFrame:
+    """The documents with the fresh summaries written back."""
+    return stores.upsert_summaries(docs, summaries.filter("not cached and summary is not null").select("doc_id", "summary"))
 
 
 def compare_documents(pairs: DataFrame, docs: DataFrame, respond: Respond) -> DataFrame:
     both = stores.pair_documents(pairs, docs).withColumn("_key", F.concat_ws("\0", "a", "b"))
-    asked = both.filter("error is null").select("_key", render_compare(F.col("doc_a.full_text"), F.col("doc_b.full_text")).alias("prompt"))
-    answered = parse_comparison(map_responses(asked, respond, "_key").drop("error"))
-    return both.select("a", "b", "error", "_key").join(answered, "_key", "left").drop("_key", "raw")
+    asked = both.filter("error is null").select("_key", render_compare(F.col("doc_a.full_text"), F.col("doc_b.full_text")).alias("prompt")).distinct()
+    answered = parse_comparison(map_responses(asked, respond, "_key")).withColumnRenamed("error", "_failed")
+    found = both.select("a", "b", "error", "_key").join(answered, "_key", "left")
+    return found.withColumn("error", F.coalesce("error", "_failed")).drop("_key", "raw", "_failed")
 
 
 def suggest_questions(docs: DataFrame, respond: Respond) -> DataFrame:
@@ -172,22 +204,25 @@ def cross_document(docs: DataFrame, doc_ids: list | None, respond: Respond) -> D
     asked = chosen.select("doc_id", render("concepts", F.col("full_text")).alias("prompt"))
     own = parse_concepts(map_responses(asked, respond, "doc_id")).select("doc_id", "concepts")
     named = chosen.select("doc_id", "filename", F.unix_micros(F.col("uploaded_at").cast("timestamp")).alias("position")).join(own, "doc_id").persist()
-    listing = concept_listing(named).select(F.lit(1).alias("one"), render("cross", F.col("listing")).alias("prompt"))
-    answer = parse_cross(map_responses(listing, respond, "one").drop("error"))
+    listing = listing_text(concept_listing(named)).select(F.lit(1).alias("one"), render("cross", F.col("listing")).alias("prompt"))
+    answer = parse_cross(map_responses(listing, respond, "one"))
     latest = named.groupBy("filename").agg(F.max_by("concepts", "position").alias("c"))
     per_document = latest.agg(F.map_from_entries(F.collect_list(F.struct("filename", "c"))).alias("m")).scalar()
     return answer.select(named.agg(F.count("*")).scalar().alias("document_count"), "shared", per_document.alias("per_document_concepts"), "error")
 
 
 def answer_questions(questions: DataFrame, chunks: DataFrame, respond: Respond, now: Column, k: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Answers of all questions, and history rows of those that succeeded."""
-    found = retrieval.retrieve_context(questions, chunks, k).drop("answer", "success")
-    packed = retrieval.context_pack(retrieval.kept_hits(questions, chunks, k)[1])
-    asked = questions.join(packed, "qid").select("qid", render_answer(F.col("question"), F.col("context")).alias("prompt"))
+    """Answers of all questions, and history rows of those that succeeded; a failed one has no trace and no context."""
+    cands, kept = retrieval.kept_hits(questions, chunks, k)
+    found = retrieval.context_of(questions, cands, kept).drop("answer", "success")
+    asked = questions.join(retrieval.context_pack(kept).withColumnRenamed("context", "_packed"), "qid").select("qid", render_answer(F.col("question"), F.col("_packed")).alias("prompt"))
     raw = map_responses(asked, respond, "qid")
-    failed = F.concat(F.lit("Error processing query: "), "error")
+    failed = F.concat(F.lit(FAILED), "error")
     answer = F.when(F.col("context").isNull(), retrieval.NOTHING).when(F.col("error").isNotNull(), failed).otherwise(F.col("raw"))
     out = found.join(raw, "qid", "left").withColumn("answer", answer).withColumn("success", F.col("raw").isNotNull())
+    for c in found.columns:
+        if c not in ("qid", "query"):
+            out = out.withColumn(c, F.when(F.col("error").isNull(), F.col(c)))
     ok = out.filter("success")
     history = ok.select(F.sha2(F.concat_ws("|", "qid", now.cast("string")), 256).alias("id"), now.alias("timestamp"), F.col("query").alias("question"), "answer", "context")
     return out.drop("raw"), history

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +29,18 @@ def load_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def load_with(spark: SparkSession, path: str, extract: Callable[[bytes], list[tuple[int | None, str]]]) -> DataFrame:
     """Pages that ``extract`` finds in each file's bytes; one row a page."""
 
+    return extract_pages(spark.read.format("binaryFile").load(path), extract)
+
+
+def extract_pages(files: DataFrame, extract: Callable[[bytes], list[tuple[int | None, str]]]) -> DataFrame:
+    """As ``load_with``, of rows (path, content)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(p, page, text) for p, content in zip(batch["path"], batch["content"], strict=True) for page, text in extract(content)]
             yield pd.DataFrame(rows, columns=["source", "page", "text"]).astype({"page": "Int32"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schemas.PAGES)
+    return files.select("path", "content").mapInPandas(run, schemas.PAGES)
 
 
 def admit_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,12 +51,17 @@ def admit_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_store(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A legacy JSON store: documents, collections (keyed objects) or history (an array)."""
+    """A legacy JSON store: documents, collections (keyed objects) or history (an array); a missing one is empty, a broken one an error."""
+    of = {"documents": schemas.DOCUMENT, "collections": schemas.COLLECTION, "history": f"struct<{', '.join(f.replace(' ', ':', 1) for f in schemas.HISTORY.split(', '))}>"}[kind]
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"s {of}").select("s.*")
     if kind == "history":
         shape = spark.createDataFrame([], schemas.HISTORY).schema
         return spark.read.schema(shape).option("multiLine", "true").option("mode", "FAILFAST").json(path)
-    of = {"documents": schemas.DOCUMENT, "collections": schemas.COLLECTION}[kind]
-    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", f"map<string,{of}>", {"mode": "FAILFAST"}))).select("value.*")
 
 

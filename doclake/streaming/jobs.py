@@ -2,32 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from doclake.functions.scalars import file_extension
 from doclake.plans.ingest import ingest
-from doclake.sources.files import admit_files
+from doclake.sources.files import admit_files, extract_pages
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def stream_ingest(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, collections: DataFrame) -> StreamingQuery:
-    """Each new text file becomes a document once; each batch overwrites its own folders, so a replay adds nothing."""
+def stream_ingest(
+    spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, collections: DataFrame, extract: Callable[[bytes], list[tuple[int | None, str]]] | None = None
+) -> StreamingQuery:
+    """Each new file becomes a document once; each batch overwrites its own folders, so a replay adds nothing.
+
+    ``extract`` finds the pages of .pdf and .docx files; without it these are rejected.
+    """
 
     def write(files: DataFrame, batch_id: int) -> None:
         good, bad = admit_files(files)
         text = F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n")
         readable = file_extension(F.col("path")).isin(".txt", ".md") & F.is_valid_utf8(F.col("content").cast("string"))
         pages = good.where(readable).select(F.col("path").alias("source"), F.lit(None).cast("int").alias("page"), text.alias("text"))
-        unread = good.where(~readable).select("path", F.lit("not readable as text").alias("reason"))
+        paged = file_extension(F.col("path")).isin(".pdf", ".docx")
+        left = good.where(~readable)
+        if extract is not None:
+            pages, left = pages.unionByName(extract_pages(good.where(paged), extract)), left.where(~paged)
+        unread = left.select("path", F.lit("not readable as text").alias("reason"))
+        pages.persist()
         # The batch's own time, so a replay makes the same ids.
         now = F.lit(files.agg(F.max("modificationTime")).first()[0])
         docs, chunks, members = ingest(pages, collections, now)
         rejects = bad.select("path", "reason").unionByName(unread)
         for name, df in (("documents", docs), ("chunks", chunks), ("members", members), ("rejects", rejects)):
             df.write.mode("overwrite").parquet(f"{out_dir}/{name}/batch_id={batch_id}")
+        pages.unpersist()
 
     stream = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").load(in_dir)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -198,8 +198,62 @@ def test_streams(spark, tmp_path):
     assert spark.table("days").groupBy("day").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] == 1000
 
 
-def test_approximate_neighbours(spark):
-    f = plans.fixtures(spark, DATA)
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_approximate_neighbours(spark, sf):
+    f = plans.fixtures(spark, f"/root/testdata/sf{sf}")
     exact = {(r.qid, r.chunk_id) for r in R.knn(f.questions, f.chunks, 4).collect()}
-    near = {(r.qid, r.chunk_id) for r in R.knn_approx(f.questions, f.chunks, 4, tables=8, bucket=2.0, reach=2.0).collect()}
+    near = {(r.qid, r.chunk_id) for r in plans.queries()["j5_knn_approx"](spark, f"/root/testdata/sf{sf}").collect()}
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_neighbours_in_many_blocks(spark, monkeypatch):
+    f = plans.fixtures(spark, DATA)
+    wanted = sorted(map(tuple, R.knn(f.questions, f.chunks, 5).select("qid", "chunk_id", "rank").collect()))
+    monkeypatch.setattr(R, "BLOCK", 2)
+    monkeypatch.setattr(R, "CHUNKS", 30)
+    assert sorted(map(tuple, R.knn(f.questions, f.chunks, 5).select("qid", "chunk_id", "rank").collect())) == wanted
+    near = {(r.qid, r.chunk_id) for r in R.knn_approx(f.questions, f.chunks, 5, recall=1.0).collect()}
+    assert len(near & {(q, c) for q, c, _ in wanted}) >= 0.9 * len(wanted)
+    assert R.knn(f.questions.limit(0), f.chunks, 5).count() == R.knn_approx(f.questions, f.chunks.limit(0), 5).count() == 0
+
+
+def test_wrong_answers_are_reported(spark):
+    raw = lambda *x: spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id int, raw string")
+    got = tasks.parse_summary(raw("[1, 2]", '"x"', None, "null", "words")).orderBy("id").collect()
+    assert [r.error is not None for r in got] == [True, True, False, False, False]
+    assert got[0].summary is None and got[2].summary is None and got[3].summary.executive_summary == "" and got[4].summary.executive_summary == "words"
+    assert tasks.parse_notes(raw("[]")).first().error and tasks.parse_comparison(raw("[]")).first().error and tasks.parse_cross(raw("{}")).first().error
+
+
+def test_failed_answers_have_no_trace(spark):
+    f = plans.fixtures(spark, DATA)
+
+    def fails(prompts):
+        raise RuntimeError("down")
+
+    answers, history = tasks.answer_questions(f.questions, f.chunks, fails, now())
+    row = answers.first()
+    assert row.answer == "Error processing query: down" and not row.success and row.chunks_retrieved is None and row.scores is None and row.context is None and history.count() == 0
+
+
+def test_missing_store_is_empty(spark, tmp_path):
+    for kind in ("documents", "collections", "history"):
+        assert files.read_store(spark, str(tmp_path / "none.json"), kind).count() == 0
+    assert "doc_ids" in files.read_store(spark, str(tmp_path / "none.json"), "collections").columns
+
+
+def test_streams_read_pages_with_extract(spark, tmp_path):
+    os.makedirs(tmp_path / "in")
+    (tmp_path / "in/a.pdf").write_bytes(b"one|two")
+    (tmp_path / "in/b.txt").write_text("words")
+    collections = spark.createDataFrame([("c", "General")], "collection_id string, name string").withColumn("created_at", now())
+    pages = lambda content: list(enumerate(content.decode().split("|")))
+    jobs.stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), collections, pages).awaitTermination(120)
+    assert {r.full_text for r in spark.read.parquet(str(tmp_path / "out/documents")).collect()} == {"one\n\ntwo", "words"}
+    assert [r.position for r in spark.read.parquet(str(tmp_path / "out/members")).orderBy("position").collect()] == [0, 1]
+    assert spark.read.parquet(str(tmp_path / "out/rejects")).count() == 0
+
+
+def test_retrieval_over_own_vectors(spark):
+    rows = plans.queries()["q1_own_vectors"](spark, DATA).collect()
+    assert rows and all(r.success and 0 < r.chunks_retrieved <= 4 and r.chunks_before_dedup <= 8 for r in rows)

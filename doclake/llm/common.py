@@ -162,8 +162,8 @@ def unpack(blob: bytes) -> tuple[list, list[bytes]]:
 def to_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(chunk, blob): whole documents packed into compressed rows, dealt out by chunk.
 
-    Chunk ids come from the input partition and a counter, so a lost task makes
-    the same ones again.
+    Chunk ids come from the input partition and a counter over its sorted rows, so a
+    lost task makes the same ones again, in whatever order its input arrives.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,8 @@ def to_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         for i, (ids, texts) in enumerate(text_groups(batches)):
             yield pa.record_batch({"chunk": pa.array([part + i], pa.int64()), "blob": pa.array([_squeeze(ids, texts)], pa.binary())})
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(pack, "chunk long, blob binary").repartition("chunk")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).sortWithinPartitions("id", "text")
+    return rows.mapInArrow(pack, "chunk long, blob binary").repartition("chunk")
 
 
 def shared_folder(spark: SparkSession) -> str:

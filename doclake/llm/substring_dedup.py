@@ -8,11 +8,17 @@ runs at one common offset whose start is a cover position in both documents
 2. extend: hash the full windows that hold a shared anchor, on both sides;
 3. remove every word that a window found twice or more covers.
 
-Step 2 confirms on 96 bits; an anchor shared by chance costs time, not results.
-Both questions are asked per chunk of documents and distinct hash.
+Windows are equal when two hashes of 96 bits together are, inside a chunk and
+across chunks; an anchor shared by chance costs time, not results.  Both
+questions are asked per chunk of documents and distinct hash.  What a bounded
+sample of documents (``SAMPLE``) already holds twice is known to be repeated and
+is not asked, so a passage that is in most chunks makes no row in any; what is
+asked is rare, and no key has more than a small share of the rows.
 
 Nulls: a null text has no words; a null id is kept as it is.  Repeated rows and
-ids count as separate documents.  Texts shorter than the window are kept whole.
+ids count as separate documents.  Texts shorter than the window are kept whole;
+an empty text has an empty rest.  Extra columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ from doclake.llm import common
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 #: Words of the shortest anchor that is taken when the window allows it.
 LEAST_ANCHOR = 12
+#: Documents that are searched for frequent passages first.
+SAMPLE = 20_000
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -44,10 +52,10 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
 
 
 class _Words:
-    """Word hashes of a chunk's documents, and each word's place in its document."""
+    """Word hashes of some documents, and each word's place in its document."""
 
-    def __init__(self, blob: bytes):
-        self.ids, self.texts = common.unpack(blob)
+    def __init__(self, ids: list, texts: list[bytes]):
+        self.ids, self.texts = ids, texts
         data, at = common.joined(self.texts)
         start, _, self.hash = common.hash_words(data)
         self.first = np.searchsorted(start, at)
@@ -67,21 +75,51 @@ def _anchors(words: _Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at, common.window_hashes(words.hash, width, 3)[at] if len(at) else np.zeros(0, np.uint64)
 
 
-def _shared(values: np.ndarray, elsewhere: list | None) -> np.ndarray:
-    """Which values are found twice here, or are in the list of those found elsewhere."""
-    _, back, n = np.unique(values, return_inverse=True, return_counts=True)
+def _window_keys(words: _Words, window: int, at: np.ndarray) -> np.ndarray:
+    """Two hashes (rows) of the windows that begin there; the second has 32 bits."""
+    if not len(at):
+        return np.zeros((0, 2), np.uint64)
+    return np.stack([common.window_hashes(words.hash, window, 5)[at], common.window_hashes(words.hash, window, 7)[at] >> np.uint64(32)], axis=1)
+
+
+def _alike(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each key, where each number's first key is, and how many keys it has."""
+    if keys.ndim == 1:
+        _, first, back, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        return back, first, n
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[order][1:] != keys[order][:-1]).any(axis=1)
+    back = np.empty(len(keys), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return back, order[new], np.bincount(back, minlength=int(new.sum()))
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are among the known ones."""
+    if not len(known) or not len(keys):
+        return np.zeros(len(keys), dtype=bool)
+    back, _, n = _alike(np.concatenate([known, keys]))
+    held = np.zeros(len(n), dtype=bool)
+    held[back[: len(known)]] = True
+    return held[back[len(known) :]]
+
+
+def _shared(keys: np.ndarray, *known: np.ndarray) -> np.ndarray:
+    """Which keys are found twice here, or are among the known ones."""
+    back, _, n = _alike(keys)
     found = n[back] > 1
-    if elsewhere is not None and len(elsewhere):
-        found |= np.isin(values, np.asarray(elsewhere, dtype=np.int64).view(np.uint64))
+    for some in known:
+        found |= _among(keys, some)
     return found
 
 
-def _windows(words: _Words, window: int, shared_anchors: list | None) -> np.ndarray:
+def _windows(words: _Words, window: int, *shared_anchors: np.ndarray) -> np.ndarray:
     """Starts of the full windows that hold a shared anchor."""
     period, _, _ = cover_for(window)
     at, hashes = _anchors(words, window)
     hit = np.zeros(len(words.hash) + period + 1, dtype=np.int64)
-    hit[at[_shared(hashes, shared_anchors)] + 1] = 1
+    hit[at[_shared(hashes, *shared_anchors)] + 1] = 1
     np.cumsum(hit, out=hit)
     starts = words.whole(window)
     return starts[hit[starts + period] > hit[starts]]
@@ -91,7 +129,41 @@ def _ask(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per chunk, the hashes that it holds once and that some other chunk holds too."""
     total = F.sum("n").over(Window.partitionBy(*keys))
     again = rows.withColumn("total", total).where("total > 1 and n = 1")
-    return again.groupBy("chunk").agg(F.collect_list("h").alias("found"))
+    return again.groupBy("chunk").agg(F.collect_list(F.struct(*keys)).alias("found"))
+
+
+def _told(found: pa.StructScalar | pa.ListScalar) -> np.ndarray:
+    """A chunk's answer as keys: one column for anchors, two for windows."""
+    if not found.is_valid:
+        return np.zeros(0, np.uint64)
+    columns = [found.values.field(i).to_numpy() for i in range(found.type.value_type.num_fields)]
+    columns = [c.view(np.uint64) if c.dtype == np.int64 else c.view(np.uint32).astype(np.uint64) for c in columns]
+    return columns[0] if len(columns) == 1 else np.stack(columns, axis=1)
+
+
+def _frequent(docs: DataFrame, window: int, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors and windows that a bounded sample holds twice or more; half of its words at most."""
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts = [], []
+        for some, more in common.text_groups(batches):
+            ids, texts = ids + some, texts + more
+        words = _Words(ids, texts)
+        _, anchors = _anchors(words, window)
+        _, first, n = _alike(anchors)
+        h = anchors[first[n > 1]]
+        yield pa.record_batch({"h": h.view(np.int64), "h2": pa.nulls(len(h), pa.int64())})
+        keys = _window_keys(words, window, _windows(words, window))
+        _, first, n = _alike(keys)
+        keys = keys[first[n > 1]]
+        yield pa.record_batch({"h": np.ascontiguousarray(keys[:, 0]).view(np.int64), "h2": np.ascontiguousarray(keys[:, 1]).view(np.int64)})
+
+    some = common.thinned(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.octet_length("t") < 1 << 20), "k", SAMPLE).limit(SAMPLE)
+    found = some.repartition(1).mapInArrow(twice, "h long, h2 long").toArrow()
+    h, h2 = found["h"].to_numpy().view(np.uint64), found["h2"]
+    anchor = h2.is_null().to_numpy()
+    pairs = h2.fill_null(0).to_numpy().view(np.uint64)
+    return h[anchor], np.stack([h, pairs], axis=1)[~anchor]
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,29 +172,37 @@ def substring_dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text
     ``kept`` is the remaining words joined by one space.
     """
     chunks = common.to_chunks(docs, key, text)
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, window, key, text))
+
+    def rows(keys: np.ndarray, chunk: int, known: np.ndarray) -> dict:
+        """What a chunk asks: distinct keys that are not known to be repeated, and whether it holds them once."""
+        _, first, n = _alike(keys)
+        ask = ~_among(keys[first], known)
+        n, keys = n[ask], keys[first[ask]]
+        return {"keys": keys, "chunk": np.full(len(n), chunk), "n": np.minimum(n, 2).astype(np.int32)}
 
     def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                h, n = np.unique(_anchors(_Words(blob), window)[1], return_counts=True)
-                yield pa.record_batch({"h": h.view(np.int64), "chunk": np.full(len(h), chunk), "n": np.minimum(n, 2).astype(np.int32)})
+                asked = rows(_anchors(_Words(*common.unpack(blob)), window)[1], chunk, frequent.value[0])
+                yield pa.record_batch({"h": asked["keys"].view(np.int64), "chunk": asked["chunk"], "n": asked["n"]})
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob, found in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
-                words = _Words(blob)
-                at = _windows(words, window, found.values.to_numpy() if found.is_valid else None)
-                h, first, n = np.unique(common.window_hashes(words.hash, window, 5)[at] if len(at) else np.zeros(0, np.uint64), return_index=True, return_counts=True)
-                more = (common.window_hashes(words.hash, window, 7)[at][first] >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(at) else np.zeros(0, np.int32)
-                yield pa.record_batch({"h": h.view(np.int64), "h2": more, "chunk": np.full(len(h), chunk), "n": np.minimum(n, 2).astype(np.int32)})
+                words = _Words(*common.unpack(blob))
+                at = _windows(words, window, _told(found), frequent.value[0])
+                asked = rows(_window_keys(words, window, at), chunk, frequent.value[1])
+                h, h2 = (np.ascontiguousarray(asked["keys"][:, i]) for i in (0, 1))
+                yield pa.record_batch({"h": h.view(np.int64), "h2": h2.astype(np.uint32).view(np.int32), "chunk": asked["chunk"], "n": asked["n"]})
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, a, w in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                words = _Words(blob)
-                at = _windows(words, window, a.values.to_numpy() if a.is_valid else None)
-                hashes = common.window_hashes(words.hash, window, 5)[at] if len(at) else np.zeros(0, np.uint64)
-                at = at[_shared(hashes, w.values.to_numpy() if w.is_valid else None)]
+                words = _Words(*common.unpack(blob))
+                at = _windows(words, window, _told(a), frequent.value[0])
+                told = _told(w)
+                at = at[_shared(_window_keys(words, window, at), told if len(told) else told.reshape(0, 2), frequent.value[1])]
                 edge = np.zeros(len(words.hash) + window + 1, dtype=np.int64)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + window, -1)

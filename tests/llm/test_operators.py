@@ -42,6 +42,27 @@ def test_substrings(docs, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_substrings_in_many_chunks(spark, monkeypatch):
+    """One passage in every chunk, whether the sample finds it or the chunks have to ask."""
+    rng = np.random.default_rng(2)
+    hot = " ".join(f"h{i}" for i in range(50))
+    texts = [" ".join(f"r{x}" for x in rng.integers(0, 10**6, 60)) + f" {hot} end{i}" for i in range(120)]
+    texts += [texts[3], texts[3][:300], " ".join(f"q{i}" for i in range(40)), None, ""]
+    own = [words(t) for t in texts]
+    seen = collections.Counter(tuple(w[i : i + 35]) for w in own for i in range(len(w) - 34))
+    wanted = []
+    for k, w in enumerate(own):
+        gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        wanted.append((k if k != 5 else None, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    docs = spark.createDataFrame([(k if k != 5 else None, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, kept string").repartition(6)
+    for sample in (20_000, 1):
+        monkeypatch.setattr(substring_dedup, "SAMPLE", sample)
+        got = [tuple(r) for r in substring_dedup.substring_dedup(docs).collect()]
+        assert sorted(got, key=str) == sorted(wanted, key=str)
+    frequent = substring_dedup._frequent(docs, 35, "doc_id", "text")
+    assert len(frequent[0]) == 0  # a sample of one row holds nothing twice
+
+
 def test_near(docs, none):
     got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, width=2).collect()}
     assert got[5] == (5, True) and got[6] == (5, False) and got[8] == (5, False) and got[0] == (0, True) and got[1] == (1, True)

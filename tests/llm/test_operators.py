@@ -476,6 +476,131 @@ def test_html_counts_siblings_at_every_size():
         assert {tuple(x[i, 12:14]) for i, node in enumerate(order) if node.tag == "h1"} == {(n + 1, 1)}
 
 
+ODD = [(None, None, None, None, None, None), (None, BASE, "en", None, 3, "x"), (None, BASE, "en", None, 3, "x"), (4, BASE, None, "s", None, None), (4, "other words " * 30, "en", "s", 1, "y"), (5, "", "", "", 0, ""), (6, "w" * 300_000, "de", "t", 1, "z"), (7, "é漢 " * 40_000, "de", "t", 1, "z")]
+
+
+def by_text(rows):
+    return sorted(rows, key=str)
+
+
+def test_null_and_repeated_ids(spark):
+    """Every row has a result of its own, whatever its id; columns of clashing names change nothing."""
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, n_words string")
+    texts = [(i, t) for i, t, *_ in ODD]
+    ids = by_text(i for i, _ in texts)
+    got = substring_dedup.substring_dedup(docs).collect()
+    assert by_text((r.doc_id, r.n_words) for r in got) == by_text((i, len(words(t))) for i, t in texts)
+    assert by_text(r.n_removed for r in got if r.doc_id is None) == [0, 120, 120]
+    scores = lm_score.lm_scores(docs).collect()
+    assert by_text((r.doc_id, r.n_tokens) for r in scores) == by_text((i, len(words(t)) + 1) for i, t in texts)
+    assert {r.held_out for r in scores if r.doc_id is None} == {lm_score.held_out(None)}
+    assert by_text(r.doc_id for r in pii.find_pii(docs).collect()) == by_text(r.doc_id for r in pii.mask_pii(docs).collect()) == ids
+    judged = quality.quality_rules(docs).collect()
+    assert by_text((r.doc_id, r.lang) for r in judged) == by_text((i, x[2]) for (i, _), x in zip(texts, ODD, strict=True))
+    pieces = collections.Counter((r.doc_id, r.doc_tokens) for r in packing.pack(docs).where("start = 0").collect())
+    assert by_text(i for i, _ in pieces.elements()) == ids
+    coded = bpe.decode(bpe.encode(docs)).collect()
+    assert by_text((r.doc_id, r.text) for r in coded) == by_text((i, t or "") for i, t in texts)
+    near = near_dedup.near_duplicates(docs).collect()
+    assert by_text(r.doc_id for r in near) == ids
+
+
+def test_chat_repeated_tied_and_long_turns(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (None, 1, "user", "n"), (2, 0, "user", "x|<|im_end|>\\" * 50_000), (3, 0, "", "")]
+    turns = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
+    got = {r.conv_id: [tuple(x) for x in r.turns] for r in chat.read_chats(chat.format_chats(turns)).collect()}
+    assert got == {1: [("assistant", "z"), ("user", "a"), ("user", "a"), ("user", "b")], None: [("user", "n")], 2: [("user", rows[5][3])], 3: [("", "")]}
+    assert chat.format_chats(turns.limit(0)).count() == chat.read_chats(chat.format_chats(turns.limit(0))).count() == 0
+
+
+def shingles(text, width):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def components_of(texts, width):
+    """For each text, the least index of its group of near copies."""
+    sets = [shingles(t, width) for t in texts]
+    least = list(range(len(texts)))
+    where = collections.defaultdict(list)
+    for i, x in enumerate(sets):
+        for g in x:
+            where[g].append(i)
+    links = {(i, j) for v in where.values() for i in v for j in v if i < j and 100 * min(len(sets[i]), len(sets[j])) >= 80 * max(len(sets[i]), len(sets[j]))}
+    links = [(i, j) for i, j in links if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    moved = True
+    while moved:
+        moved = False
+        for i, j in links:
+            m = min(least[i], least[j])
+            moved |= least[i] != m or least[j] != m
+            least[i] = least[j] = m
+    return least
+
+
+def test_near_five_words_loses_no_link(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    least = components_of([t for _, t in rows], 5)
+    wanted = {i: rows[k][0] for (i, _), k in zip(rows, least, strict=True)}
+    assert len(set(wanted.values())) < len(rows)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, width=5).collect()} == wanted
+
+
+@pytest.mark.skipif(not os.path.exists("corpus_pipeline.py"), reason="no pipeline")
+def test_pipeline_brute_force(spark):
+    import corpus_pipeline
+    import public_tokenizers
+
+    rng = np.random.default_rng(11)
+    known = [f"{x}{y}" for x in "ba ce di fo gu".split() for y in "lam nor set tis vun wex".split()]
+    good = [" ".join(rng.choice(known, int(n))) for n in rng.integers(90, 160, 40)]
+    passage = " ".join(rng.choice(known, 50))
+    texts = good[:30] + [g + " " + passage for g in good[30:34]] + [good[0], good[1] + " more", good[2].upper(), "too short", None, ""]
+    texts += [good[35] + " mail anna.berg@example.com or 10.1.2.3 now", good[36] + ' token = "ab12cd34ef56ab78cd90" end', " ".join(f"#{w.upper()}$%" for w in rng.choice(known, 100))]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    left = {i: t for i, t in enumerate(texts) if len(words(t)) >= 50}
+    judged = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, docs, "").collect()}
+    assert judged.items() <= left.items() and judged.keys() >= {*range(32)} and 42 not in judged
+    after, kept = {}, {i: t for i, t in left.items() if i != 42}  # the next stages, whatever the model makes of odd texts
+    docs = docs.where(docs.doc_id.isin([*kept]))
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs = common.written(stage(spark, docs, ""))
+        after[name] = docs
+        if name != "packing":
+            assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    ids = sorted(kept)
+    least = components_of([kept[i] for i in ids], 5)
+    kept = {i: kept[i] for k, i in enumerate(ids) if least[k] == k}
+    assert {r.doc_id: r.text for r in after["near_dedup"].collect()} == kept
+    own = {i: words(t) for i, t in kept.items()}
+    seen = collections.Counter(tuple(w[i : i + 35]) for w in own.values() for i in range(len(w) - 34))
+    for i, w in own.items():
+        gone = {j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+        kept[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    assert {r.doc_id: (r.text, r.n_chars) for r in after["substring_dedup"].collect()} == {i: (t, len(t)) for i, t in kept.items()}
+    masked = {r.doc_id: r.text for r in after["pii"].collect()}
+    assert masked == kept | {40: good[35] + " mail [email] or [ip] now", 41: good[36] + ' token = "[secret]" end'}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.WORD_BPE))
+    pieces = collections.defaultdict(list)
+    for r in after["packing"].collect():
+        pieces[r.doc_id].append(r)
+    for i, t in masked.items():
+        assert np.frombuffer(b"".join(r.ids for r in sorted(pieces[i], key=lambda r: r.start)), "<u4").tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+    assert pieces.keys() == masked.keys()
+
+
+@pytest.mark.skipif(not os.path.exists("corpus_pipeline.py"), reason="no pipeline")
+def test_pipeline_empty_table_and_extra_columns(spark, none):
+    import corpus_pipeline
+
+    docs = none
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0
+
+
 @pytest.mark.skipif(not os.path.exists("corpus_pipeline.py"), reason="no pipeline")
 def test_pipeline(spark):
     import corpus_pipeline

@@ -204,12 +204,15 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 4096, end_id: int = 2, vocab: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 4096, end_id: int = 2, vocab: str | None = None, also: str | None = None) -> DataFrame:
     """Pieces (key, start, length, ids, doc_tokens, sequence_id, offset) of all documents.
 
     ``ids`` is the piece as little-endian unsigned 32-bit integers, ``vocab`` a
-    tokenizers file that every executor has.
+    tokenizers file that every executor has, ``also`` another integer column that
+    each piece takes along.
     """
+    also = also or key
+    own = [key] if also == key else [key, also]
 
     @F.arrow_udf("long")
     def place(texts: pa.Array) -> pa.Array:
@@ -224,7 +227,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
         end = np.array([end_id], dtype="<u4").tobytes()
         sequence, filled = TaskContext.get().partitionId() << 33, 0
         waiting: list[tuple] = []  # pieces of the sequence that is not full
-        for keys, texts in common.text_groups(batches):
+        pairs = (pa.record_batch({"k": pa.StructArray.from_arrays([b.column(0), b.column(1)], ["a", "b"]), "t": b.column(2)}) for b in batches)
+        for keys, texts in common.text_groups(pairs):
             done: list[tuple] = []
             coded, begins = words.encode(texts)
             bounds = begins.tolist()
@@ -257,17 +261,15 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
 
     def _rows(pieces: list[tuple]) -> pa.RecordBatch:
         doc, at, n, ids, total, sequence, offset = zip(*pieces, strict=True)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.record_batch([pa.array(x, k) for x, k in zip((doc, at, n, ids, total, sequence, offset), kinds, strict=True)], names=[key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        keys = [pa.array([d[c] for d in doc], pa.int64()) for c in "ab"[: len(own)]]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.record_batch([*keys, *(pa.array(x, k) for x, k in zip((at, n, ids, total, sequence, offset), kinds, strict=True))], names=[*own, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     # The range borders come from a first pass over the keys, so these are written, not computed twice.
-    placed = common.written(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).withColumn("place", place("text")))
-    ordered = (
-        placed.repartitionByRange("place", key)
-        .sortWithinPartitions("place", key, "text")
-        .select(key, "text")
-    )
-    return ordered.mapInArrow(cut, f"{key} long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    columns = [F.col(key).cast("long").alias("_key"), F.col(also).cast("long").alias("_also"), F.col(text).alias("_text")]
+    placed = common.written(docs.select(*columns).withColumn("place", place("_text")), "zstd")
+    ordered = placed.repartitionByRange("place", "_key").sortWithinPartitions("place", "_key", "_text").select("_key", "_also", "_text")
+    return ordered.mapInArrow(cut, f"{', '.join(f'{c} long' for c in own)}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Documents to packed training sequences: five stages, each over all that the one before kept.
 
 The first stage writes its input with a key for each row, and all stages match
-rows by it, as a doc_id may be null, repeated or used for several texts.
+rows by it, as a doc_id may be null, repeated or used for several texts.  Columns beside
+those of documents are dropped; an empty table gives an empty table at each stage.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def _chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and lie in their language's perplexity band."""
+    """Documents that pass the rules and lie in their language's perplexity band; null and empty texts go, repeated rows are judged alike."""
     common.small_batches(spark)
     docs = _keyed(docs)
     labels = common.table(spark, sf_dir, "labels") if sf_dir else None
@@ -44,7 +45,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of least doc_id (nulls last) and key of each group of near duplicates (five-word shingles, 0.8)."""
+    """The row of least doc_id (nulls last) and key of each group of near duplicates (five-word shingles, 0.8).
+
+    Of repeated rows one stays; a text without words is like no other and stays.
+    """
     common.small_batches(spark)
     docs = _keyed(docs)
     named = docs.select(ROW, "doc_id").join(near_duplicates(docs, width=5, key=ROW), ROW)
@@ -53,7 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 35-word windows that are found twice or more; a text may become empty."""
+    """Documents without the 35-word windows that are found twice or more; a text may become empty, a null one does."""
     common.small_batches(spark)
     docs = _keyed(docs)
     kept = substring_dedup(docs, key=ROW).select(ROW, F.col("kept").alias("text"))
@@ -62,16 +66,15 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind; null texts stay null."""
     common.small_batches(spark)
     return mask_pii(_keyed(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS, ROW)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens, with row key and doc_id; a null or empty text is one end token."""
     common.small_batches(spark)
-    docs = _keyed(docs)
-    return pack(docs, key=ROW).join(docs.select(ROW, "doc_id"), ROW)
+    return pack(_keyed(docs), key=ROW, also="doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

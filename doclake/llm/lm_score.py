@@ -11,10 +11,14 @@ of documents asks once for each of its contexts, with the symbols it needs.
 
 Beside it, each document gets the smoothed unigram score of its words.  Word
 counts are asked for once per chunk of documents and distinct word, so no
-vocabulary is broadcast or collected.
+vocabulary is broadcast or collected.  The ``FREQUENT`` words of most documents
+in a bounded sample, and the end token, are in nearly all chunks: each task adds
+them up and sends one row a word, salted by task, and their totals, of bounded
+number, come back to all chunks as one list.
 
 Nulls: a null text is the empty text (one token, the end; model score 0).  A
-null id counts as the empty id.  Repeated rows count and score separately.
+null id counts as the empty id.  Repeated rows count and score separately.  Extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +34,10 @@ from pyspark.sql import functions as F
 
 from doclake.llm import common
 
+#: Documents in which frequent words are sought, how many words are taken at most, and parts of their sums.
+SAMPLE, FREQUENT, SALTS = 10_000, 16_384, 64
+
+
 def held_out(key: int | None, parts: int = 5, part: int = 1) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % parts == part
 
@@ -159,42 +167,96 @@ def _distinct(ids: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np
     return distinct, back, first, np.bincount(back[train], minlength=len(distinct))
 
 
+def _frequent(docs: DataFrame, key: str, text: str) -> np.ndarray:
+    """Sorted hashes of the words that most documents of a bounded sample have."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for ids, texts in common.text_groups(batches):
+            distinct, back, first, _ = _distinct(ids, texts)
+            owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(first))
+            pairs = np.unique(owner * len(distinct) + back) % max(1, len(distinct))
+            held = common.distinct_sums(distinct[pairs], held)
+        if held is not None:
+            some = held[1] >= 3
+            yield pa.record_batch({"h": held[0][some].view(np.int64), "n": held[1][some]})
+
+    some = common.thinned(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.octet_length("t") < 1 << 20), "k", SAMPLE).limit(SAMPLE)
+    found = some.repartition(1).mapInArrow(count, "h long, n long").orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    return np.sort(found["h"].to_numpy().view(np.uint64))
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in sorted keys the wanted ones are, and which of them are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
 def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of all documents."""
     grams = common.checkpointed(byte_grams(docs, key, text))
     counts = _short_contexts(grams)
-    trie = docs.sparkSession.sparkContext.broadcast((counts, code_rows(counts)))
+    context = docs.sparkSession.sparkContext
+    trie, frequent = context.broadcast((counts, code_rows(counts))), context.broadcast(_frequent(docs, key, text))
     chunks = common.to_chunks(docs, key, text)
     long = _long_contexts(grams, chunks, trie)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each chunk its words; of all of a task's chunks together the frequent words (place -2) and ends (-1)."""
+        from pyspark import TaskContext
+
+        hot, sums, ends = frequent.value, np.zeros(len(frequent.value), dtype=np.int64), 0
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, texts = common.unpack(blob)
                 distinct, _, _, n = _distinct(ids, texts)
-                ends = sum(not held_out(i) for i in ids)  # the end token, which has place -1
-                yield pa.record_batch({"h": np.append(distinct, np.uint64(0)).view(np.int64), "place": np.append(np.arange(len(distinct)), -1).astype(np.int32), "chunk": np.full(len(distinct) + 1, chunk), "n": np.append(n, ends).astype(np.int64)})
-
-    asked = chunks.mapInArrow(ask, "h long, place int, chunk long, n long")
-    same = Window.partitionBy("end", "h")
+                ends += sum(not held_out(i) for i in ids)
+                at, there = _at(hot, distinct)
+                sums[at[there]] += n[there]
+                rest = np.flatnonzero(~there)
+                yield _asked(distinct[rest], rest, chunk, n[rest], 0)
+        salt = TaskContext.get().partitionId() % SALTS
+        seen = np.flatnonzero(sums)
+        yield _asked(hot[seen], np.full(len(seen), -2), -1, sums[seen], salt)
+        if ends:
+            yield _asked(np.zeros(1, np.uint64), np.full(1, -1), -1, np.array([ends]), salt)
+
+    def _asked(h: np.ndarray, place: np.ndarray, chunk: int, n: np.ndarray, salt: int) -> pa.RecordBatch:
+        return pa.record_batch({"h": np.ascontiguousarray(h).view(np.int64), "place": place.astype(np.int32), "chunk": np.full(len(h), chunk), "n": n.astype(np.int64), "salt": np.full(len(h), salt, dtype=np.int32)})
+
+    asked = chunks.mapInArrow(ask, "h long, place int, chunk long, n long, salt int")
+    same = Window.partitionBy("end", "h", "salt")
     known = (
-        asked.withColumn("end", F.col("place") < 0)
+        asked.withColumn("end", F.col("place") == -1)
         .withColumn("total", F.sum("n").over(same))
         .withColumn("nth", F.row_number().over(same.orderBy("chunk")))
         .where("total > 0")
     )
     # The sums read every column that the answers do, so both use one exchange.
-    sums = known.where("nth = 1 and place >= -1").agg(F.struct(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count("*").alias("v")).alias("s")).scalar()
-    answers = known.groupBy("chunk").agg(F.collect_list(F.struct("place", "total")).alias("found"))
+    parts = known.where("nth = 1 and place >= -2").withColumn("word", F.when(F.col("place") < 0, F.struct("place", "h"))).groupBy("word").agg(F.sum("total").alias("total"), F.count("*").alias("n"))
+    listed = F.collect_list(F.when(F.col("word.place") == -2, F.struct("word.h", "total")))
+    sums = parts.agg(
+        F.struct(
+            F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n")).otherwise(1)), F.lit(0)).alias("v"),
+            F.coalesce(F.max(F.when(F.col("word.place") == -1, F.col("total"))), F.lit(0)).alias("ends"), listed.alias("frequent"),
+        ).alias("s")
+    ).scalar()
+    answers = known.where("place >= 0").groupBy("chunk").agg(F.collect_list(F.struct("place", "total")).alias("found"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, rows = trie.value[1]
         row_of = _row_of(contexts)
         for batch in batches:
-            for blob, found, told in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for blob, found, told, ends, often in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 ids, texts = common.unpack(blob)
                 distinct, back, first, _ = _distinct(ids, texts)
-                c = np.zeros(len(distinct) + 1)  # the last is the end token's
+                c = np.zeros(len(distinct) + 1)
+                c[-1] = ends
+                if len(often.values):
+                    h, total = (often.values.field(i).to_numpy() for i in (0, 1))
+                    order = np.argsort(h.view(np.uint64))
+                    at, there = _at(h.view(np.uint64)[order], distinct)
+                    c[:-1][there] = total[order][at[there]]
                 if found.is_valid and len(found.values):
                     c[found.values.field(0).to_numpy()] = found.values.field(1).to_numpy()
                 log = np.concatenate([[0.0], np.cumsum(np.log10(c[:-1] + 0.5)[back])])
@@ -215,7 +277,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                     "score": np.array(model, dtype=np.float64),
                 })
 
-    scored = chunks.join(answers, "chunk", "left").join(long, "chunk", "left").select("blob", "found", "codes").mapInArrow(score, f"{key} long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    scored = chunks.join(answers, "chunk", "left").join(long, "chunk", "left").withColumn("sums", sums).select("blob", "found", "codes", "sums.ends", "sums.frequent").mapInArrow(score, f"{key} long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     scored = scored.withColumn("sums", sums)
     return scored.select(
         key, "held_out", "n_tokens", "n_known", F.col("sums.n").alias("train_tokens"),

@@ -147,7 +147,9 @@ def test_packing_ids_are_the_library_s():
             assert ids[at[i] : at[i + 1]].tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
 
 
-def test_scores(docs, none):
+@pytest.mark.parametrize("frequent", [16_384, 2, 0])
+def test_scores(docs, none, frequent, monkeypatch):
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
     got = {r.doc_id: r for r in lm_score.lm_scores(docs).collect()}
     assert got[0].n_tokens == 1 and got[0].score == 0
     train = [words((t or "").lower()) for i, t in enumerate(TEXTS) if not lm_score.held_out(i)]

@@ -37,8 +37,8 @@ from doclake.llm import common
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 #: Words of the shortest anchor that is taken when the window allows it.
 LEAST_ANCHOR = 12
-#: Documents that are searched for frequent passages first.
-SAMPLE = 20_000
+#: Documents, and bytes of them, that are searched for frequent passages first.
+SAMPLE, SAMPLE_BYTES = 4_000, 12 << 20
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -148,6 +148,8 @@ def _frequent(docs: DataFrame, window: int, key: str, text: str) -> tuple[np.nda
         ids, texts = [], []
         for some, more in common.text_groups(batches):
             ids, texts = ids + some, texts + more
+            if sum(map(len, texts)) >= SAMPLE_BYTES:
+                break
         words = _Words(ids, texts)
         _, anchors = _anchors(words, window)
         _, first, n = _alike(anchors)

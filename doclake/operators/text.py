@@ -145,15 +145,18 @@ def compare_terms(pairs: DataFrame, docs: DataFrame, max_chars: int | None = Non
 
 
 def extractive_summary(docs: DataFrame, n: int = 3, max_chars: int | None = None, topics: int = 15) -> DataFrame:
-    """(doc_id, summary): the n sentences of highest mean concept weight, in text order."""
-    weights = top_concepts(docs, topics, max_chars).select("doc_id", "term", "weight")
+    """(doc_id, summary, topics): the n sentences of highest mean concept weight, in text order, and the concepts."""
+    concepts = top_concepts(docs, topics, max_chars)
+    weights = concepts.select("doc_id", "term", "weight")
+    named = concepts.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("topics"))
     sentences = docs.select("doc_id", F.posexplode(F.split(_start("full_text", max_chars), r"[.!?\n]+")).alias("pos", "s")).withColumn("s", F.trim("s")).filter("s <> ''")
     scored = sentences.select("doc_id", "pos", "s", F.explode_outer(S.terms(F.col("s"))).alias("term")).join(weights, ["doc_id", "term"], "left")
     mean = scored.groupBy("doc_id", "pos", "s").agg(F.round(F.avg(F.coalesce("weight", F.lit(0.0))), 6).alias("w"))
     best = Window.partitionBy("doc_id").orderBy(F.desc("w"), "pos")
     kept = mean.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= n)
     rows = F.array_sort(F.collect_list(F.struct("pos", "s")))
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda x: x["s"]), ". ").alias("summary"))
+    summary = kept.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda x: x["s"]), ". ").alias("summary"))
+    return summary.join(named, "doc_id", "left").select("doc_id", "summary", F.coalesce("topics", F.array().cast("array<string>")).alias("topics"))
 
 
 def concept_questions(concepts: DataFrame, n: int = 5) -> DataFrame:

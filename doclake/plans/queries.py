@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from types import SimpleNamespace
 
@@ -17,6 +18,7 @@ from doclake.operators import text as X
 from doclake.plans import tasks
 from doclake.plans.ingest import ingest, with_vectors
 from doclake.sources import files
+from doclake.streaming.jobs import stream_queries_per_day
 
 #: Section words that occur in the given texts.
 KEYWORDS = ("tion", "the", "que")
@@ -77,7 +79,7 @@ def fixtures(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
         F.coalesce(F.transform("s", lambda x: F.struct(x["source"].alias("source"))), F.expr("cast(array() as array<struct<source:string>>)")).alias("context"),
     )
     pairs = raw.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
-    return SimpleNamespace(raw=raw, turns=read("conversations"), docs=docs, chunks=chunks, questions=questions, collections=collections, members=members, history=history, pairs=pairs)
+    return SimpleNamespace(raw=raw, turns=read("conversations"), docs=docs, chunks=chunks, questions=questions, collections=collections, members=members, history=history, pairs=pairs, sf_dir=sf_dir)
 
 
 def _kept(f: SimpleNamespace) -> tuple[DataFrame, DataFrame]:
@@ -179,6 +181,19 @@ def _all_prompts_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _streamed_days(f: SimpleNamespace) -> DataFrame:
+    """The events table read as a stream to its end, counted by day."""
+    spark, path = f.raw.sparkSession, f"{f.sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    name = f"days_{uuid.uuid4().hex}"
+    writer = stream_queries_per_day(stream.select(F.col("ts").cast("timestamp").alias("timestamp"))).writeStream.format("memory").queryName(name).outputMode("complete")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        writer = writer.option("checkpointLocation", f"{shared}/{name}")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 def _sometimes(prompts: list[str]) -> list[str]:
     """Fails on some prompts."""
     if any(p.startswith("FAIL") for p in prompts):
@@ -293,14 +308,22 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
         r"WITH_MORE own AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(full_text), '[^\p{L}]+'), lambda x: length(x) > 3)) AS t FROM docs), s AS (SELECT a.doc_id AS a, b.doc_id AS b, list_intersect(a.t, b.t) AS shared, a.t AS ta, b.t AS tb, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS na, len(b.t) AS nb FROM own a JOIN own b ON b.doc_id = a.doc_id + 1) SELECT a, b, array_to_string(list_sort(shared), ',') AS matching_points, array_to_string(list_sort(list_filter(tb, lambda x: NOT list_contains(shared, x))), ',') AS missing_in_a, array_to_string(list_sort(list_filter(ta, lambda x: NOT list_contains(shared, x))), ',') AS missing_in_b, CASE WHEN na + nb = 0 THEN 0.0 ELSE round(100 * i / (na + nb - i), 1) END AS overall_match_percent FROM s",
     ),
     "g4_extractive_summary": (
-        lambda f: X.extractive_summary(f.docs),
-        r"WITH_MORE t12 AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(full_text), '[^\p{L}]+'), lambda x: length(x) > 3)) AS term FROM docs), tf12 AS (SELECT doc_id, term, count(*) AS tf FROM t12 GROUP BY ALL), df12 AS (SELECT term, count(*) AS df FROM tf12 GROUP BY ALL), w12 AS (SELECT doc_id, term, round(tf * ln(((SELECT count(*) FROM docs) + 1) / (df + 1)), 6) AS weight FROM tf12 JOIN df12 USING (term)), c12 AS (SELECT * FROM w12 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 15), parts AS (SELECT doc_id, regexp_split_to_array(full_text, '[.!?\n]+') AS p FROM docs), sent0 AS (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS s FROM parts), sent AS (SELECT doc_id, pos, trim(s, ' ') AS s FROM sent0 WHERE trim(s, ' ') <> ''), st AS (SELECT doc_id, pos, s, list_filter(regexp_split_to_array(lower(s), '[^\p{L}]+'), lambda x: length(x) > 3) AS ts FROM sent), m AS (SELECT doc_id, pos, s, round(avg(coalesce(weight, 0)), 6) AS w FROM (SELECT doc_id, pos, s, unnest(CASE WHEN len(ts) = 0 THEN ['?'] ELSE ts END) AS term FROM st) LEFT JOIN c12 USING (doc_id, term) GROUP BY ALL), best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, pos) <= 3) SELECT doc_id, string_agg(s, '. ' ORDER BY pos) AS summary FROM best GROUP BY 1",
+        lambda f: _sets(X.extractive_summary(f.docs), "topics"),
+        r"WITH_MORE t12 AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(full_text), '[^\p{L}]+'), lambda x: length(x) > 3)) AS term FROM docs), tf12 AS (SELECT doc_id, term, count(*) AS tf FROM t12 GROUP BY ALL), df12 AS (SELECT term, count(*) AS df FROM tf12 GROUP BY ALL), w12 AS (SELECT doc_id, term, round(tf * ln(((SELECT count(*) FROM docs) + 1) / (df + 1)), 6) AS weight FROM tf12 JOIN df12 USING (term)), c12 AS (SELECT * FROM w12 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 15), parts AS (SELECT doc_id, regexp_split_to_array(full_text, '[.!?\n]+') AS p FROM docs), sent0 AS (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS s FROM parts), sent AS (SELECT doc_id, pos, trim(s, ' ') AS s FROM sent0 WHERE trim(s, ' ') <> ''), st AS (SELECT doc_id, pos, s, list_filter(regexp_split_to_array(lower(s), '[^\p{L}]+'), lambda x: length(x) > 3) AS ts FROM sent), m AS (SELECT doc_id, pos, s, round(avg(coalesce(weight, 0)), 6) AS w FROM (SELECT doc_id, pos, s, unnest(CASE WHEN len(ts) = 0 THEN ['?'] ELSE ts END) AS term FROM st) LEFT JOIN c12 USING (doc_id, term) GROUP BY ALL), best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, pos) <= 3) SELECT doc_id, summary, coalesce(topics, '') AS topics FROM (SELECT doc_id, string_agg(s, '. ' ORDER BY pos) AS summary FROM best GROUP BY 1) LEFT JOIN (SELECT doc_id, string_agg(term, ',' ORDER BY rank) AS topics FROM concepts GROUP BY 1) USING (doc_id)",
     ),
     "g5_concept_questions": (
         lambda f: _sets(X.concept_questions(X.top_concepts(f.docs)), "questions"),
         "SELECT doc_id, string_agg('What does the document say about ' || term || '?', ',' ORDER BY rank) AS questions FROM concepts WHERE rank <= 5 GROUP BY 1",
     ),
     "b1_chunk_recursive": (lambda f: X.chunk_recursive(f.docs.select("doc_id", F.col("file_path").alias("source"), F.lit(None).cast("int").alias("page"), F.col("full_text").alias("text"))), None),
+    "b1_chunk_characters": (
+        lambda f: X.chunk_recursive(f.docs.select("doc_id", F.col("file_path").alias("source"), F.lit(None).cast("int").alias("page"), F.col("full_text").alias("text")), separators=("",)).select("doc_id", "pos", "content"),
+        r"WITH_MORE cut AS (SELECT doc_id, i, regexp_replace(regexp_replace(substr(full_text, CAST(i * 800 + 1 AS BIGINT), 1000), '^[\t-\r\x1c-\x20\x{85}\p{Z}]+', ''), '[\t-\r\x1c-\x20\x{85}\p{Z}]+$', '') AS content FROM (SELECT doc_id, full_text, unnest(range(1 + greatest(0, length(full_text) - 201) // 800)) AS i FROM docs)) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, content FROM cut WHERE content <> ''",
+    ),
+    "h2_stream_queries_per_day": (
+        lambda f: _streamed_days(f),
+        "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1",
+    ),
     "b2_chunk_fixed": (
         lambda f: X.chunk_fixed(f.raw.select("doc_id", "text")),
         "SELECT doc_id, CAST(i AS INTEGER) AS pos, substr(text, CAST(i * 800 + 1 AS BIGINT), 1000) AS content FROM (SELECT doc_id, text, unnest(range(1 + greatest(0, length(text) - 201) // 800)) AS i FROM documents)",

@@ -10,7 +10,8 @@ Two tokens are compatible when no merge crosses their border before both are
 complete; this is found by undoing merges on the border, latest first.
 
 Nulls: a null text encodes as the empty text.  An id outside the vocabulary
-decodes to nothing.  Ids, ties and repeated rows pass through as they are.
+decodes to nothing.  Ids (null ones too), ties and repeated rows pass through as
+they are.  Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ role is written as ``\\n``).
 
 Nulls: a null text or role is empty; a null turn sorts first.  Ties of turn are
 ordered by role and text; repeated rows are kept.  One conversation is one row,
-so it has to fit one task.
+so it has to fit one task.  A null conversation id is a conversation of its own;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

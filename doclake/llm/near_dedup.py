@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     # Documents of one set are one class, named by its smallest id.
     of_set = described.where("n > 0").groupBy("n", "h1", "h2")
     banded = of_set.agg(F.min("id").alias("id"), F.first("bands").alias("bands")).where("id is not null").select(F.explode("bands").alias("band"), "id")
-    counted = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("a")).where("m > 1")
+    # Written, so that the join below reads plain exchanges and Spark can split a frequent band.
+    counted = common.written(banded.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("a")).where("m > 1"), "zstd")
     shared = common.written(banded.join(counted, "band"), "zstd")
     stars = common.checkpointed(shared.where("a < id").select("a", F.col("id").alias("b")).distinct())
     sets = _candidate_sets(texts, shared.select("id").distinct(), width)
@@ -229,10 +230,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     pairs = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = pairs.unionByName(_large_bands(mixed.where(large), sets, percent)).distinct().join(stars, ["a", "b"], "left_anti")
     more = common.checkpointed(_confirm(common.checkpointed(pairs), sets, percent))
-    common.forget(sets)
-    common.forget(shared)
+    for table in (sets, shared, counted):
+        common.forget(table)
     final = known if more.isEmpty() else components(links.unionByName(more))
-    classes = of_set.agg(F.min("id").alias("class"))
+    classes = common.checkpointed(of_set.agg(F.min("id").alias("class")))
     named = described.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left")
     out = named.join(final.withColumnRenamed("id", "class"), "class", "left")
     component = F.coalesce("component", "class", "id")

@@ -8,7 +8,9 @@ padding.
 
 Nulls: a null text is the empty text, whose only token is the closing one.
 Equal texts lie side by side, ordered by id; a hot group of equal keys is split
-by id.  Repeated ids are packed as separate documents.
+by id, and one of equal ids and texts by a number of its own.  Repeated and null
+ids are packed as separate documents.  Extra columns are ignored; an empty table
+gives no pieces.
 """
 
 from __future__ import annotations
@@ -267,8 +269,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
 
     # The range borders come from a first pass over the keys, so these are written, not computed twice.
     columns = [F.col(key).cast("long").alias("_key"), F.col(also).cast("long").alias("_also"), F.col(text).alias("_text")]
-    placed = common.written(docs.select(*columns).withColumn("place", place("_text")), "zstd")
-    ordered = placed.repartitionByRange("place", "_key").sortWithinPartitions("place", "_key", "_text").select("_key", "_also", "_text")
+    placed = common.written(docs.select(*columns).withColumn("place", place("_text")).withColumn("_row", F.monotonically_increasing_id()), "zstd")
+    # A number of its own splits rows that are alike in key and text.
+    ordered = placed.repartitionByRange("place", "_key", "_row").sortWithinPartitions("place", "_key", "_row").select("_key", "_also", "_text")
     return ordered.mapInArrow(cut, f"{', '.join(f'{c} long' for c in own)}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 

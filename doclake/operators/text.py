@@ -123,7 +123,12 @@ def top_concepts(docs: DataFrame, n: int = 15, max_chars: int | None = None) ->
     total = docs.agg(F.count("*")).scalar()
     weight = F.round(F.col("tf") * F.ln((total + 1) / (F.col("df") + 1)), 6)
     best = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term")
-    return tf.join(df, "term").withColumn("weight", weight).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n).select("doc_id", "term", "weight", "rank")
+    # Terms of one document in a hundred are broadcast, as a hundred times the terms of a mean document at most; others make small groups.
+    often = F.broadcast(df.where(F.col("df") * 100 >= total).withColumnRenamed("df", "_often"))
+    known = tf.join(often, "term", "left")
+    rare = known.where("_often is null").drop("_often").join(df, "term")
+    counted = known.where("_often is not null").withColumnRenamed("_often", "df").unionByName(rare)
+    return counted.withColumn("weight", weight).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n).select("doc_id", "term", "weight", "rank")
 
 
 def shared_concepts(concepts: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -214,6 +215,13 @@ def forget(table: DataFrame) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order of appearance, where each is first, and each value's number (by hashing, not sorting)."""
+    back, distinct = pd.factorize(values)
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1) > 0) if len(back) else np.zeros(0, np.int64)
+    return distinct, first, back
+
+
 def distinct_sums(codes: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes with their counts, added to those counted before."""
     values, n = np.unique(codes, return_counts=True)

@@ -162,7 +162,7 @@ def _distinct(ids: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np
     data, at = common.joined(texts)
     start, _, words = common.hash_words(data, lower=True)
     first = np.searchsorted(start, at)
-    distinct, back = np.unique(words, return_inverse=True)
+    distinct, _, back = common.numbered(words)
     train = np.repeat([not held_out(i) for i in ids], np.diff(first)) if ids else np.zeros(0, bool)
     return distinct, back, first, np.bincount(back[train], minlength=len(distinct))
 

@@ -181,7 +181,7 @@ class _Words:
             return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         data, begins = common.joined(texts)
         buf, start, end = pieces(data)
-        distinct, first, back = np.unique(common.hash_spans(buf, start, end), return_index=True, return_inverse=True)
+        distinct, first, back = common.numbered(common.hash_spans(buf, start, end))
         keys = distinct.tolist()
         self.known.age()
         found = self.known.many(keys)

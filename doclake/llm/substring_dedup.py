@@ -38,7 +38,7 @@ COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31:
 #: Words of the shortest anchor that is taken when the window allows it.
 LEAST_ANCHOR = 12
 #: Documents, and bytes of them, that are searched for frequent passages first.
-SAMPLE, SAMPLE_BYTES = 4_000, 12 << 20
+SAMPLE, SAMPLE_BYTES = 1_500, 4 << 20
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -84,61 +84,63 @@ def _window_keys(words: _Words, window: int, at: np.ndarray) -> np.ndarray:
 
 def _alike(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The number of each key, where each number's first key is, and how many keys it has."""
-    if keys.ndim == 1:
-        _, first, back, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        return back, first, n
-    order = np.lexsort((keys[:, 1], keys[:, 0]))
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = (keys[order][1:] != keys[order][:-1]).any(axis=1)
-    back = np.empty(len(keys), dtype=np.int64)
-    back[order] = np.cumsum(new) - 1
-    return back, order[new], np.bincount(back, minlength=int(new.sum()))
-
-
-def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which keys are among the known ones."""
+    if keys.ndim == 2:
+        _, _, one = common.numbered(np.ascontiguousarray(keys[:, 0]))
+        _, _, two = common.numbered(np.ascontiguousarray(keys[:, 1]))
+        keys = one * (two.max(initial=0) + 1) + two
+    _, first, back = common.numbered(keys)
+    return back, first, np.bincount(back, minlength=len(first))
+
+
+def _known(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are surely among the known ones, which are sorted (one of equal first hashes is looked at)."""
     if not len(known) or not len(keys):
         return np.zeros(len(keys), dtype=bool)
-    back, _, n = _alike(np.concatenate([known, keys]))
-    held = np.zeros(len(n), dtype=bool)
-    held[back[: len(known)]] = True
-    return held[back[len(known) :]]
+    if keys.ndim == 1:
+        return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+    return (known[np.minimum(np.searchsorted(known[:, 0], keys[:, 0]), len(known) - 1)] == keys).all(axis=1)
+
+
+class _Question:
+    """The distinct keys of a chunk that are not known to be repeated; an answer names their places."""
 
+    def __init__(self, keys: np.ndarray, known: np.ndarray):
+        self.keys = keys
+        self.back, self.first, n = _alike(keys)
+        self.shared = _known(keys[self.first], known)
+        self.asked = np.flatnonzero(~self.shared)
+        self.shared |= n > 1
 
-def _shared(keys: np.ndarray, *known: np.ndarray) -> np.ndarray:
-    """Which keys are found twice here, or are among the known ones."""
-    back, _, n = _alike(keys)
-    found = n[back] > 1
-    for some in known:
-        found |= _among(keys, some)
-    return found
+    def rows(self, chunk: int) -> pa.RecordBatch:
+        """(h, h2, place, chunk): a key that the chunk holds twice needs no answer, and has place -1."""
+        keys = self.keys[self.first[self.asked]]
+        h, h2 = (keys, np.zeros(len(keys), np.uint64)) if keys.ndim == 1 else (np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1]))
+        place = np.where(self.shared[self.asked], -1, np.arange(len(keys))).astype(np.int32)
+        return pa.record_batch({"h": h.view(np.int64), "h2": h2.astype(np.uint32).view(np.int32), "place": place, "chunk": np.full(len(keys), chunk)})
 
+    def found(self, places: pa.ListScalar) -> np.ndarray:
+        """Which keys are found twice, here or in all chunks."""
+        shared = self.shared.copy()
+        if places.is_valid:
+            shared[self.asked[places.values.to_numpy()]] = True
+        return shared[self.back]
 
-def _windows(words: _Words, window: int, *shared_anchors: np.ndarray) -> np.ndarray:
+
+def _windows(words: _Words, window: int, anchors: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """Starts of the full windows that hold a shared anchor."""
     period, _, _ = cover_for(window)
-    at, hashes = _anchors(words, window)
     hit = np.zeros(len(words.hash) + period + 1, dtype=np.int64)
-    hit[at[_shared(hashes, *shared_anchors)] + 1] = 1
+    hit[anchors[shared] + 1] = 1
     np.cumsum(hit, out=hit)
     starts = words.whole(window)
     return starts[hit[starts + period] > hit[starts]]
 
 
-def _ask(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per chunk, the hashes that it holds once and that some other chunk holds too."""
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    again = rows.withColumn("total", total).where("total > 1 and n = 1")
-    return again.groupBy("chunk").agg(F.collect_list(F.struct(*keys)).alias("found"))
-
-
-def _told(found: pa.StructScalar | pa.ListScalar) -> np.ndarray:
-    """A chunk's answer as keys: one column for anchors, two for windows."""
-    if not found.is_valid:
-        return np.zeros(0, np.uint64)
-    columns = [found.values.field(i).to_numpy() for i in range(found.type.value_type.num_fields)]
-    columns = [c.view(np.uint64) if c.dtype == np.int64 else c.view(np.uint32).astype(np.uint64) for c in columns]
-    return columns[0] if len(columns) == 1 else np.stack(columns, axis=1)
+def _ask(rows: DataFrame) -> DataFrame:
+    """Per chunk, the places of the keys that it holds once and that some other chunk holds too."""
+    total = F.sum(F.when(F.col("place") < 0, 2).otherwise(1)).over(Window.partitionBy("h", "h2"))
+    again = rows.withColumn("total", total).where("total > 1 and place >= 0")
+    return again.groupBy("chunk").agg(F.collect_list("place").alias("found"))
 
 
 def _frequent(docs: DataFrame, window: int, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -151,11 +153,11 @@ def _frequent(docs: DataFrame, window: int, key: str, text: str) -> tuple[np.nda
             if sum(map(len, texts)) >= SAMPLE_BYTES:
                 break
         words = _Words(ids, texts)
-        _, anchors = _anchors(words, window)
-        _, first, n = _alike(anchors)
+        at, anchors = _anchors(words, window)
+        back, first, n = _alike(anchors)
         h = anchors[first[n > 1]]
         yield pa.record_batch({"h": h.view(np.int64), "h2": pa.nulls(len(h), pa.int64())})
-        keys = _window_keys(words, window, _windows(words, window))
+        keys = _window_keys(words, window, _windows(words, window, at, n[back] > 1))
         _, first, n = _alike(keys)
         keys = keys[first[n > 1]]
         yield pa.record_batch({"h": np.ascontiguousarray(keys[:, 0]).view(np.int64), "h2": np.ascontiguousarray(keys[:, 1]).view(np.int64)})
@@ -165,7 +167,8 @@ def _frequent(docs: DataFrame, window: int, key: str, text: str) -> tuple[np.nda
     h, h2 = found["h"].to_numpy().view(np.uint64), found["h2"]
     anchor = h2.is_null().to_numpy()
     pairs = h2.fill_null(0).to_numpy().view(np.uint64)
-    return h[anchor], np.stack([h, pairs], axis=1)[~anchor]
+    windows = np.stack([h, pairs], axis=1)[~anchor]
+    return np.sort(h[anchor]), windows[np.lexsort((windows[:, 1], windows[:, 0]))]
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,35 +179,27 @@ def substring_dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text
     chunks = common.to_chunks(docs, key, text)
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, window, key, text))
 
-    def rows(keys: np.ndarray, chunk: int, known: np.ndarray) -> dict:
-        """What a chunk asks: distinct keys that are not known to be repeated, and whether it holds them once."""
-        _, first, n = _alike(keys)
-        ask = ~_among(keys[first], known)
-        n, keys = n[ask], keys[first[ask]]
-        return {"keys": keys, "chunk": np.full(len(n), chunk), "n": np.minimum(n, 2).astype(np.int32)}
-
     def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                asked = rows(_anchors(_Words(*common.unpack(blob)), window)[1], chunk, frequent.value[0])
-                yield pa.record_batch({"h": asked["keys"].view(np.int64), "chunk": asked["chunk"], "n": asked["n"]})
+                yield _Question(_anchors(_Words(*common.unpack(blob)), window)[1], frequent.value[0]).rows(chunk)
+
+    def asked_windows(blob: bytes, anchors: pa.ListScalar) -> tuple[_Words, np.ndarray, _Question]:
+        words = _Words(*common.unpack(blob))
+        at, keys = _anchors(words, window)
+        at = _windows(words, window, at, _Question(keys, frequent.value[0]).found(anchors))
+        return words, at, _Question(_window_keys(words, window, at), frequent.value[1])
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, blob, found in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
-                words = _Words(*common.unpack(blob))
-                at = _windows(words, window, _told(found), frequent.value[0])
-                asked = rows(_window_keys(words, window, at), chunk, frequent.value[1])
-                h, h2 = (np.ascontiguousarray(asked["keys"][:, i]) for i in (0, 1))
-                yield pa.record_batch({"h": h.view(np.int64), "h2": h2.astype(np.uint32).view(np.int32), "chunk": asked["chunk"], "n": asked["n"]})
+            for chunk, blob, anchors in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
+                yield asked_windows(blob, anchors)[2].rows(chunk)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, a, w in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                words = _Words(*common.unpack(blob))
-                at = _windows(words, window, _told(a), frequent.value[0])
-                told = _told(w)
-                at = at[_shared(_window_keys(words, window, at), told if len(told) else told.reshape(0, 2), frequent.value[1])]
+                words, at, question = asked_windows(blob, a)
+                at = at[question.found(w)]
                 edge = np.zeros(len(words.hash) + window + 1, dtype=np.int64)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + window, -1)
@@ -215,9 +210,10 @@ def substring_dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text
                 kept = [b" ".join(compress(t.split(), keep[s:e]) if r else t.split()) for t, s, e, r in zip(words.texts, words.first[:-1].tolist(), words.first[1:].tolist(), removed.tolist(), strict=True)]
                 yield pa.record_batch({key: pa.array(words.ids, pa.int64()), "n_words": n, "n_removed": removed, "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    anchors = _ask(chunks.mapInArrow(ask_anchors, "h long, chunk long, n int"), ["h"]).withColumnRenamed("found", "anchors")
+    rows = "h long, h2 int, place int, chunk long"
+    anchors = _ask(chunks.mapInArrow(ask_anchors, rows)).withColumnRenamed("found", "anchors")
     with_anchors = chunks.join(anchors, "chunk", "left")
-    windows = _ask(with_anchors.mapInArrow(ask_windows, "h long, h2 int, chunk long, n int"), ["h", "h2"]).withColumnRenamed("found", "windows")
+    windows = _ask(with_anchors.mapInArrow(ask_windows, rows)).withColumnRenamed("found", "windows")
     full = with_anchors.join(windows, "chunk", "left").select("blob", "anchors", "windows")
     return full.mapInArrow(remove, f"{key} long, n_words long, n_removed long, kept string")
 

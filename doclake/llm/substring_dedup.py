@@ -112,11 +112,11 @@ class _Question:
         self.shared |= n > 1
 
     def rows(self, chunk: int) -> pa.RecordBatch:
-        """(h, h2, place, chunk): a key that the chunk holds twice needs no answer, and has place -1."""
+        """(h, h2 of windows, place, chunk): a key that the chunk holds twice needs no answer, and has place -1."""
         keys = self.keys[self.first[self.asked]]
-        h, h2 = (keys, np.zeros(len(keys), np.uint64)) if keys.ndim == 1 else (np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1]))
         place = np.where(self.shared[self.asked], -1, np.arange(len(keys))).astype(np.int32)
-        return pa.record_batch({"h": h.view(np.int64), "h2": h2.astype(np.uint32).view(np.int32), "place": place, "chunk": np.full(len(keys), chunk)})
+        parts = {"h": keys.view(np.int64)} if keys.ndim == 1 else {"h": np.ascontiguousarray(keys[:, 0]).view(np.int64), "h2": keys[:, 1].astype(np.uint32).view(np.int32)}
+        return pa.record_batch({**parts, "place": place, "chunk": np.full(len(keys), chunk)})
 
     def found(self, places: pa.ListScalar) -> np.ndarray:
         """Which keys are found twice, here or in all chunks."""
@@ -136,9 +136,9 @@ def _windows(words: _Words, window: int, anchors: np.ndarray, shared: np.ndarray
     return starts[hit[starts + period] > hit[starts]]
 
 
-def _ask(rows: DataFrame) -> DataFrame:
+def _ask(rows: DataFrame, *keys: str) -> DataFrame:
     """Per chunk, the places of the keys that it holds once and that some other chunk holds too."""
-    total = F.sum(F.when(F.col("place") < 0, 2).otherwise(1)).over(Window.partitionBy("h", "h2"))
+    total = F.sum(F.when(F.col("place") < 0, 2).otherwise(1)).over(Window.partitionBy(*keys))
     again = rows.withColumn("total", total).where("total > 1 and place >= 0")
     return again.groupBy("chunk").agg(F.collect_list("place").alias("found"))
 
@@ -210,10 +210,9 @@ def substring_dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text
                 kept = [b" ".join(compress(t.split(), keep[s:e]) if r else t.split()) for t, s, e, r in zip(words.texts, words.first[:-1].tolist(), words.first[1:].tolist(), removed.tolist(), strict=True)]
                 yield pa.record_batch({key: pa.array(words.ids, pa.int64()), "n_words": n, "n_removed": removed, "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    rows = "h long, h2 int, place int, chunk long"
-    anchors = _ask(chunks.mapInArrow(ask_anchors, rows)).withColumnRenamed("found", "anchors")
+    anchors = _ask(chunks.mapInArrow(ask_anchors, "h long, place int, chunk long"), "h").withColumnRenamed("found", "anchors")
     with_anchors = chunks.join(anchors, "chunk", "left")
-    windows = _ask(with_anchors.mapInArrow(ask_windows, rows)).withColumnRenamed("found", "windows")
+    windows = _ask(with_anchors.mapInArrow(ask_windows, "h long, h2 int, place int, chunk long"), "h", "h2").withColumnRenamed("found", "windows")
     full = with_anchors.join(windows, "chunk", "left").select("blob", "anchors", "windows")
     return full.mapInArrow(remove, f"{key} long, n_words long, n_removed long, kept string")
 

@@ -105,13 +105,13 @@ def _common_length(words: np.ndarray, a: np.ndarray, b: np.ndarray, end: np.ndar
     return length
 
 
-def lcp_values(words: np.ndarray, sa: np.ndarray, isa: np.ndarray) -> np.ndarray:
+def lcp_values(words: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """LCP of neighbours in the suffix array of one document; the first is 0."""
     n = len(sa)
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
     place = np.arange(n)
-    one_back = np.where((place > 0) & (before > 0), words[place - 1] == words[before - 1], False)
+    one_back = np.where((place > 0) & (before > 0), words[np.maximum(place, 1) - 1] == words[np.maximum(before, 1) - 1], False)
     lead = np.flatnonzero(~one_back & (before >= 0))  # irreducible: to be compared
     low, high = np.minimum(lead, before[lead]), np.maximum(lead, before[lead])
     plcp = np.zeros(n, dtype=np.int64)
@@ -148,7 +148,7 @@ def _intervals(lcp: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def branching_squares(words: np.ndarray, sa: np.ndarray, isa: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and periods of the squares that can't be moved to the right, with periods that leave room for ``times`` of them."""
     n = len(sa)
-    depth, left, right, owner = _intervals(lcp_values(words, sa, isa).tolist())
+    depth, left, right, owner = _intervals(lcp_values(words, sa).tolist())
     cut = np.flatnonzero(owner >= 0)
     cut = cut[times * depth[owner[cut]] <= n]
     cut = cut[np.argsort(owner[cut], kind="stable")]  # places between children, by interval

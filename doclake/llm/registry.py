@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from doclake.llm.audio import op8_audio
 from doclake.llm.bpe import op9_bpe
 from doclake.llm.chat import OP7_SQL, op7_chat
+from doclake.llm.collocations import OP13_SQL, op13_collocations
 from doclake.llm.decontaminate import OP11_SQL, op11_decontaminate
 from doclake.llm.html_extract import op6_html
 from doclake.llm.lm_score import op4_lm_score
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_decontaminate": op11_decontaminate,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op7_chat": OP7_SQL, "op11_decontaminate": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op5_near_dedup": OP5_SQL, "op7_chat": OP7_SQL, "op11_decontaminate": OP11_SQL, "op13_collocations": OP13_SQL}

@@ -3,9 +3,12 @@
 The base patterns (email, ip, card, phone) are matched over whole texts.  The
 CRF reads *sites*: the words around each word that holds a digit or ``@`` or is a
 cue (``CUES``), in texts of any length; no text or word is shortened.  A segment
-is an entity of up to ``MAX_WORDS`` words and one kind, scored by features of the
-whole span, or a single other word; neighbouring segments are scored by their
-kinds.  Dynamic programming over a site chooses borders and kinds jointly.
+is an entity of up to ``MAX_WORDS`` words of one line and one kind, scored by
+features of the whole span, or a single other word; neighbouring segments are
+scored by their kinds.  A span can only be of a kind whose form it has (``_forms``):
+plain numbers, decimals, dates or ISBNs have none.  Dynamic programming chooses
+borders and kinds jointly, over runs of words that spans cover together: words that
+no span covers part a site exactly, so numbers by the megabyte make no lattice.
 
 Training maximises the likelihood of labelled sites (forward-backward over all
 segmentations): a bounded sample of the corpus (``sample`` sites of least hash),
@@ -142,9 +145,42 @@ class Lattice(NamedTuple):
     i: list[int]  # first word
     j: list[int]  # word after the last
     features: list[list[str]]
-
-
-def lattice(text: str, words: list[tuple[int, int]]) -> Lattice:
+    kinds: list[list[int]] = []  # what each can be; all kinds without forms
+
+
+_GROUPS = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}")
+_LOCAL = re.compile(r"\([0-9]{2,5}\) ?[0-9]{2,4}(?:[ .-]?[0-9]{2,5}){0,2}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}|0[0-9]{1,5}[ /-][0-9]{3,8}(?:[ -][0-9]{2,5}){0,2}")
+_CALLED = re.compile(r"\+?[0-9(][0-9 ()./-]{5,}[0-9]")
+_ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)")
+_NUMBER = re.compile(r"[0-9][0-9.,/%-]*")
+_K = {kind: k for k, kind in enumerate(KINDS)}
+
+
+def _forms(span: str, announced: str | None, street: bool, alone: bool) -> list[int]:
+    """The kinds whose form a span has; ``announced`` is the kind of the cue before it, ``alone``: no plain number stands beside it on its line."""
+    n, out = sum(c in "0123456789" for c in span), []
+    grouped = " " not in span or alone  # spaced digits inside a row of numbers are numbers
+    if "@" in span and _EMAIL.fullmatch(span):
+        out.append("email")
+    if 13 <= n <= 19 and grouped and _GROUPS.fullmatch(span) and luhn("".join(c for c in span if c.isdigit())):
+        out.append("card")
+    if 7 <= n <= 15 and ((grouped and _LOCAL.fullmatch(span)) or (announced == "phone" and _CALLED.fullmatch(span)) or (span[0] == "+" and n >= 9 and _PHONE.fullmatch(span))):
+        out.append("phone")
+    if n >= 2 and _ACCOUNT.fullmatch(span) and _mod97(span):
+        out.append("iban")
+    if announced == "secret":
+        out.append("secret")
+    if n and (announced == "id" or re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", span)):
+        out.append("id")
+    if not n and announced == "name":
+        out.append("name")
+    if n and (street or announced == "address"):
+        out.append("address")
+    return [_K[k] for k in out]
+
+
+def lattice(text: str, words: list[tuple[int, int]], forms: bool = False) -> Lattice:
+    """All segments that may be entities; with ``forms``, those that have the form of some kind."""
     parts = [text[a:b] for a, b in words]
     digit = [bool(_SITE.search(p)) for p in parts]
     mark = [p in _MARKS for p in parts]
@@ -152,21 +188,31 @@ def lattice(text: str, words: list[tuple[int, int]]) -> Lattice:
     last: list[tuple[str, int] | None] = []  # the cue before each word, and how far
     for k in range(len(parts)):
         last.append((cue[k - 1], 1) if k and cue[k - 1] else (last[-1][0], last[-1][1] + 1) if k and last[-1] and last[-1][1] < REACH else None)
-    out = Lattice(len(words), [], [], [])
+    out = Lattice(len(words), [], [], [], [])
+    starts_line = [k == 0 or "\n" in text[words[k - 1][1] : words[k][0]] for k in range(len(parts))] + [True]
+    number = [d and bool(_NUMBER.fullmatch(p)) for d, p in zip(digit, parts, strict=True)] if forms else []
     for i in range(len(parts)):
         opens = digit[i] or (parts[i] == "(" and i + 1 < len(parts) and digit[i + 1])
         announced = last[i] is not None and not mark[i] and cue[i] is None
         if not opens and not announced:
             continue
+        beside = forms and i > 0 and not starts_line[i] and number[i - 1]
+        if forms and not announced and number[i] and len(parts[i]) < 10 and beside:
+            continue  # inside a row of numbers nothing begins that is not announced
         plain = True  # no small letters after the first word
         for j in range(i + 1, min(len(parts), i + MAX_WORDS) + 1):
             k = j - 1
             street = parts[k].lower().strip(".") in _STREETS
-            if (mark[k] and parts[k] not in "()") or (cue[k] and not street):
+            if (mark[k] and parts[k] not in "()") or (cue[k] and not street) or (k > i and starts_line[k]):
                 break
             plain = plain and (k == i or not _SMALL.search(parts[k]))
             if mark[k] or not (street or (announced and j - i <= 3) or (digit[k] and plain)):
                 continue
+            if forms:
+                kinds = _forms(text[words[i][0] : words[k][1]].rstrip(".!?"), last[i][0] if last[i] else None, street, not beside and (starts_line[j] or not number[j]))
+                if not kinds:
+                    continue
+                out.kinds.append(kinds)
             out.i.append(i)
             out.j.append(j)
             out.features.append(_features(text[words[i][0] : words[k][1]], j - i, last[i], street, parts[i - 1] if i else "^", parts[j] if j < len(parts) else "$"))
@@ -202,9 +248,29 @@ class Model(NamedTuple):
     moves: np.ndarray
 
 
+def _barred(lat: Lattice) -> np.ndarray:
+    """0 where a segment can be of a kind, else minus infinity."""
+    out = np.full((len(lat.i), len(KINDS)), -np.inf)
+    for s, kinds in enumerate(lat.kinds):
+        out[s, kinds] = 0.0
+    return out
+
+
 def _scores(lat: Lattice, model: Model) -> np.ndarray:
     row = model.row
-    return np.array([model.weights[[row[f] for f in fs if f in row]].sum(0) for fs in lat.features]).reshape(len(lat.features), len(KINDS))
+    return np.array([model.weights[[row[f] for f in fs if f in row]].sum(0) for fs in lat.features]).reshape(len(lat.features), len(KINDS)) + _barred(lat)
+
+
+def runs_of(lat: Lattice) -> Iterator[tuple[int, Lattice, list[int]]]:
+    """Runs of words that segments cover together (first word, their lattice, their segments); a word that none covers is behind each, and no entity can be there."""
+    at = 0
+    while at < len(lat.i):
+        first, end, to = lat.i[at], lat.j[at], at
+        while to < len(lat.i) and lat.i[to] <= end:  # segments are in order of their first words
+            end, to = max(end, lat.j[to]), to + 1
+        which = list(range(at, to))
+        yield first, Lattice(min(end + 1, lat.n) - first, [lat.i[s] - first for s in which], [lat.j[s] - first for s in which], [lat.features[s] for s in which], [lat.kinds[s] for s in which]), which
+        at = to
 
 
 def decode(lat: Lattice, scores: np.ndarray, moves: np.ndarray) -> list[tuple[str, int, int]]:
@@ -240,7 +306,8 @@ def decode(lat: Lattice, scores: np.ndarray, moves: np.ndarray) -> list[tuple[st
 def _sum(x: np.ndarray, axis: int) -> np.ndarray:
     """log of the sum of exp."""
     top = np.maximum(x.max(axis), -1e300)
-    return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis))
+    with np.errstate(divide="ignore"):  # nothing leads there: minus infinity
+        return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis))
 
 
 def likelihood(lat: Lattice, scores: np.ndarray, moves: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -357,7 +424,7 @@ def train(texts: tuple[str, ...], epochs: int = EPOCHS, made_up: int = MADE_UP)
     sets = []
     for text, spans in given:
         words = words_of(text)
-        lat = lattice(text, words)
+        lat = lattice(text, words, forms=True)
         sets.append((lat, _gold(text, words, spans)))
         for fs in lat.features:
             for f in fs:
@@ -376,10 +443,10 @@ def train(texts: tuple[str, ...], epochs: int = EPOCHS, made_up: int = MADE_UP)
             lat, gold = sets[x]
             if not lat.i:
                 continue
-            scores = np.array([weights[r].sum(0) for r in at[x]])
+            scores = np.array([weights[r].sum(0) for r in at[x]]) + _barred(lat)
             _, expected, moved = likelihood(lat, scores, moves)
             have = {(i, j): s for s, (i, j) in enumerate(zip(lat.i, lat.j, strict=True))}
-            gold = {g for g in gold if (g[1], g[2]) in have}  # what no segment can be is out of reach
+            gold = {g for g in gold if (g[1], g[2]) in have and KINDS.index(g[0]) in lat.kinds[have[g[1], g[2]]]}  # what no segment can be is out of reach
             expected = -expected
             for kind, i, j in gold:
                 expected[have[i, j], KINDS.index(kind)] += 1
@@ -408,10 +475,9 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: Model) -> li
     out, words = [], words_of(text)
     taken, near = sorted((a, b) for _, a, b in base), 0
     for low, high in sites(text, words):
-        lat = lattice(text, words[low:high])
-        if not lat.i:
-            continue
-        for kind, i, j in decode(lat, _scores(lat, model), model.moves):
+        site = lattice(text, words[low:high], forms=True)
+        found = [(kind, first + i, first + j) for first, lat, _ in runs_of(site) for kind, i, j in decode(lat, _scores(lat, model), model.moves)]
+        for kind, i, j in found:
             a, b = words[low + i][0], words[low + j - 1][1]
             while b > a + 1 and text[b - 1] in ".!?":
                 b -= 1

@@ -11,9 +11,9 @@ Before, words are counted.  The most frequent ones get short numbers, so that a
 is one 64-bit value, and those below the least count end a suffix.  Words beyond
 ``VOCABULARY`` keep 62-bit hashes as numbers; such suffixes are wider rows of the same
 shuffle.  A word of more than ``HOT`` occurrences is not routed by itself but with the
-word after it, and so on; what such a task holds of a phrase of hot words alone is a
-part, and parts are added up.  Each task counts what it reads before it sends
-it.
+word after it, and so on; a phrase of such words alone has marked rows of its own,
+so each phrase is counted whole in one task.  Each task counts what it reads
+before it sends it.
 
 Words are equal when their 64-bit hashes (with the language) are; scores are exact.
 
@@ -37,9 +37,9 @@ from doclake.llm import common
 #: Bytes of text that are counted together before they are sent.
 UNIT = 8 << 20
 #: Words with short numbers at most (16 bytes each are broadcast).
-VOCABULARY = (1 << 21) - 1
+VOCABULARY = (1 << 21) - 2
 #: Suffixes that a task sorts, and occurrences beyond which a word is routed with the next one.
-SORTED, HOT = 2_000_000, 250_000
+SORTED, HOT = 2_000_000, 100_000
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -103,8 +103,8 @@ def _suffixes(words: Words, numbers: Numbers, longest: int) -> np.ndarray:
     return out[:, (out[0] != 0) & (out[1] != 0)] if longest > 1 else out
 
 
-def _combined(digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct columns and how often each is there."""
+def _combined(digits: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct columns and how often each is there, or the sum of its weights."""
     flat, _, back = common.numbered(digits.ravel())
     local = back.reshape(digits.shape)
     bits = max(1, int(len(flat)).bit_length())
@@ -112,11 +112,27 @@ def _combined(digits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         packed = np.zeros(digits.shape[1], dtype=np.int64)
         for row in local:
             packed = packed << bits | row
-        values, n = np.unique(packed, return_counts=True)
-        rows = [flat[(values >> bits * (len(digits) - 1 - i)) & ((1 << bits) - 1)] for i in range(len(digits))]
-        return np.array(rows).reshape(len(digits), -1), n
-    values, n = np.unique(digits, axis=1, return_counts=True)
-    return values, n
+        order = np.argsort(packed)
+        packed = packed[order]
+        first = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]])[: len(packed)])
+        ends = np.append(first[1:], len(packed))[: len(first)]
+        total = np.append(0, np.cumsum(weight[order])) if weight is not None else np.arange(len(packed) + 1)
+        return digits[:, order[first]], total[ends] - total[first]
+    values, of = np.unique(digits, axis=1, return_inverse=True)
+    return values, np.bincount(of.ravel(), weights=weight, minlength=values.shape[1]).astype(np.int64)
+
+
+def _with_hot_heads(digits: np.ndarray, n: np.ndarray, hot: int, mark: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes that begin with hot words are routed by more than these: a row with a mark behind them counts each such beginning."""
+    rows, weights = [digits], [n]
+    for words in range(2, len(digits)):
+        all_hot = ((digits[:words] > 0) & (digits[:words] <= hot)).all(axis=0)
+        heads, sums = _combined(digits[:words, all_hot], n[all_hot])
+        marked = np.zeros((len(digits), heads.shape[1]), dtype=np.int64)
+        marked[:words], marked[words] = heads, mark
+        rows.append(marked)
+        weights.append(sums)
+    return np.concatenate(rows, axis=1), np.concatenate(weights)
 
 
 def equal_partitions(digits: np.ndarray, weight: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -158,15 +174,6 @@ def equal_partitions(digits: np.ndarray, weight: np.ndarray, least: int) -> Iter
         bounds, depth = np.concatenate([[0], np.cumsum(sizes[keep])]), deep[keep]
 
 
-def _parts_of_hot(digits: np.ndarray, weight: np.ndarray, hot: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases of so many words, all of them hot, and what is here of their counts."""
-    all_hot = ((digits[:words] > 0) & (digits[:words] <= hot)).all(axis=0)
-    values, back = np.unique(digits[:words, all_hot], axis=1, return_inverse=True)
-    n = np.zeros(values.shape[1], dtype=np.int64)
-    np.add.at(n, back.ravel(), weight[all_hot])
-    return values, n
-
-
 def word_counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """(key, lang, word, n): how often each word comes in each language; the row without a word counts all."""
 
@@ -182,11 +189,12 @@ def _phrase_counts(docs: DataFrame, numbers: Numbers, longest: int, least: int,
     """(phrase, n): the phrases of two words or more of the least count, as arrays of word numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(numbers)  # VOCABULARY words at most
     bits, wide = 63 // longest, not numbers.whole
+    mark = (1 << bits) - 1
     names = [f"d{i}" for i in range(longest)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, texts in common.text_groups(batches, UNIT):
-            digits, n = _combined(_suffixes(Words(langs, texts), shared.value, longest))
+            digits, n = _with_hot_heads(*_combined(_suffixes(Words(langs, texts), shared.value, longest)), hot, mark)
             short = (digits < 1 << bits).all(axis=0)
             packed = np.zeros(digits.shape[1], dtype=np.int64)
             for row in digits:
@@ -207,12 +215,14 @@ def _phrase_counts(docs: DataFrame, numbers: Numbers, longest: int, least: int,
             found.append(np.array(rows))
             weights.append(batch.column(1).to_numpy().astype(np.int64))
         digits, weight = np.concatenate(found, axis=1), np.concatenate(weights)
-        for words in range(2, longest):
-            values, n = _parts_of_hot(digits, weight, hot, words)
-            yield pa.record_batch({"phrase": pa.array(values.T.tolist(), pa.list_(pa.int64())), "n": n})
         for words, at, n in equal_partitions(digits, weight, least):
-            part = (digits[:words, at] <= hot).all(axis=0) & (words < longest)  # counted above
-            yield pa.record_batch({"phrase": pa.array(digits[:words, at[~part]].T.tolist(), pa.list_(pa.int64())), "n": n[~part]} if words > 1 else {"phrase": pa.array([], pa.list_(pa.int64())), "n": pa.array([], pa.int64())})
+            phrase = digits[:words, at]
+            marked = phrase[-1] == mark
+            # What begins with hot words is counted by its mark alone: others of its suffixes are in other tasks.
+            whole = ~marked & ((words == longest) | (phrase > hot).any(axis=0))
+            for some, size in ((phrase[:, whole], words), (phrase[:, marked], words - 1)):
+                if size > 1 and some.shape[1]:
+                    yield pa.record_batch({"phrase": pa.array(some[:size].T.tolist(), pa.list_(pa.int64())), "n": n[whole] if size == words else n[marked]})
 
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(send, "k long, n int" + "".join(f", {name} long" for name in names if wide))
     digit = [F.shiftright("k", bits * (longest - 1 - i)).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(longest)]
@@ -223,7 +233,7 @@ def _phrase_counts(docs: DataFrame, numbers: Numbers, longest: int, least: int,
     for i in range(1, longest):
         led = led & (digit[i - 1] > 0) & (digit[i - 1] <= hot)
         route.append(F.when(led, digit[i]))
-    return rows.repartition(tasks, *route).mapInArrow(sort, "phrase array<long>, n long").groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return rows.repartition(tasks, *route).mapInArrow(sort, "phrase array<long>, n long")
 
 
 def _slice(of: str, start: Column, length: Column) -> Column:
@@ -242,7 +252,7 @@ def collocations(docs: DataFrame, top: int = 2000, longest: int = 3, least: int
     spark = docs.sparkSession
     words = common.written(word_counts(docs, lang, text).where((F.col("n") >= least) | F.col("word").isNull()), "zstd")
     known = words.where("word is not null")
-    limit = min(VOCABULARY, (1 << 63 // longest) - 1)
+    limit = min(VOCABULARY, (1 << 63 // longest) - 2)  # one number is the mark
     best = known.orderBy(F.desc("n"), "key").limit(limit).select("key", "n").toArrow()  # VOCABULARY rows at most
     count, total, keys = *known.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first(), best["key"].to_numpy()
     numbers = Numbers(np.ascontiguousarray(keys), count <= limit)

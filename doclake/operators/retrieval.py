@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclake.functions import scalars as S
+from doclake.operators.neighbours import CELLS, build_index, search
+from doclake.sources.shared import stored
 
-#: Questions that are broadcast at most, or searched in one block, and chunks of a block.
-BLOCK, CHUNKS = 1000, 20_000
-#: Vectors that the cells of the approximate search are fitted on, and tried on, at most.
-SAMPLE, TRIED = 20_000, 400
 #: What is answered without any hit (fixed value).
 NOTHING = "No relevant documents found in the knowledge base."
 
@@ -34,121 +28,26 @@ def cosine(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def topk_per_question(scored: DataFrame, k: int) -> DataFrame:
-    nearest = Window.partitionBy("qid").orderBy("distance", "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
-
-
-def knn(questions: DataFrame, chunks: DataFrame, k: int, metric: str = "l2sq", method: str = "expr") -> DataFrame:
+def knn(questions: DataFrame, chunks: DataFrame, k: int, metric: str = "l2sq", cells: int | None = None) -> DataFrame:
     """hits(qid, chunk_id, distance, rank): exact nearest chunks of each question; ties by chunk id.
 
-    Up to ``BLOCK`` questions are broadcast to the chunks; more, or all with the
-    method "arrow", are dealt to blocks, and each pair of a block of questions and
-    one of chunks is a task of its own.
+    Null, empty, unfinished or wrong-sized vectors are in no hit, whatever the size
+    of the tables (see ``neighbours``).
     """
     oversample(k)
-    n = questions.count()
-    if method == "arrow" or n > BLOCK:
-        return _dealt(questions, chunks, k, metric, n)
-    measure = {"l2sq": l2sq, "cosine": cosine}[metric]
-    block = questions.select("qid", F.col("embedding").alias("_q"))  # BLOCK rows at most
-    scored = F.broadcast(block).join(chunks.select("chunk_id", "embedding")).select("qid", "chunk_id", measure(F.col("_q"), F.col("embedding")).alias("distance"))
-    return topk_per_question(scored, k)
-
-
-def _nearest(k: int, metric: str) -> Callable[[pa.Table], pa.Table]:
-    """For a block of questions and chunks: each question's k nearest chunks, and what ties with the last."""
-
-    def nearest(rows: pa.Table) -> pa.Table:
-        asks = rows["asks"].to_numpy(zero_copy_only=False).astype(bool)
-        mine, other = np.flatnonzero(asks), np.flatnonzero(~asks)
-        if not len(mine) or not len(other):
-            return rows.slice(0, 0).select(["qid", "chunk_id"]).append_column("distance", pa.array([], pa.float64()))
-        vectors = np.stack([np.asarray(v, dtype=np.float64) for v in rows["v"].to_numpy()])
-        a, b = vectors[mine], vectors[other]
-        dot = a @ b.T
-        if metric == "cosine":
-            d = 1 - dot / np.sqrt((a**2).sum(1)[:, None] * (b**2).sum(1)[None])
-        else:
-            d = np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * dot, 0)
-        last = min(k, d.shape[1]) - 1
-        q, c = np.nonzero(d <= np.partition(d, last, axis=1)[:, last][:, None] + 1e-12)
-        return pa.table({"qid": rows["qid"].take(pa.array(mine[q])), "chunk_id": rows["chunk_id"].take(pa.array(other[c])), "distance": d[q, c]})
-
-    return nearest
-
-
-def _dealt(questions: DataFrame, chunks: DataFrame, k: int, metric: str, n: int) -> DataFrame:
-    """Distances by matrix products; a pair of blocks sends on k chunks a question and what ties with the last."""
-    ids = questions.schema["qid"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
-    blocks_q, blocks_c = max(1, -(-n // BLOCK)), max(1, -(-chunks.count() // CHUNKS))
-    deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    null = lambda of: F.lit(None).cast(of)
-    vector = F.col("embedding").cast("array<double>").alias("v")
-    asked = questions.select("qid", null(ids[1]).alias("chunk_id"), F.lit(True).alias("asks"), vector, deal("qid", blocks_q).alias("p"), each(blocks_c).alias("c"))
-    held = chunks.select(null(ids[0]).alias("qid"), "chunk_id", F.lit(False).alias("asks"), vector, each(blocks_q).alias("p"), deal("chunk_id", blocks_c).alias("c"))
-
-    found = asked.unionByName(held).groupBy("p", "c").applyInArrow(_nearest(k, metric), f"qid {ids[0]}, chunk_id {ids[1]}, distance double")
-    return topk_per_question(found, k)
-
-
-def _fitted(chunks: DataFrame, k: int, cells: int, recall: float, rounds: int = 4) -> tuple[np.ndarray, int]:
-    """Centres of cells, and how many of them a question has to look into, from a bounded sample (``SAMPLE`` vectors of least hash).
-
-    The centres are means, grouped by the nearest one a few times; the number is the
-    least with which some vectors of the sample find ``recall`` of their neighbours in it.
-    """
-    rows = chunks.where("embedding is not null").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE).select(F.col("embedding").cast("array<double>").alias("v")).toArrow()
-    x = np.array(rows["v"].to_pylist(), dtype=np.float64)
-    if len(x) < 2:
-        return np.zeros((1, 1)), 1
-    centres = x[:: max(1, len(x) // cells)][:cells].copy()
-    far = lambda y, of: (of**2).sum(1)[None] - 2 * y @ of.T
-    for _ in range(rounds):
-        near = far(x, centres).argmin(1)
-        for c in range(len(centres)):
-            if (near == c).any():
-                centres[c] = x[near == c].mean(0)
-    own, some = far(x, centres).argmin(1), np.arange(0, len(x), max(1, len(x) // TRIED))
-    d = far(x[some], x)
-    d[np.arange(len(some)), some] = np.inf  # a vector is not its own neighbour here
-    found = own[np.argsort(d, axis=1)[:, : min(k, len(x) - 1)]]
-    place = np.argsort(np.argsort(far(x[some], centres), axis=1, kind="stable"), axis=1)
-    at = np.sort(np.take_along_axis(place, found, axis=1).ravel())
-    return centres, int(at[min(len(at) - 1, int(np.ceil(recall * len(at))))]) + 1
+    return search(build_index(chunks, metric, cells), questions, k)
 
 
 def knn_approx(questions: DataFrame, chunks: DataFrame, k: int, cells: int | None = None, recall: float = 0.97) -> DataFrame:
     """Nearest chunks among those of the cells nearest to each question, by exact distance.
 
-    Every chunk belongs to the cell of its nearest centre; a question looks into so
-    many of the nearest cells that about ``recall`` of its neighbours are found there.
-    Cells of many chunks are split into blocks, so none is one task.
+    A question looks into so many cells that vectors of a bounded sample find ``recall``
+    of their neighbours there.
     """
     oversample(k)
-    cells = cells or max(1, min(1024, round(chunks.count() ** 0.5 / 2)))
-    fitted, probes = _fitted(chunks, k, cells, recall)
-    centres = chunks.sparkSession.sparkContext.broadcast(fitted)  # 1024 vectors at most
-
-    def cells_of(n: int):
-        @F.arrow_udf("array<int>")
-        def nearest(vectors: pa.Array) -> pa.Array:
-            v, c = np.array(vectors.to_pylist(), dtype=np.float64).reshape(len(vectors), -1), centres.value
-            d = (c**2).sum(1)[None] - 2 * v @ c.T if v.shape[1] == c.shape[1] else np.zeros((len(v), len(c)))
-            return pa.array(np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32).tolist(), pa.list_(pa.int32()))
-
-        return nearest(F.col("embedding").cast("array<double>"))
-
-    held = chunks.where("embedding is not null").select("chunk_id", "embedding", cells_of(1)[0].alias("cell"))
-    blocks = held.groupBy("cell").agg(F.ceil(F.count("*") / CHUNKS).cast("int").alias("blocks"))  # a row a cell
-    asked = questions.where("embedding is not null").select("qid", "embedding", F.explode(cells_of(probes)).alias("cell"))
-    ids = questions.schema["qid"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
-    vector = F.col("embedding").cast("array<double>").alias("v")
-    dealt = asked.join(F.broadcast(blocks), "cell").select("qid", F.lit(None).cast(ids[1]).alias("chunk_id"), F.lit(True).alias("asks"), vector, "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
-    placed = held.join(F.broadcast(blocks), "cell").select(F.lit(None).cast(ids[0]).alias("qid"), "chunk_id", F.lit(False).alias("asks"), vector, "cell", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int").alias("c"))
-    found = dealt.unionByName(placed).groupBy("cell", "c").applyInArrow(_nearest(k, "l2sq"), f"qid {ids[0]}, chunk_id {ids[1]}, distance double")
-    return topk_per_question(found, k)
+    if cells is None:
+        cells = max(1, min(CELLS, round(chunks.count() ** 0.5 / 2)))
+    return search(build_index(chunks, "l2sq", cells, k, recall), questions, k, exact=False)
 
 
 def filter_section(hits: DataFrame, sections: DataFrame) -> DataFrame:
@@ -191,7 +90,7 @@ def context_pack(hits: DataFrame) -> DataFrame:
 
 def kept_hits(questions: DataFrame, chunks: DataFrame, k: int = 4, keywords: tuple[str, ...] = S.SECTIONS) -> tuple[DataFrame, DataFrame]:
     """Candidates after the section filter, and the hits that are shown."""
-    near = knn(questions, chunks, oversample(k))
+    near = stored(knn(questions, chunks, oversample(k)), "hits")  # 2k rows a question, read several times
     hits = chunks.select("chunk_id", "source", "page", "content").join(near, "chunk_id")
     sections = questions.select("qid", S.detect_section(F.col("question"), keywords).alias("section"))
     cands = filter_section(hits, sections)

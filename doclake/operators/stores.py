@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclake.sources.shared import shared_folder
+
 
 def get_document(docs: DataFrame, doc_id) -> DataFrame:
     return docs.filter(F.col("doc_id") == F.lit(doc_id))
@@ -35,13 +37,22 @@ def uncached(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("summary").isNull())
 
 
-def collection_documents(collections: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each collection with its documents' light rows in member order; unknown ids are dropped."""
+def collection_members(collections: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Each collection's columns with ``position`` and ``document`` (a light row): a row for each known member, so that a collection of any size is many small rows.
+
+    Unknown ids are dropped; a collection without members has no row here.
+    """
     light = light_documents(docs)
-    row = F.struct("position", F.struct(*(F.col(c) for c in light.columns)).alias("document"))
-    held = members.join(light, "doc_id").groupBy("collection_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    empty = F.array().cast("array<" + docs.select(F.struct(*light.columns).alias("s")).schema["s"].dataType.simpleString() + ">")
-    return collections.join(held, "collection_id", "left").select(*collections.columns, F.coalesce(F.transform("rows", lambda r: r["document"]), empty).alias("documents"))
+    held = members.join(light, "doc_id").select("collection_id", "position", F.struct(*(F.col(c) for c in light.columns)).alias("document"))
+    return collections.join(held, "collection_id")
+
+
+def collection_documents(collections: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Each collection with an array of its documents' light rows in member order, for collections that fit a row (else ``collection_members``)."""
+    held = collection_members(collections.select("collection_id"), members, docs)
+    arrays = held.groupBy("collection_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "document"))), lambda r: r["document"]).alias("documents"))
+    none = F.array().cast(arrays.schema["documents"].dataType)
+    return collections.join(arrays, "collection_id", "left").withColumn("documents", F.coalesce("documents", none))
 
 
 def latest_by_filename(docs: DataFrame, filename: str | None = None) -> DataFrame:
@@ -106,12 +117,26 @@ def default_collection(collections: DataFrame, now: Column) -> DataFrame:
     return list_collections(collections).limit(1)
 
 
-def _placed(members: DataFrame, new: DataFrame, collections: DataFrame) -> DataFrame:
-    known = new.join(collections.select("collection_id"), "collection_id", "left_semi")
-    fresh = known.groupBy("collection_id", "doc_id").agg(F.min("position").alias("_at")).join(members, ["collection_id", "doc_id"], "left_anti")
-    last = members.groupBy("collection_id").agg(F.max("position").alias("_last"))
-    order = Window.partitionBy("collection_id").orderBy("_at", "doc_id")
-    return fresh.join(last, "collection_id", "left").withColumn("position", (F.coalesce("_last", F.lit(-1)) + F.row_number().over(order)).cast(members.schema["position"].dataType))
+def _ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows dealt to tasks by ranges of their order, with the ``_range`` of each; cut once, as ranges come from samples."""
+    shared_folder(rows.sparkSession)
+    return rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+
+
+def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """Adds ``nth``, from 1: each row's place in its group, in the given order, which has to be total.
+
+    Rows are sorted over all tasks by ranges, and each range counts what it holds of
+    each group; a row's place is that in its range after the counts of those before.
+    So one group may have any number of rows: no task has more of it than a range.
+    """
+    ranged = _ranges(rows, group, *order)
+    counts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).select(F.col(group).alias("_group"), F.col("_range").alias("_of"), "_ahead")
+    inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    placed = ranged.withColumn("_inside", inside).join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
+    return placed.withColumn("nth", F.col("_ahead") + F.col("_inside")).drop("_range", "_of", "_group", "_ahead", "_inside")
 
 
 def add_members(members: DataFrame, new: DataFrame, collections: DataFrame) -> DataFrame:
@@ -119,9 +144,22 @@ def add_members(members: DataFrame, new: DataFrame, collections: DataFrame) -> D
     return members.unionByName(new_members(members, new, collections))
 
 
-def new_members(members: DataFrame, new: DataFrame, collections: DataFrame) -> DataFrame:
-    """The rows that ``add_members`` adds."""
-    return _placed(members, new, collections).select("collection_id", "doc_id", "position")
+def last_positions(members: DataFrame) -> DataFrame:
+    """(collection_id, last) of each collection with members."""
+    return members.groupBy("collection_id").agg(F.max("position").alias("last"))
+
+
+def new_members(members: DataFrame, new: DataFrame, collections: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """The rows that ``add_members`` adds, with positions after those there (or after ``last``), in order of position, then id.
+
+    A row without a document or collection adds nothing; of repeated ones the first counts.
+    """
+    known = new.where("doc_id is not null").join(collections.select("collection_id").distinct(), "collection_id", "left_semi")
+    fresh = known.groupBy("collection_id", "doc_id").agg(F.min("position").alias("_at")).join(members, ["collection_id", "doc_id"], "left_anti")
+    before = (last_positions(members) if last is None else last).select("collection_id", F.col("last").alias("_last"))
+    placed = numbered(fresh, "collection_id", "_at", "doc_id").join(before, "collection_id", "left")
+    position = (F.coalesce("_last", F.lit(-1)) + F.col("nth")).cast(members.schema["position"].dataType)
+    return placed.select("collection_id", "doc_id", position.alias("position"))
 
 
 def get_history(history: DataFrame, limit: int | None = 100) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclake.functions import scalars as S
+from doclake.sources.shared import stored
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -88,21 +93,30 @@ def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], li
     return df.select(key, vector(F.col(text), dim).alias("embedding"))
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def _dimension(term: Column, dim: int) -> Column:
     return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % dim
 
 
+def _vectors(dim: int):
+    """Dense vectors of arrays of terms, a batch at a time: each distinct term is hashed once."""
+
+    @F.arrow_udf("array<float>")
+    def vectors(terms: pa.Array) -> pa.Array:
+        terms = terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms
+        rows = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).fill_null(0).to_numpy())
+        coded = terms.flatten().dictionary_encode()
+        place = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim for t in coded.dictionary.to_pylist()], dtype=np.int64)
+        at = place[coded.indices.to_numpy()] if len(place) else np.zeros(0, dtype=np.int64)
+        counts = np.bincount(rows * dim + at, minlength=len(terms) * dim).reshape(-1, dim).astype(np.float64)
+        values = counts / np.maximum(np.sqrt((counts**2).sum(axis=1, keepdims=True)), 1e-9)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, dim), pa.int32()), pa.array(values.ravel().astype(np.float32)))
+
+    return vectors
+
+
 def vector(text: Column, dim: int = 64) -> Column:
     """How many terms fall on each dimension, scaled to unit length; all 0 without terms (or text)."""
-    dims = F.transform(S.terms(F.coalesce(text, F.lit(""))), lambda t: _dimension(t, dim))
-    count = lambda d: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(d, lambda x: x == i)).cast("double"))
-    norm = lambda c: F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, n: s + n * n)), F.lit(1e-9))
-    return _let(dims, lambda d: _let(count(d), lambda c: _let(norm(c), lambda m: F.transform(c, lambda n: (n / m).cast("float")))))
+    return _vectors(dim)(S.terms(F.coalesce(text, F.lit(""))))
 
 
 def hashed_terms(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
@@ -131,22 +145,59 @@ def top_concepts(docs: DataFrame, n: int = 15, max_chars: int | None = None) ->
     return counted.withColumn("weight", weight).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n).select("doc_id", "term", "weight", "rank")
 
 
-def shared_concepts(concepts: DataFrame) -> DataFrame:
-    """(concept, found_in, n): concepts (filename, concept) of two or more files."""
-    found = concepts.groupBy("concept").agg(F.array_sort(F.collect_set("filename")).alias("found_in"))
-    return found.withColumn("n", F.size("found_in")).filter("n >= 2").orderBy(F.desc("n"), "concept")
+def concept_files(concepts: DataFrame) -> DataFrame:
+    """(concept, filename, n): a row for each file of each concept (filename, concept) that n >= 2 files share."""
+    files = concepts.select("concept", "filename").where("concept is not null and filename is not null").distinct()
+    shared = files.groupBy("concept").agg(F.count("*").cast("int").alias("n")).where("n >= 2")
+    return files.join(shared, "concept")
+
+
+def shared_concepts(concepts: DataFrame, examples: int | None = None) -> DataFrame:
+    """(concept, found_in, n): concepts (filename, concept) of two or more files, most files first.
+
+    ``found_in`` has the first ``examples`` file names, so that a concept of all files
+    is a small row; without that number, all of them (``concept_files`` has them as rows).
+    """
+    files = concept_files(concepts)
+    if examples is not None:
+        files = files.withColumn("_nth", F.row_number().over(Window.partitionBy("concept").orderBy("filename"))).where(F.col("_nth") <= examples)  # cut in each task before the shuffle
+    return files.groupBy("concept", "n").agg(F.array_sort(F.collect_list("filename")).alias("found_in")).select("concept", "found_in", "n").orderBy(F.desc("n"), "concept")
+
+
+def _set_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows of two sorted arrays of terms without repeats: what both, only b and only a hold, in order."""
+    for whole in batches:
+        for at in range(0, len(whole), 2_000):
+            batch = whole.slice(at, 2_000)
+            own = [batch[c].flatten() for c in ("ta", "tb")]
+            coded = pa.chunked_array(own, pa.string()).combine_chunks().dictionary_encode()
+            terms, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            keys, owners = [], []
+            for c, of in zip(("ta", "tb"), (code[: len(own[0])], code[len(own[0]) :]), strict=True):
+                owners.append(np.repeat(np.arange(len(batch)), pc.list_value_length(batch[c]).to_numpy()))
+                keys.append(owners[-1] * max(1, len(terms)) + of)
+            in_b, in_a = np.isin(keys[0], keys[1], assume_unique=True), np.isin(keys[1], keys[0], assume_unique=True)
+            parts = []
+            for side, keep in ((0, in_b), (1, ~in_a), (0, ~in_b)):
+                counts = np.bincount(owners[side][keep], minlength=len(batch))
+                values = own[side].filter(pa.array(keep))
+                parts.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *parts], names=["a", "b", "matching_points", "missing_in_a", "missing_in_b"])
 
 
 def compare_terms(pairs: DataFrame, docs: DataFrame, max_chars: int | None = None) -> DataFrame:
-    """Terms that both, only b or only a of (a, b) hold, and their overlap in percent."""
-    own = docs.select("doc_id", F.array_distinct(S.terms(_start("full_text", max_chars))).alias("t"))
-    both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b")
-    union = F.size(F.array_union("ta", "tb"))
-    share = F.when(union == 0, 0.0).otherwise(F.round(100 * F.size(F.array_intersect("ta", "tb")) / union, 1))
-    return both.select(
-        "a", "b", F.array_sort(F.array_intersect("ta", "tb")).alias("matching_points"), F.array_sort(F.array_except("tb", "ta")).alias("missing_in_a"),
-        F.array_sort(F.array_except("ta", "tb")).alias("missing_in_b"), share.alias("overall_match_percent"),
-    )
+    """Terms that both, only b or only a of (a, b) hold, and their overlap in percent.
+
+    Each document's sorted terms are made once, as a table; the arrays of a pair are
+    met once, as numbers of a batch's own terms.
+    """
+    own = stored(docs.select("doc_id", F.sort_array(F.array_distinct(S.terms(F.coalesce(_start("full_text", max_chars), F.lit(""))))).alias("t")), "terms")
+    both = pairs.select("a", "b").join(own.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    kinds = dict(both.dtypes)
+    met = both.mapInArrow(_set_parts, f"a {kinds['a']}, b {kinds['b']}, matching_points array<string>, missing_in_a array<string>, missing_in_b array<string>")
+    shared = F.size("matching_points")
+    union = shared + F.size("missing_in_a") + F.size("missing_in_b")
+    return met.withColumn("overall_match_percent", F.when(union == 0, 0.0).otherwise(F.round(100 * shared / union, 1)))
 
 
 def extractive_summary(docs: DataFrame, n: int = 3, max_chars: int | None = None, topics: int = 15) -> DataFrame:

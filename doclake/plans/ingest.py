@@ -23,12 +23,13 @@ def with_vectors(chunks: DataFrame, embedder: Embedder | None = None) -> DataFra
 
 
 def ingest(
-    pages: DataFrame, collections: DataFrame, now: Column, collection_id: str | None = None, embedder: Embedder | None = None, members: DataFrame | None = None
+    pages: DataFrame, collections: DataFrame, now: Column, collection_id: str | None = None, embedder: Embedder | None = None, members: DataFrame | None = None, last: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents, chunks with vectors, and new members of the given or default collection.
 
-    ``members`` are those there already: positions go on after them.  Each output
-    reads the pages anew; persist these where that is dear.
+    ``members`` are those there already: positions go on after them, or after
+    ``last`` (collection_id, last), where only that is known.  Each output reads the
+    pages anew; persist these where that is dear.
     """
     target = stores.default_collection(collections, now) if collection_id is None else stores.get_collection_row(collections, collection_id)
     if target.isEmpty():
@@ -46,4 +47,4 @@ def ingest(
     if members is None:
         members = docs.sparkSession.createDataFrame([], f"collection_id {target.schema['collection_id'].dataType.simpleString()}, doc_id string, position long")
     new = pages.select(target.select("collection_id").scalar().alias("collection_id"), doc_id.alias("doc_id"), F.lit(0).cast("long").alias("position")).distinct()
-    return docs, chunks, stores.new_members(members, new, target)
+    return docs, chunks, stores.new_members(members, new, target, last)

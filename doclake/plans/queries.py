@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable
 from types import SimpleNamespace
 
@@ -18,7 +17,8 @@ from doclake.operators import text as X
 from doclake.plans import tasks
 from doclake.plans.ingest import ingest, with_vectors
 from doclake.sources import files
-from doclake.streaming.jobs import stream_queries_per_day
+from doclake.sources.shared import new_path
+from doclake.streaming.jobs import daily_counts, stream_daily_counts
 
 #: Section words that occur in the given texts.
 KEYWORDS = ("tion", "the", "que")
@@ -52,6 +52,40 @@ concepts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORD
 """
 
 
+#: Conversations as uploaded files: a page a turn.
+TURNS = "turns AS (SELECT row_number() OVER () AS doc_id, conv_id, turn, text AS full_text FROM conversations)"
+
+
+def _level_sql(level: int, mark: str) -> str:
+    """Parts (doc_id, unit, i, off, len, big) of the texts that are cut at this separator, and the texts for the next level."""
+    if not mark:  # single characters: they are told by their places alone
+        return f"p{level} AS (SELECT doc_id, off AS unit, i, off + i AS off, 1::BIGINT AS len, '' AS part, false AS big FROM (SELECT doc_id, off, unnest(range(length(t))) AS i FROM u{level}))"
+    q = "".join(f"chr({ord(c)}) || " for c in mark).removesuffix(" || ")
+    return f"""x{level} AS (SELECT doc_id, off, unnest(x) AS part, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, off, list_transform(string_split(t, {q}), lambda e, j: CASE WHEN j > 1 THEN {q} || e ELSE e END) AS x FROM u{level} WHERE contains(t, {q}))),
+p{level} AS (SELECT doc_id, off AS unit, i, off + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, off ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, length(part) AS len, part, length(part) >= 1000 AS big FROM x{level} WHERE part <> ''),
+u{level + 1} AS (SELECT doc_id, off, t FROM u{level} WHERE NOT contains(t, {q}) UNION ALL SELECT doc_id, off, part FROM p{level} WHERE big)"""
+
+
+def _chunked_sql(texts: str = "docs") -> str:
+    """``cut`` (doc_id, pos, content): chunks of 1000 characters, 200 of them shared, of a table's ``full_text``.
+
+    Texts are cut at the coarsest separator, long parts at finer ones; runs of short
+    parts are put together window by window.
+    """
+    return (
+        f"u0 AS (SELECT doc_id, 0::BIGINT AS off, full_text AS t FROM {texts}), "
+        + ", ".join(_level_sql(i, mark) for i, mark in enumerate(X.SEPARATORS))
+        + """, parts AS (SELECT l, doc_id, unit, off, len, big, sum(CAST(big AS INTEGER)) OVER (PARTITION BY l, doc_id, unit ORDER BY off) AS seg FROM ("""
+        + " UNION ALL ".join(f"SELECT {i} AS l, doc_id, unit, off, len, big FROM p{i}" for i in range(len(X.SEPARATORS)))
+        + """)), segs AS (SELECT doc_id, list_append(list(off ORDER BY off), max(off + len)) AS st, count(*) AS m FROM parts WHERE NOT big GROUP BY l, doc_id, unit, seg),
+windows AS (SELECT doc_id, st, m, 1::BIGINT AS ws, list_min(list_filter(range(2, m + 1), lambda i: st[i + 1] - st[1] > 1000)) AS nx FROM segs
+  UNION ALL SELECT doc_id, st, m, w2, list_min(list_filter(range(w2 + 1, m + 1), lambda i: st[i + 1] - st[w2] > 1000)) FROM
+  (SELECT doc_id, st, m, list_min(list_filter(range(ws + 1, nx + 1), lambda j: st[nx] - st[j] <= 200 AND (st[nx + 1] - st[j] <= 1000 OR st[nx] = st[j]))) AS w2 FROM windows WHERE nx IS NOT NULL)),
+raw_chunks AS (SELECT doc_id, st[ws] AS off, regexp_replace(regexp_replace(substr(full_text, CAST(st[ws] + 1 AS BIGINT), CAST(coalesce(st[nx], st[m + 1]) - st[ws] AS BIGINT)), '^[\\t-\\r\\x1c-\\x20\\x{85}\\p{Z}]+', ''), '[\\t-\\r\\x1c-\\x20\\x{85}\\p{Z}]+$', '') AS content FROM windows JOIN TEXTS USING (doc_id)),
+cut AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY off) - 1 AS INTEGER) AS pos, content FROM raw_chunks WHERE content <> '')""".replace("TEXTS", texts)
+    )
+
+
 def fixtures(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     raw, vectors = read("documents"), read("embeddings")
@@ -128,8 +162,8 @@ def _admitted(good: DataFrame, bad: DataFrame) -> DataFrame:
 
 
 def _ingested(f: SimpleNamespace) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Conversations uploaded as files, a page for the start of each turn, to the oldest collection."""
-    pages = f.turns.select(F.concat(F.lit("/in/c"), "conv_id", F.lit(".txt")).alias("source"), F.col("turn").cast("int").alias("page"), F.substring("text", 1, 900).alias("text"))
+    """Conversations uploaded as files, a page for each turn, to the oldest collection."""
+    pages = f.turns.select(F.concat(F.lit("/in/c"), "conv_id", F.lit(".txt")).alias("source"), F.col("turn").cast("int").alias("page"), "text")
     members = f.members.withColumn("doc_id", F.col("doc_id").cast("string"))
     return ingest(pages, f.collections, F.expr("timestamp_ntz'2024-03-01 00:00:00'"), members=members)
 
@@ -182,16 +216,55 @@ def _all_prompts_sql() -> str:
 
 
 def _streamed_days(f: SimpleNamespace) -> DataFrame:
-    """The events table read as a stream to its end, counted by day."""
+    """The events table read as a stream to its end, counted by day in a table."""
     spark, path = f.raw.sparkSession, f"{f.sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
-    name = f"days_{uuid.uuid4().hex}"
-    writer = stream_queries_per_day(stream.select(F.col("ts").cast("timestamp").alias("timestamp"))).writeStream.format("memory").queryName(name).outputMode("complete")
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        writer = writer.option("checkpointLocation", f"{shared}/{name}")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    out, state = new_path(spark, "days"), new_path(spark, "days-state")
+    stream_daily_counts(stream.select(F.col("ts").cast("timestamp").alias("timestamp")), out, state).awaitTermination()
+    return daily_counts(spark, out)
+
+
+def _text_files(f: SimpleNamespace) -> str:
+    """A folder of text files, each with the texts of fifty ids, a line end after each."""
+    out = new_path(f.raw.sparkSession, "texts")
+    rows = f.raw.select(F.floor(F.col("doc_id") / 50).alias("file"), "doc_id", "text").repartition("file").sortWithinPartitions("file", "doc_id")
+    rows.select("file", "text").write.partitionBy("file").text(out)
+    return out
+
+
+def _file_number(source: str) -> Column:
+    return F.regexp_extract(source, "file=([0-9]+)", 1).cast("long").alias("file")
+
+
+def _lines(content: bytes) -> list[tuple[int | None, str]]:
+    return list(enumerate(content.decode().split("\n")))
+
+
+def _appended(f: SimpleNamespace) -> DataFrame:
+    """Documents added to a table in three runs, with a column that only the last has to fill."""
+    out = new_path(f.raw.sparkSession, "appended")
+    for i in range(3):
+        files.append_rows(f.docs.where(F.pmod("doc_id", F.lit(3)) == i).drop("uploaded_at"), out)
+    return f.raw.sparkSession.read.parquet(out)
+
+
+def _exported(f: SimpleNamespace) -> DataFrame:
+    """The history written as JSON lines, over an older export, and read again."""
+    out = new_path(f.raw.sparkSession, "exported")
+    files.export_store(f.history.limit(1), out)
+    files.export_store(f.history, out)
+    return f.raw.sparkSession.read.schema(f.history.schema).json(out)
+
+
+def _cleared(f: SimpleNamespace) -> DataFrame:
+    """How many entries a history has before it is cleared, after that, and when one conversation's are added again."""
+    spark, out = f.raw.sparkSession, new_path(f.raw.sparkSession, "history")
+    files.append_rows(f.history, out)
+    counts = [spark.read.parquet(out).count()]
+    files.clear_history(spark, out)
+    counts.append(spark.read.parquet(out).count())
+    files.append_rows(f.history.where("id like '7-%'"), out)
+    return spark.read.parquet(out).agg(F.lit(counts[0]).cast("long").alias("before"), F.lit(counts[1]).cast("long").alias("cleared"), F.count("*").alias("again"))
 
 
 def _sometimes(prompts: list[str]) -> list[str]:
@@ -226,6 +299,20 @@ Rows = Callable[[SimpleNamespace], DataFrame]
 
 #: name -> (rows, SQL after the fixtures' WITH).
 TABLE: dict[str, tuple[Rows, str | None]] = {
+    "a1_load_text": (
+        lambda f: files.load_text(f.raw.sparkSession, _text_files(f))[0].select(_file_number("source"), F.col("page").isNull().alias("whole"), "text"),
+        r"SELECT doc_id // 50 AS file, true AS whole, regexp_replace(string_agg(text || chr(10), '' ORDER BY doc_id), '\r\n?', chr(10), 'g') AS text FROM documents GROUP BY 1",
+    ),
+    "a2_load_with": (
+        lambda f: files.load_with(f.raw.sparkSession, f"{_text_files(f)}/*", _lines).select(_file_number("source"), "page", "text"),
+        "SELECT file, CAST(i AS INTEGER) AS page, lines[i + 1] AS text FROM (SELECT file, lines, unnest(range(len(lines))) AS i FROM (SELECT doc_id // 50 AS file, string_split(string_agg(text || chr(10), '' ORDER BY doc_id), chr(10)) AS lines FROM documents GROUP BY 1))",
+    ),
+    "a7_append_rows": (lambda f: _appended(f), "SELECT doc_id, filename, file_path, full_text, summary FROM docs"),
+    "a8_export_store": (
+        lambda f: _exported(f).select("id", F.col("timestamp").cast("string").alias("timestamp"), "question", "answer", F.array_join(F.transform("context", lambda c: c["source"]), ",").alias("context")),
+        "SELECT h.id, strftime(h.timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, question, answer, coalesce(string_agg(source, ',' ORDER BY pos), '') AS context FROM history h LEFT JOIN asked USING (id) GROUP BY ALL",
+    ),
+    "a9_clear_history": (lambda f: _cleared(f), "SELECT count(*) AS before, 0::BIGINT AS cleared, count(*) FILTER (id LIKE '7-%') AS again FROM history"),
     "a4_assemble_full_text": (
         lambda f: X.assemble_full_text(f.turns.select(F.col("conv_id").alias("source"), F.col("turn").alias("page"), "text")),
         "SELECT conv_id AS source, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS full_text FROM conversations GROUP BY 1",
@@ -243,13 +330,17 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
         lambda f: K.collection_documents(f.collections, f.members, f.docs).select("collection_id", "name", F.array_join(F.transform("documents", lambda d: F.concat_ws("|", d["doc_id"], d["filename"], d["file_path"], d["uploaded_at"].cast("string"), F.coalesce(d["summary"], F.lit("-")))), ",").alias("documents")),
         "SELECT c.collection_id, c.name, coalesce(string_agg(concat_ws('|', d.doc_id, d.filename, d.file_path, strftime(d.uploaded_at, '%Y-%m-%d %H:%M:%S'), coalesce(d.summary, '-')), ',' ORDER BY m.position), '') AS documents FROM collections c LEFT JOIN (members m JOIN docs d USING (doc_id)) USING (collection_id) GROUP BY ALL",
     ),
+    "j1_collection_members": (
+        lambda f: K.collection_members(f.collections, f.members, f.docs).select("collection_id", "name", "position", "document.doc_id", "document.filename", "document.summary"),
+        "SELECT c.collection_id, c.name, m.position, d.doc_id, d.filename, d.summary FROM collections c JOIN members m USING (collection_id) JOIN docs d USING (doc_id)",
+    ),
     "j2_resolve_documents": (
         lambda f: K.resolve_documents(f.docs.select(F.col("doc_id").cast("string").alias("ident")).union(f.docs.select("filename").distinct()), f.docs).select("ident", F.col("document.doc_id").alias("doc_id")),
         "SELECT CAST(doc_id AS VARCHAR) AS ident, doc_id FROM docs UNION ALL SELECT filename, max(doc_id) FROM docs GROUP BY filename",
     ),
     "j3_select_documents": (lambda f: _placed(K.select_documents(f.docs, [9, -1, 4, 9]), "doc_id", "filename"), "SELECT doc_id, filename, place FROM docs JOIN (VALUES (9, 1::BIGINT), (4, 2), (9, 3)) v(i, place) ON doc_id = i"),
     "j4_knn": (lambda f: R.knn(f.questions, f.chunks, 8).withColumn("distance", F.round("distance", 6)), "SELECT qid, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 8"),
-    "j4_knn_arrow": (lambda f: R.knn(f.questions, f.chunks, 8, method="arrow").withColumn("distance", F.round("distance", 6)), "SELECT qid, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 8"),
+    "j4_knn_arrow": (lambda f: R.knn(f.questions, f.chunks, 8, cells=12).withColumn("distance", F.round("distance", 6)), "SELECT qid, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 8"),
     "j5_knn_approx": (lambda f: R.knn_approx(f.questions, f.chunks, 4), None),
     "j6_upsert_summaries": (
         lambda f: K.upsert_summaries(f.docs, f.docs.filter("doc_id % 5 = 0").select("doc_id", F.lit("new").alias("summary"))).select("doc_id", "summary"),
@@ -303,6 +394,14 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
         lambda f: _sets(X.shared_concepts(X.top_concepts(f.docs).join(f.docs, "doc_id").select("filename", F.col("term").alias("concept"))), "found_in"),
         "SELECT term AS concept, string_agg(DISTINCT filename, ',' ORDER BY filename) AS found_in, CAST(count(DISTINCT filename) AS INTEGER) AS n FROM concepts JOIN docs USING (doc_id) GROUP BY 1 HAVING count(DISTINCT filename) > 1",
     ),
+    "g2_concept_files": (
+        lambda f: X.concept_files(X.top_concepts(f.docs).join(f.docs, "doc_id").select("filename", F.col("term").alias("concept"))),
+        "SELECT DISTINCT term AS concept, filename, CAST(n AS INTEGER) AS n FROM concepts JOIN docs USING (doc_id) JOIN (SELECT term, count(DISTINCT filename) AS n FROM concepts JOIN docs USING (doc_id) GROUP BY 1) USING (term) WHERE n > 1",
+    ),
+    "g2_shared_examples": (
+        lambda f: _sets(X.shared_concepts(X.top_concepts(f.docs).join(f.docs, "doc_id").select("filename", F.col("term").alias("concept")), 3), "found_in"),
+        "SELECT term AS concept, array_to_string(list_sort(list(DISTINCT filename))[1:3], ',') AS found_in, CAST(count(DISTINCT filename) AS INTEGER) AS n FROM concepts JOIN docs USING (doc_id) GROUP BY 1 HAVING count(DISTINCT filename) > 1",
+    ),
     "g3_compare_terms": (
         lambda f: X.compare_terms(f.pairs, f.docs).select("a", "b", *(F.array_join(c, ",").alias(c) for c in ("matching_points", "missing_in_a", "missing_in_b")), "overall_match_percent"),
         r"WITH_MORE own AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(full_text), '[^\p{L}]+'), lambda x: length(x) > 3)) AS t FROM docs), s AS (SELECT a.doc_id AS a, b.doc_id AS b, list_intersect(a.t, b.t) AS shared, a.t AS ta, b.t AS tb, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS na, len(b.t) AS nb FROM own a JOIN own b ON b.doc_id = a.doc_id + 1) SELECT a, b, array_to_string(list_sort(shared), ',') AS matching_points, array_to_string(list_sort(list_filter(tb, lambda x: NOT list_contains(shared, x))), ',') AS missing_in_a, array_to_string(list_sort(list_filter(ta, lambda x: NOT list_contains(shared, x))), ',') AS missing_in_b, CASE WHEN na + nb = 0 THEN 0.0 ELSE round(100 * i / (na + nb - i), 1) END AS overall_match_percent FROM s",
@@ -315,7 +414,10 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
         lambda f: _sets(X.concept_questions(X.top_concepts(f.docs)), "questions"),
         "SELECT doc_id, string_agg('What does the document say about ' || term || '?', ',' ORDER BY rank) AS questions FROM concepts WHERE rank <= 5 GROUP BY 1",
     ),
-    "b1_chunk_recursive": (lambda f: X.chunk_recursive(f.docs.select("doc_id", F.col("file_path").alias("source"), F.lit(None).cast("int").alias("page"), F.col("full_text").alias("text"))), None),
+    "b1_chunk_recursive": (
+        lambda f: X.chunk_recursive(f.docs.select("doc_id", F.col("file_path").alias("source"), F.lit(None).cast("int").alias("page"), F.col("full_text").alias("text"))),
+        "WITH_MORE " + _chunked_sql() + " SELECT cut.doc_id, file_path AS source, CAST(NULL AS INTEGER) AS page, pos, content FROM cut JOIN docs USING (doc_id)",
+    ),
     "b1_chunk_characters": (
         lambda f: X.chunk_recursive(f.docs.select("doc_id", F.col("file_path").alias("source"), F.lit(None).cast("int").alias("page"), F.col("full_text").alias("text")), separators=("",)).select("doc_id", "pos", "content"),
         r"WITH_MORE cut AS (SELECT doc_id, i, regexp_replace(regexp_replace(substr(full_text, CAST(i * 800 + 1 AS BIGINT), 1000), '^[\t-\r\x1c-\x20\x{85}\p{Z}]+', ''), '[\t-\r\x1c-\x20\x{85}\p{Z}]+$', '') AS content FROM (SELECT doc_id, full_text, unnest(range(1 + greatest(0, length(full_text) - 201) // 800)) AS i FROM docs)) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, content FROM cut WHERE content <> ''",
@@ -375,11 +477,11 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
     ),
     "a5_ingest_documents": (
         lambda f: _ingested(f)[0].select("filename", "file_path", "full_text", "chunk_count", F.col("uploaded_at").cast("string").alias("uploaded_at"), F.col("summary").isNull().alias("new")),
-        "SELECT regexp_extract(path, '[^/]+$') AS filename, path AS file_path, string_agg(t, chr(10) || chr(10) ORDER BY page) AS full_text, CAST(sum(n) AS INTEGER) AS chunk_count, '2024-03-01 00:00:00' AS uploaded_at, true AS new FROM (SELECT '/in/c' || conv_id || '.txt' AS path, turn AS page, substr(text, 1, 900) AS t, CASE WHEN trim(substr(text, 1, 900), chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN 0 ELSE 1 END AS n FROM conversations) GROUP BY path",
+        f"WITH_MORE {TURNS}, " + _chunked_sql("turns") + " SELECT 'c' || conv_id || '.txt' AS filename, '/in/c' || conv_id || '.txt' AS file_path, string_agg(full_text, chr(10) || chr(10) ORDER BY turn) AS full_text, CAST(sum(coalesce(n, 0)) AS INTEGER) AS chunk_count, '2024-03-01 00:00:00' AS uploaded_at, true AS new FROM turns LEFT JOIN (SELECT doc_id, count(*) AS n FROM cut GROUP BY 1) USING (doc_id) GROUP BY conv_id",
     ),
     "a5_ingest_chunks": (
         lambda f: _ingested(f)[1].select("source", "page", "pos", "content", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm")),
-        r"SELECT * FROM (SELECT '/in/c' || conv_id || '.txt' AS source, CAST(turn AS INTEGER) AS page, CAST(0 AS INTEGER) AS pos, trim(substr(text, 1, 900), chr(32) || chr(9) || chr(10) || chr(13)) AS content, CASE WHEN len(list_filter(regexp_split_to_array(lower(content), '[^\p{L}]+'), lambda x: length(x) > 3)) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS norm FROM conversations) WHERE content <> ''",
+        f"WITH_MORE {TURNS}, " + _chunked_sql("turns") + r" SELECT '/in/c' || conv_id || '.txt' AS source, CAST(turn AS INTEGER) AS page, pos, content, CASE WHEN len(list_filter(regexp_split_to_array(lower(content), '[^\p{L}]+'), lambda x: length(x) > 3)) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS norm FROM cut JOIN turns USING (doc_id)",
     ),
     "a5_ingest_members": (
         lambda f: _ingested(f)[2].groupBy("collection_id").agg(F.count("*").alias("n"), F.min("position").alias("first"), F.max("position").alias("last")),
@@ -459,8 +561,24 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
         "WITH_MORE own AS (SELECT filename, doc_id, md5('" + tasks.TEMPLATES["concepts"][0] + "' || substr(full_text, 1, 6000)) AS c FROM docs WHERE doc_id < 40), per AS (SELECT filename, min(doc_id) AS p, max_by(c, doc_id) AS c FROM own GROUP BY 1) SELECT (SELECT count(*) FROM own) AS document_count, (SELECT md5('" + tasks.TEMPLATES["cross"][0] + "' || string_agg('Document: ' || filename || chr(10) || 'Concepts: ' || c, chr(10) || chr(10) ORDER BY p, filename)) FROM per) AS shared, CAST((SELECT count(*) FROM per) AS INTEGER) AS n_files, (SELECT string_agg(filename || '=' || c, ',' ORDER BY filename || '=' || c) FROM per) AS per_document, CAST(NULL AS VARCHAR) AS error",
     ),
     "q1_own_vectors": (
-        lambda f: _retrieve(_own_vectors(f)).select("qid", "chunks_retrieved", "chunks_before_dedup", "success"),
-        None,
+        lambda f: _retrieve(_own_vectors(f)).select("qid", "chunks_retrieved", "chunks_before_dedup", "success", "items"),
+        "WITH_MORE "
+        + _chunked_sql()
+        + r""", texts AS (SELECT doc_id, pos, content FROM cut UNION ALL SELECT doc_id, -1, full_text FROM docs WHERE doc_id % 50 = 0),
+own_terms AS (SELECT doc_id, pos, unnest(list_filter(regexp_split_to_array(lower(content), '[^\p{L}]+'), lambda x: length(x) > 3)) AS term FROM texts),
+counted AS (SELECT doc_id, pos, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS dim, count(*) AS n FROM own_terms GROUP BY ALL),
+norms AS (SELECT doc_id, pos, greatest(sqrt(sum(n * n)::DOUBLE), 1e-9) AS norm FROM counted GROUP BY ALL),
+vecs AS (SELECT t.doc_id, t.pos, list(CAST(CAST(coalesce(c.n / norm, 0) AS FLOAT) AS DOUBLE) ORDER BY i) AS v FROM texts t CROSS JOIN range(64) r(i) LEFT JOIN norms USING (doc_id, pos) LEFT JOIN counted c ON c.doc_id = t.doc_id AND c.pos = t.pos AND c.dim = i GROUP BY ALL),
+own_scored AS (SELECT q.doc_id AS qid, c.doc_id, c.pos, c.doc_id || '#' || c.pos AS chunk_id, list_sum(list_transform(list_zip(q.v, c.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS distance FROM vecs q JOIN vecs c ON q.pos = -1 AND c.pos >= 0),
+own_ranked AS (SELECT * FROM own_scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(distance, 12), chunk_id) <= 8),
+own_cands AS (SELECT r.*, d.filename, cut.content, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 12), chunk_id) AS rank, CASE WHEN contains(lower(q.full_text), 'tion') THEN 'tion' WHEN contains(lower(q.full_text), 'the') THEN 'the' WHEN contains(lower(q.full_text), 'que') THEN 'que' END AS section
+  FROM own_ranked r JOIN cut ON cut.doc_id = r.doc_id AND cut.pos = r.pos JOIN docs d ON d.doc_id = r.doc_id JOIN docs q ON q.doc_id = qid),
+own_inside AS (SELECT *, coalesce(contains(lower(content), section), true) AS inside FROM own_cands),
+own_left AS (SELECT * FROM (SELECT *, bool_or(inside) OVER (PARTITION BY qid) AS any_inside FROM own_inside) WHERE inside OR NOT any_inside),
+own_first AS (SELECT *, row_number() OVER (PARTITION BY qid, content ORDER BY rank) AS nth FROM own_left),
+own_kept AS (SELECT * FROM own_first WHERE nth = 1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) <= 4)
+SELECT qid, CAST(any_value(k) AS INTEGER) AS chunks_retrieved, CAST(any_value(b) AS INTEGER) AS chunks_before_dedup, true AS success, any_value(items) AS items
+FROM (SELECT qid, count(*) AS k, string_agg(filename || '|' || printf('%.1f', round_even(greatest(0, least(1, 1 - distance / 2)) * 100, 1)) || '|-|' || sha256(content), ';' ORDER BY rank) AS items FROM own_kept GROUP BY 1) JOIN (SELECT qid, count(*) AS b FROM own_left GROUP BY 1) USING (qid) GROUP BY 1""",
     ),
     "q2_answer_questions": (
         lambda f: tasks.answer_questions(f.questions, f.chunks, _answering, F.expr("timestamp'2024-04-01 00:00:00'"))[0].select("qid", "query", "answer", "success", "error", F.size("context").alias("n_context"), "chunks_retrieved"),
@@ -477,5 +595,5 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (_, sql) in TABLE.items():
         if sql:
-            out[name] = f"WITH {FIXTURES.strip()}, {sql.removeprefix('WITH_MORE ')}" if sql.startswith("WITH_MORE") else f"WITH {FIXTURES.strip()} {sql}"
+            out[name] = f"WITH RECURSIVE {FIXTURES.strip()}, {sql.removeprefix('WITH_MORE ')}" if sql.startswith("WITH_MORE") else f"WITH {FIXTURES.strip()} {sql}"
     return out

@@ -12,6 +12,7 @@ from doclake import schemas
 from doclake.functions import scalars as S
 from doclake.operators import retrieval, stores
 from doclake.operators.text import concept_listing, listing_text
+from doclake.sources.shared import new_path, path_exists, stored
 
 Respond = Callable[[list[str]], list[str]]
 #: Before the error in an answer (fixed value).
@@ -51,11 +52,23 @@ def render_compare(a: Column, b: Column) -> Column:
     return F.concat(F.lit(COMPARE[0]), cut(a), F.lit(COMPARE[1]), cut(b))
 
 
-def map_responses(prompts: DataFrame, respond: Respond, key: str, batch: int = 32) -> DataFrame:
-    """(key, raw, error): the model's answer to each prompt; a failed prompt gives an error row.
+#: Rows of a table of answers: the prompt's hash, and what came back.
+ANSWERS = "hash string, raw string, error string"
 
-    Persist the result before parsing it twice, or the model is asked again.
+
+def map_responses(prompts: DataFrame, respond: Respond, key: str, batch: int = 32, answers: str | None = None, wave: int = 50_000) -> DataFrame:
+    """(key, raw, error): the model's answer to each prompt; a failed prompt gives an error row, and so does a null one.
+
+    Answers are kept as a table, by the prompts' hashes, in the folder ``answers`` (by
+    default a new one in the shared folder), and the result reads that table:
+    however often it is read, and however many keys have one prompt, the model is
+    asked once.  A later call with the same folder asks what has no answer there yet,
+    which includes prompts that failed.  Prompts are asked in waves of about ``wave``,
+    each of them saved before the next: a lost executor costs its part of one wave.
+    Use one folder for one model.
     """
+    spark = prompts.sparkSession
+    path = answers or new_path(spark, "answers")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -64,6 +77,8 @@ def map_responses(prompts: DataFrame, respond: Respond, key: str, batch: int = 3
                 asked = part["prompt"].tolist()
                 try:
                     raw, errors = respond(asked), [None] * len(asked)
+                    if len(raw) != len(asked):
+                        raise ValueError(f"{len(raw)} answers to {len(asked)} prompts")
                 except Exception:
                     raw, errors = [], []
                     for prompt in asked:
@@ -73,9 +88,21 @@ def map_responses(prompts: DataFrame, respond: Respond, key: str, batch: int = 3
                         except Exception as e:
                             raw.append(None)
                             errors.append(str(e))
-                yield pd.DataFrame({key: part[key], "raw": raw, "error": errors})
-
-    return prompts.select(key, "prompt").mapInPandas(run, f"{key} {prompts.schema[key].dataType.simpleString()}, raw string, error string")
+                yield pd.DataFrame({"hash": part["hash"], "raw": raw, "error": errors})
+
+    held = stored(prompts.select(key, "prompt", F.sha2("prompt", 256).alias("hash")), "prompts")
+    todo = held.where("prompt is not null").groupBy("hash").agg(F.any_value("prompt").alias("prompt"))
+    if path_exists(spark, path):
+        todo = todo.join(spark.read.schema(ANSWERS).parquet(path).where("raw is not null"), "hash", "left_anti")
+    todo = stored(todo, "asked")
+    waves = max(1, -(-todo.count() // wave))
+    for i in range(waves):
+        some = todo.where(F.pmod(F.xxhash64("hash"), F.lit(waves)) == i)
+        some.mapInPandas(run, ANSWERS).write.mode("append").parquet(path)
+    # An answer comes before errors of earlier calls.
+    best = spark.read.schema(ANSWERS).parquet(path).groupBy("hash").agg(F.max(F.struct(F.col("raw").isNotNull().alias("good"), "raw", "error")).alias("b"))
+    error = F.when(F.col("hash").isNull(), "there is no prompt").otherwise(F.col("b.error"))
+    return held.select(key, "hash").join(best, "hash", "left").select(key, F.col("b.raw").alias("raw"), error.alias("error"))
 
 
 def _parsed(df: DataFrame, schema: str) -> DataFrame:
@@ -152,15 +179,12 @@ def notes_counts(notes: DataFrame) -> DataFrame:
     return notes.withColumn("counts", F.struct(*(size(c).alias(c) for c in ("key_concepts", "flashcards", "viva_questions", "mcqs"))))
 
 
-def short_summary(docs: DataFrame, respond: Respond, max_length: int = 150) -> DataFrame:
-    return map_responses(docs.select("doc_id", render_short_summary(F.col("full_text"), max_length).alias("prompt")), respond, "doc_id")
+def short_summary(docs: DataFrame, respond: Respond, max_length: int = 150, answers: str | None = None) -> DataFrame:
+    return map_responses(docs.select("doc_id", render_short_summary(F.col("full_text"), max_length).alias("prompt")), respond, "doc_id", answers=answers)
 
 
-def summarize_documents(docs: DataFrame, respond: Respond, doc_ids: list | None = None) -> DataFrame:
-    """(doc_id, summary, cached, error) of the given ids, or of all: only documents without a summary go to the model; unknown ids have an error.
-
-    Persist the result before ``store_summaries``, or the model is asked again.
-    """
+def summarize_documents(docs: DataFrame, respond: Respond, doc_ids: list | None = None, answers: str | None = None) -> DataFrame:
+    """(doc_id, summary, cached, error) of the given ids, or of all: only documents without a summary go to the model; unknown ids have an error."""
     chosen, missing = docs, None
     if doc_ids is not None:
         asked = docs.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(doc_ids)], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
@@ -168,7 +192,7 @@ def summarize_documents(docs: DataFrame, respond: Respond, doc_ids: list | None
         unknown = F.concat(F.lit("Document not found: "), F.col("doc_id").cast("string"))
         missing = asked.join(docs, "doc_id", "left_anti").select("doc_id", F.lit(None).cast(docs.schema["summary"].dataType).alias("summary"), F.lit(False).alias("cached"), unknown.alias("error"))
     todo = stores.uncached(chosen).select("doc_id", render("summary", F.col("full_text")).alias("prompt"))
-    fresh = parse_summary(map_responses(todo, respond, "doc_id")).select("doc_id", "summary", F.lit(False).alias("cached"), "error")
+    fresh = parse_summary(map_responses(todo, respond, "doc_id", answers=answers)).select("doc_id", "summary", F.lit(False).alias("cached"), "error")
     held = chosen.filter(F.col("summary").isNotNull()).select("doc_id", "summary", F.lit(True).alias("cached"), F.lit(None).cast("string").alias("error"))
     out = held.unionByName(fresh)
     return out if missing is None else out.unionByName(missing)
@@ -179,44 +203,44 @@ def store_summaries(docs: DataFrame, summaries: DataFrame) -> DataFrame:
     return stores.upsert_summaries(docs, summaries.filter("not cached and summary is not null").select("doc_id", "summary"))
 
 
-def compare_documents(pairs: DataFrame, docs: DataFrame, respond: Respond) -> DataFrame:
+def compare_documents(pairs: DataFrame, docs: DataFrame, respond: Respond, answers: str | None = None) -> DataFrame:
     both = stores.pair_documents(pairs, docs).withColumn("_key", F.concat_ws("\0", "a", "b"))
     asked = both.filter("error is null").select("_key", render_compare(F.col("doc_a.full_text"), F.col("doc_b.full_text")).alias("prompt")).distinct()
-    answered = parse_comparison(map_responses(asked, respond, "_key")).withColumnRenamed("error", "_failed")
+    answered = parse_comparison(map_responses(asked, respond, "_key", answers=answers)).withColumnRenamed("error", "_failed")
     found = both.select("a", "b", "error", "_key").join(answered, "_key", "left")
     return found.withColumn("error", F.coalesce("error", "_failed")).drop("_key", "raw", "_failed")
 
 
-def suggest_questions(docs: DataFrame, respond: Respond) -> DataFrame:
+def suggest_questions(docs: DataFrame, respond: Respond, answers: str | None = None) -> DataFrame:
     asked = docs.select("doc_id", render("questions", F.col("full_text")).alias("prompt"))
-    return parse_questions(map_responses(asked, respond, "doc_id")).select("doc_id", "questions", "error")
+    return parse_questions(map_responses(asked, respond, "doc_id", answers=answers)).select("doc_id", "questions", "error")
 
 
-def study_notes(docs: DataFrame, respond: Respond) -> DataFrame:
+def study_notes(docs: DataFrame, respond: Respond, answers: str | None = None) -> DataFrame:
     asked = docs.select("doc_id", render("notes", F.col("full_text")).alias("prompt"))
-    noted = notes_counts(parse_notes(map_responses(asked, respond, "doc_id")))
+    noted = notes_counts(parse_notes(map_responses(asked, respond, "doc_id", answers=answers)))
     return docs.select("doc_id", "filename").join(noted, "doc_id").select("doc_id", "filename", "notes.*", "counts", "error")
 
 
-def cross_document(docs: DataFrame, doc_ids: list | None, respond: Respond) -> DataFrame:
+def cross_document(docs: DataFrame, doc_ids: list | None, respond: Respond, answers: str | None = None) -> DataFrame:
     """One row: number of documents, shared concepts, concepts of each file."""
     chosen = stores.select_documents(docs, doc_ids)
     asked = chosen.select("doc_id", render("concepts", F.col("full_text")).alias("prompt"))
-    own = parse_concepts(map_responses(asked, respond, "doc_id")).select("doc_id", "concepts")
+    own = parse_concepts(map_responses(asked, respond, "doc_id", answers=answers)).select("doc_id", "concepts")
     named = chosen.select("doc_id", "filename", F.unix_micros(F.col("uploaded_at").cast("timestamp")).alias("position")).join(own, "doc_id").persist()
     listing = listing_text(concept_listing(named)).select(F.lit(1).alias("one"), render("cross", F.col("listing")).alias("prompt"))
-    answer = parse_cross(map_responses(listing, respond, "one"))
+    answer = parse_cross(map_responses(listing, respond, "one", answers=answers))
     latest = named.groupBy("filename").agg(F.max_by("concepts", "position").alias("c"))
     per_document = latest.agg(F.map_from_entries(F.collect_list(F.struct("filename", "c"))).alias("m")).scalar()
     return answer.select(named.agg(F.count("*")).scalar().alias("document_count"), "shared", per_document.alias("per_document_concepts"), "error")
 
 
-def answer_questions(questions: DataFrame, chunks: DataFrame, respond: Respond, now: Column, k: int = 4) -> tuple[DataFrame, DataFrame]:
+def answer_questions(questions: DataFrame, chunks: DataFrame, respond: Respond, now: Column, k: int = 4, answers: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Answers of all questions, and history rows of those that succeeded; a failed one has no trace and no context."""
     cands, kept = retrieval.kept_hits(questions, chunks, k)
     found = retrieval.context_of(questions, cands, kept).drop("answer", "success")
     asked = questions.join(retrieval.context_pack(kept).withColumnRenamed("context", "_packed"), "qid").select("qid", render_answer(F.col("question"), F.col("_packed")).alias("prompt"))
-    raw = map_responses(asked, respond, "qid")
+    raw = map_responses(asked, respond, "qid", answers=answers)
     failed = F.concat(F.lit(FAILED), "error")
     answer = F.when(F.col("context").isNull(), retrieval.NOTHING).when(F.col("error").isNotNull(), failed).otherwise(F.col("raw"))
     out = found.join(raw, "qid", "left").withColumn("answer", answer).withColumn("success", F.col("raw").isNotNull())

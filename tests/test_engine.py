@@ -8,8 +8,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from doclake.functions import scalars as S
+from doclake.operators import neighbours as N
 from doclake.operators import retrieval as R
 from doclake.operators import stores as K
+from doclake.operators import text as X
 from doclake.operators.text import split_text
 from doclake.plans import queries as plans
 from doclake.plans import tasks
@@ -206,17 +208,6 @@ def test_approximate_neighbours(spark, sf):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
-def test_neighbours_in_many_blocks(spark, monkeypatch):
-    f = plans.fixtures(spark, DATA)
-    wanted = sorted(map(tuple, R.knn(f.questions, f.chunks, 5).select("qid", "chunk_id", "rank").collect()))
-    monkeypatch.setattr(R, "BLOCK", 2)
-    monkeypatch.setattr(R, "CHUNKS", 30)
-    assert sorted(map(tuple, R.knn(f.questions, f.chunks, 5).select("qid", "chunk_id", "rank").collect())) == wanted
-    near = {(r.qid, r.chunk_id) for r in R.knn_approx(f.questions, f.chunks, 5, recall=1.0).collect()}
-    assert len(near & {(q, c) for q, c, _ in wanted}) >= 0.9 * len(wanted)
-    assert R.knn(f.questions.limit(0), f.chunks, 5).count() == R.knn_approx(f.questions, f.chunks.limit(0), 5).count() == 0
-
-
 def test_wrong_answers_are_reported(spark):
     raw = lambda *x: spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id int, raw string")
     got = tasks.parse_summary(raw("[1, 2]", '"x"', None, "null", "words")).orderBy("id").collect()
@@ -257,3 +248,129 @@ def test_streams_read_pages_with_extract(spark, tmp_path):
 def test_retrieval_over_own_vectors(spark):
     rows = plans.queries()["q1_own_vectors"](spark, DATA).collect()
     assert rows and all(r.success and 0 < r.chunks_retrieved <= 4 and r.chunks_before_dedup <= 8 for r in rows)
+
+
+def test_numbers_of_a_group_come_from_many_tasks(spark):
+    """A million new members of one collection beside a small one; no task sorts all of them."""
+    n = 1_000_000
+    new = spark.range(n).select(F.lit("hot").alias("collection_id"), F.col("id").cast("string").alias("doc_id"), (F.lit(n) - F.col("id")).alias("position"))
+    new = new.union(spark.createDataFrame([("small", "b", 2), ("small", "a", 2), ("small", "z", 1), ("small", "z", 9), ("gone", "a", 1), (None, "a", 1), ("small", None, 1)], "collection_id string, doc_id string, position long")).repartition(5)
+    members = spark.createDataFrame([("small", "y", 7), ("small", "b", 3)], new.schema)
+    collections = spark.createDataFrame([("hot",), ("small",)], "collection_id string")
+    conf = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(conf, "2m")
+    try:
+        got = K.new_members(members, new, collections).persist()
+        hot = got.where("collection_id = 'hot'")
+        assert hot.where("position <> 999999 - cast(doc_id as long)").count() == 0 and hot.count() == n
+        assert [tuple(r) for r in got.where("collection_id = 'small'").orderBy("position").collect()] == [("small", "z", 8), ("small", "a", 9)]
+        shares = [r["count"] for r in K._ranges(new, "collection_id", "position", "doc_id").where("collection_id = 'hot'").groupBy("_range").count().collect()]
+        assert len(shares) > 2 and max(shares) < n / 2
+    finally:
+        spark.conf.unset(conf)
+
+
+def test_stream_positions_go_on_over_batches(spark, tmp_path):
+    where = {k: str(tmp_path / k) for k in ("in", "out", "cp")}
+    os.makedirs(where["in"])
+    collections = spark.createDataFrame([("c", "General")], "collection_id string, name string").withColumn("created_at", now())
+    told = []
+    for i, names in enumerate((("a", "b"), ("c",), ("d", "e", "f"))):
+        for name in names:
+            with open(f"{where['in']}/{name}.txt", "w") as file:
+                file.write(f"words of {name}")
+        jobs.stream_ingest(spark, where["in"], where["out"], where["cp"], collections).awaitTermination(120)
+        rows = spark.read.parquet(f"{where['out']}/members").collect()
+        told.append({r.doc_id: r.position for r in rows})
+        assert sorted(r.position for r in rows) == list(range(len(rows))) and {r.batch_id for r in rows} == set(range(i + 1))
+    assert told[0].items() <= told[1].items() <= told[2].items()  # nobody moves
+    # The last batch runs again, as after a crash between its writing and its commit.
+    for name in os.listdir(f"{where['cp']}/commits"):
+        if name.strip(".").split(".")[0] == "2":
+            os.remove(f"{where['cp']}/commits/{name}")
+    jobs.stream_ingest(spark, where["in"], where["out"], where["cp"], collections).awaitTermination(120)
+    again = {r.doc_id: r.position for r in spark.read.parquet(f"{where['out']}/members").collect()}
+    assert again == told[2] and spark.read.parquet(f"{where['out']}/documents").count() == 6
+    # Many small batches in one run, into a collection that has to be made.
+    jobs.stream_ingest(spark, where["in"], str(tmp_path / "out2"), str(tmp_path / "cp2"), collections.limit(0), files_per_batch=2).awaitTermination(120)
+    rows = spark.read.parquet(str(tmp_path / "out2/members")).collect()
+    assert sorted(r.position for r in rows) == list(range(6)) and len({r.collection_id for r in rows}) == 1 and len({r.batch_id for r in rows}) == 3
+
+
+def test_late_rows_are_dropped_and_replays_count_once(spark, tmp_path):
+    source = str(tmp_path / "events")
+    days = [("2024-01-05 10:00:00", 2), ("2024-01-09 10:00:00", 3), ("2024-01-05 11:00:00", 4), ("2024-01-09 11:00:00", 1)]
+    shape = "timestamp timestamp"
+
+    def run():
+        stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(source)
+        jobs.stream_daily_counts(stream, str(tmp_path / "days"), str(tmp_path / "cp")).awaitTermination(120)
+        return {str(r.day): r.n for r in jobs.daily_counts(spark, str(tmp_path / "days")).collect()}
+
+    for i, (at, n) in enumerate(days):
+        spark.range(n).select(F.lit(at).cast("timestamp").alias("timestamp")).coalesce(1).write.mode("append").parquet(source)
+        got = run()
+        assert got == {"2024-01-05": 2} | ({"2024-01-09": 3} if i else {}) | ({"2024-01-09": 4} if i == 3 else {})  # four rows of the fifth come too late
+    assert run() == {"2024-01-05": 2, "2024-01-09": 4}
+
+
+def counting(path):
+    def respond(prompts):
+        with open(path, "a") as log:
+            log.write("".join(f"{p}\n" for p in prompts))
+        if any("FAIL" in p for p in prompts):
+            raise RuntimeError("no")
+        return [p.upper() for p in prompts]
+
+    return respond
+
+
+def test_each_prompt_is_asked_once(spark, tmp_path):
+    log, kept = str(tmp_path / "log"), str(tmp_path / "answers")
+    rows = [(i, f"prompt {i % 40}") for i in range(300)] + [(900, None), (901, "")]
+    prompts = spark.createDataFrame(rows, "id int, prompt string").repartition(5)
+    asked = lambda: sorted(open(log).read().split("\n")[:-1])  # noqa: E731, SIM115
+    for wave in (7, 50_000):
+        got = tasks.map_responses(prompts, counting(log), "id", answers=kept, wave=wave)
+        for _ in range(2):  # read twice
+            assert {r.id: r.raw for r in got.collect()} == {i: None if p is None else p.upper() for i, p in rows}
+            assert {r.id for r in got.where("error is not null").collect()} == {900}
+        assert asked() == sorted({p for _, p in rows if p is not None})
+    # More prompts: only the new ones; one that failed is asked again by the next call.
+    more = prompts.union(spark.createDataFrame([(1000, "new"), (1001, "FAIL")], prompts.schema))
+    before = len(asked())
+    got = {r.id: (r.raw, r.error) for r in tasks.map_responses(more, counting(log), "id", answers=kept).collect()}
+    assert got[1000] == ("NEW", None) and got[1001] == (None, "no") and set(asked()[:]) >= {"new", "FAIL"}
+    assert all(p in ("new", "FAIL") for p in open(log).read().split("\n")[before:-1])  # noqa: SIM115
+    cured = lambda ps: [p.lower() for p in ps]
+    got = {r.id: (r.raw, r.error) for r in tasks.map_responses(more, cured, "id", answers=kept).collect()}
+    assert got[1001] == ("fail", None) and got[1000] == ("NEW", None) and got[3] == ("PROMPT 3", None)
+    assert tasks.map_responses(prompts.limit(0), cured, "id").count() == 0
+
+
+def test_summaries_are_asked_once_through_store(spark, tmp_path):
+    log = str(tmp_path / "log")
+    docs = spark.createDataFrame([("a", "one"), ("b", "two"), ("c", "one")], "doc_id string, full_text string").withColumn("summary", F.lit(None).cast(tasks.schemas.SUMMARY))
+    fresh = tasks.summarize_documents(docs, counting(log))
+    held = tasks.store_summaries(docs, fresh)
+    assert {r.summary.executive_summary[:9] for r in held.collect()} == {"SUMMARISE"} and fresh.where("cached").count() == 0
+    assert sum(line.startswith("Summarise") for line in open(log)) == 2  # noqa: SIM115
+
+
+def test_shared_concepts_as_rows_and_examples(spark):
+    rows = [(f"f{i:02d}", "all") for i in range(30)] * 2 + [("a", "two"), ("b", "two"), ("a", "one"), (None, "all"), ("a", None)]
+    concepts = spark.createDataFrame(rows, "filename string, concept string")
+    files = X.concept_files(concepts)
+    assert files.count() == 32 and {(r.concept, r.n) for r in files.collect()} == {("all", 30), ("two", 2)}
+    few = X.shared_concepts(concepts, 3).collect()
+    assert [(r.concept, r.found_in, r.n) for r in few] == [("all", ["f00", "f01", "f02"], 30), ("two", ["a", "b"], 2)]
+    assert [len(r.found_in) for r in X.shared_concepts(concepts).collect()] == [30, 2]
+
+
+def test_collection_rows(spark):
+    docs = spark.createDataFrame([("a", "f", "t"), ("b", "g", "t")], "doc_id string, filename string, full_text string")
+    members = spark.createDataFrame([("c", "b", 0), ("c", "zz", 1), ("c", "a", 2)], "collection_id string, doc_id string, position long")
+    collections = spark.createDataFrame([("c", "n"), ("e", "n")], "collection_id string, name string")
+    assert [(r.position, r.document.doc_id) for r in K.collection_members(collections, members, docs).orderBy("position").collect()] == [(0, "b"), (2, "a")]
+    got = {r.collection_id: [d.doc_id for d in r.documents] for r in K.collection_documents(collections, members, docs).collect()}
+    assert got == {"c": ["b", "a"], "e": []}

@@ -23,13 +23,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 ROW = "row_key"
+#: What a key made here says in its column's metadata, which Parquet keeps: a column of that name alone is not trusted.
+OWN = {"corpus_pipeline": "key of each row"}
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a key of their own, written so that each read gives the same ones."""
-    if ROW in docs.columns:
+    """The rows with a key of their own, written so that each read gives the same ones; a column of the caller's with that name is dropped as others are."""
+    if ROW in docs.columns and docs.schema[ROW].metadata == OWN:
         return docs
-    return common.written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "zstd")
+    return common.written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW, metadata=OWN)), "zstd")
 
 
 def _chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:

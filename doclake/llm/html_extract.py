@@ -28,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import escape, unescape
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from doclake.llm import common
 
 SAMPLE, VARIANTS, TREES, DEPTH, RATE, BINS = 100, 3, 30, 5, 0.3, 32
+#: Elements that are read before they are judged together, and elements whose features are held at a time.
+NODES, SLICE = 20_000, 8_192
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 _RAW = re.compile(r"script|style|textarea|title|xmp|iframe|noembed|noframes", re.I)
@@ -156,9 +159,8 @@ def parse(html: str) -> tuple[Node, list[Node]]:
     return root, order
 
 
-def features(order: list[Node]) -> np.ndarray:
-    """A row for each element."""
-    rows = []
+def feature_rows(order: list[Node]) -> Iterator[list]:
+    """The features of each element, in page order."""
     page = max(1, order[0].letters)
     above: dict[int, int] = {}  # attribute groups of ancestors
     beside: dict[int, tuple[list[Node], Counter[str], dict[int, int]]] = {}  # for each parent, its child elements
@@ -172,15 +174,27 @@ def features(order: list[Node]) -> np.ndarray:
         peers, tags, nth = beside[id(up)] if up else none
         k = nth.get(id(node), 0)
         letters = max(1, node.letters)
-        rows.append([
+        yield [
             node.depth, node.letters, node.linked / letters, node.letters / node.nodes, node.paragraphs, node.nodes, node.own,
             100 * node.marks / letters, node.letters / page, node.begin / page, (node.begin + node.letters) / page,
             node.place, len(peers), tags[node.tag], node.letters / max(1, up.letters) if up else 1.0, up.linked / max(1, up.letters) if up else 0.0,
             peers[k - 1].letters if k else -1, peers[k + 1].letters if k + 1 < len(peers) else -1, (up.letters - up.own) / max(1, len(peers)) if up else 0, up.paragraphs if up else 0,
             _TAGS.index(up.tag) if up and up.tag in _TAGS else -1, *(node.tag == t for t in _TAGS),
             *(node.groups >> g & 1 for g in range(len(_ATTRIBUTE_WORDS))), *(over >> g & 1 for g in range(len(_ATTRIBUTE_WORDS))), *(node.path >> t & 1 for t in range(len(_PATH_TAGS))),
-        ])
-    return np.array(rows, dtype=np.float64)
+        ]
+
+
+def features(order: list[Node]) -> np.ndarray:
+    """A row for each element."""
+    return np.array(list(feature_rows(order)), dtype=np.float64)
+
+
+def scores(model: Trees, pages: list[list[Node]]) -> list[np.ndarray]:
+    """Log-odds of each element of some pages; the features of ``SLICE`` elements are held at a time."""
+    rows, parts = chain.from_iterable(map(feature_rows, pages)), []
+    while some := list(islice(rows, SLICE)):
+        parts.append(model.log_odds(np.array(some, dtype=np.float64)))
+    return np.split(np.concatenate(parts), np.cumsum([len(order) for order in pages])[:-1])
 
 
 class Trees:
@@ -237,7 +251,9 @@ class Trees:
         return value[at]
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
-        binned = np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T, strict=True)])
+        binned = np.empty(x.shape, dtype=np.int16)
+        for k, e in enumerate(self.edges):
+            binned[:, k] = np.searchsorted(e, x[:, k], side="left")
         return self.start + sum(self._leaf(t, binned) for t in self.trees)
 
 
@@ -420,13 +436,17 @@ def extract(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees = [parse(h or "") for h in batch.column(len(keys)).to_pylist()]
-            if not trees:
-                continue
-            ends = np.cumsum([len(order) for _, order in trees])
-            scores = np.split(model.value.log_odds(np.concatenate([features(order) for _, order in trees])), ends[:-1])
-            texts = ["\n\n".join(blocks_of(root, kept(order, s))) for (root, order), s in zip(trees, scores, strict=True)]
-            yield pa.record_batch([*(batch.column(i) for i in range(len(keys))), pa.array(texts, pa.string())], names=[*keys, "text"])
+            at, held, nodes = 0, [], 0
+            for i, h in enumerate(batch.column(len(keys))):
+                held.append(parse(h.as_py() or ""))
+                nodes += len(held[-1][1])
+                if nodes < NODES and i + 1 < len(batch):
+                    continue
+                found = scores(model.value, [order for _, order in held])
+                texts = ["\n\n".join(blocks_of(root, kept(order, s))) for (root, order), s in zip(held, found, strict=True)]
+                rows = batch.slice(at, len(held))
+                yield pa.record_batch([*(rows.column(k) for k in range(len(keys))), pa.array(texts, pa.string())], names=[*keys, "text"])
+                at, held, nodes = i + 1, [], 0
 
     schema = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in keys)
     return pages.select(*keys, html).mapInArrow(run, f"{schema}, text string")

@@ -65,8 +65,12 @@ def join_parts(content: Column) -> Column:
 
 
 def utc_iso(ts: Column) -> Column:
-    """ISO-8601 text of a timestamp; the session's time zone has to be UTC."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    """ISO-8601 text of a timestamp in UTC, whatever the session's time zone is."""
+    micros = F.unix_micros(ts)
+    part = F.pmod(micros, F.lit(1_000_000))
+    seconds = ((micros - part) / 1_000_000).cast("decimal(18,6)")  # exact below 2**53 microseconds
+    wall = (F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)).cast("string")
+    return F.concat(F.replace(wall, F.lit(" "), F.lit("T")), F.lit("."), F.lpad(part.cast("string"), 6, "0"), F.lit("+00:00"))
 
 
 def cap_questions(questions: Column, count: int = 5) -> Column:

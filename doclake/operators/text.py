@@ -16,6 +16,8 @@ from doclake.functions import scalars as S
 from doclake.sources.shared import stored
 
 SEPARATORS = ("\n\n", "\n", " ", "")
+#: Terms, of 100 letters each, that are broadcast at most.
+OFTEN = 20_000
 
 
 def assemble_full_text(pages: DataFrame) -> DataFrame:
@@ -137,8 +139,8 @@ def top_concepts(docs: DataFrame, n: int = 15, max_chars: int | None = None) ->
     total = docs.agg(F.count("*")).scalar()
     weight = F.round(F.col("tf") * F.ln((total + 1) / (F.col("df") + 1)), 6)
     best = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term")
-    # Terms of one document in a hundred are broadcast, as a hundred times the terms of a mean document at most; others make small groups.
-    often = F.broadcast(df.where(F.col("df") * 100 >= total).withColumnRenamed("df", "_often"))
+    # The terms of most documents, ``OFTEN`` at most, are broadcast; others make small groups.
+    often = F.broadcast(df.where((F.col("df") * 100 >= total) & (F.length("term") <= 100)).orderBy(F.desc("df"), "term").limit(OFTEN).withColumnRenamed("df", "_often"))
     known = tf.join(often, "term", "left")
     rare = known.where("_often is null").drop("_often").join(df, "term")
     counted = known.where("_often is not null").withColumnRenamed("_often", "df").unionByName(rare)

@@ -557,8 +557,8 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
         "SELECT doc_id, filename, md5('" + tasks.TEMPLATES["notes"][0] + "' || substr(full_text, 1, 12000)) AS summary, CAST(1 AS INTEGER) AS n_viva, CAST(NULL AS VARCHAR) AS error FROM docs",
     ),
     "f10_cross_document": (
-        lambda f: tasks.cross_document(f.docs, list(range(40)), _cross_digests).select("document_count", F.array_join(F.transform("shared", lambda c: c["concept"]), ",").alias("shared"), F.size("per_document_concepts").alias("n_files"), F.array_join(F.array_sort(F.transform(F.map_entries("per_document_concepts"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+")))), ",").alias("per_document"), "error"),
-        "WITH_MORE own AS (SELECT filename, doc_id, md5('" + tasks.TEMPLATES["concepts"][0] + "' || substr(full_text, 1, 6000)) AS c FROM docs WHERE doc_id < 40), per AS (SELECT filename, min(doc_id) AS p, max_by(c, doc_id) AS c FROM own GROUP BY 1) SELECT (SELECT count(*) FROM own) AS document_count, (SELECT md5('" + tasks.TEMPLATES["cross"][0] + "' || string_agg('Document: ' || filename || chr(10) || 'Concepts: ' || c, chr(10) || chr(10) ORDER BY p, filename)) FROM per) AS shared, CAST((SELECT count(*) FROM per) AS INTEGER) AS n_files, (SELECT string_agg(filename || '=' || c, ',' ORDER BY filename || '=' || c) FROM per) AS per_document, CAST(NULL AS VARCHAR) AS error",
+        lambda f: tasks.cross_document(f.docs, None, _cross_digests).select("document_count", F.array_join(F.transform("shared", lambda c: c["concept"]), ",").alias("shared"), F.size("per_document_concepts").alias("n_files"), F.array_join(F.array_sort(F.transform(F.map_entries("per_document_concepts"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+")))), ",").alias("per_document"), "error"),
+        "WITH_MORE own AS (SELECT filename, doc_id, md5('" + tasks.TEMPLATES["concepts"][0] + "' || substr(full_text, 1, 6000)) AS c FROM docs), per AS (SELECT filename, min(doc_id) AS p, max_by(c, doc_id) AS c FROM own GROUP BY 1) SELECT (SELECT count(*) FROM own) AS document_count, (SELECT md5('" + tasks.TEMPLATES["cross"][0] + "' || string_agg('Document: ' || filename || chr(10) || 'Concepts: ' || c, chr(10) || chr(10) ORDER BY p, filename)) FROM per) AS shared, CAST((SELECT count(*) FROM per) AS INTEGER) AS n_files, (SELECT string_agg(filename || '=' || c, ',' ORDER BY filename || '=' || c) FROM per) AS per_document, CAST(NULL AS VARCHAR) AS error",
     ),
     "q1_own_vectors": (
         lambda f: _retrieve(_own_vectors(f)).select("qid", "chunks_retrieved", "chunks_before_dedup", "success", "items"),

@@ -374,3 +374,22 @@ def test_collection_rows(spark):
     assert [(r.position, r.document.doc_id) for r in K.collection_members(collections, members, docs).orderBy("position").collect()] == [(0, "b"), (2, "a")]
     got = {r.collection_id: [d.doc_id for d in r.documents] for r in K.collection_documents(collections, members, docs).collect()}
     assert got == {"c": ["b", "a"], "e": []}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_utc_text_in_any_session(spark, zone):
+    kept = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        at = {"2024-01-05T00:00:00.000000+00:00": 1704412800000000, "2024-11-03T05:30:00.000001+00:00": 1730611800000001, "2024-11-03T06:30:00.999999+00:00": 1730615400999999, "1969-12-31T23:59:59.500000+00:00": -500000, "2024-03-10T07:30:00.000000+00:00": 1710055800000000}
+        rows = spark.createDataFrame(list(at.items()), "wanted string, micros long").select("wanted", S.utc_iso(F.timestamp_micros("micros")).alias("t"))
+        assert all(r.wanted == r.t for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
+
+
+def test_frequent_terms_beyond_those_that_are_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(["common", "other", f"word{'x' * (i % 7)}", "letters" * 20])) for i in range(60)] + [(60, None)], "doc_id long, full_text string")
+    wanted = sorted(map(tuple, X.top_concepts(docs).collect()))
+    monkeypatch.setattr(X, "OFTEN", 1)
+    assert sorted(map(tuple, X.top_concepts(docs).collect())) == wanted and len(wanted) == 240

@@ -116,3 +116,16 @@ def test_a_caller_s_own_row_key_is_not_trusted(spark):
     first = common.written(corpus_pipeline.near_dedup(spark, docs, ""))
     assert corpus_pipeline._keyed(first) is first
     assert corpus_pipeline.pii(spark, first, "").count() == corpus_pipeline.packing(spark, first, "").where("start = 0").count() == 3
+
+
+def test_without_labels_all_documents_are_counted(spark):
+    """The bound on labelled documents plays no part; neither do labels of other documents."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    verdict = lambda labels, rules: {r.doc_id: (r.kept, round(r.bits_per_byte, 6)) for r in quality.quality_rules(docs, labels, rules).collect()}
+    none = spark.createDataFrame([(-5, 1), (None, 1)], "doc_id long, quality int")
+    whole = verdict(None, quality.Rules())
+    assert whole == verdict(None, quality.Rules(sample=1, sample_bytes=100)) == verdict(none, quality.Rules())
+    few = verdict(None, quality.Rules(most_grams=2_000))  # only the rarest n-grams go
+    assert len(whole) == 1_000 and np.mean([abs(whole[i][1] - few[i][1]) for i in whole]) < 2
+    kept = sum(k for k, _ in whole.values())
+    assert 500 < kept < 1_000

@@ -13,8 +13,9 @@ outside the largest (strays) are compared with those of other components, so
 each pair that shares a band is either compared or joined already.  In large
 bands this is done block by block, without a row for each pair.
 
-A link of similarity 0.8 shares none of the 68 bands of 7 bins with a
-probability of 1.1e-7; one of 0.3 shares one with a probability of 1.5 %.
+A link of similarity 0.8 shares none of the 40 bands of 5 bins with a
+probability of 1.3e-7; a pair of similarity 0.5 shares one with a probability of
+72 %, one of 0.3 with 9 %.
 
 Nulls: a null or empty text has an empty set and is linked with nothing.  Ids
 should be unique and not null; repeated ids are judged on their united rows'

@@ -241,7 +241,8 @@ def test_phrases_brute_force(spark, longest, least, top, monkeypatch):
     docs = spark.createDataFrame([(a, b, 1) for a, b in rows], "lang string, text string, n int").repartition(4)
     wanted = phrases(rows, top, longest, least)
     assert wanted
-    for vocabulary_size, hot, tasks in ((1 << 20, 10**6, 10**6), (1 << 20, 40, 300), (6, 40, 300), (0, 10**6, 700)):
+    settings = ((1 << 20, 10**6, 10**6), (1 << 20, 40, 300), (6, 40, 300), (0, 10**6, 700))
+    for vocabulary_size, hot, tasks in settings if (longest, least) == (3, 10) else settings[2:3]:
         monkeypatch.setattr(collocations, "VOCABULARY", vocabulary_size)
         monkeypatch.setattr(collocations, "HOT", hot)
         monkeypatch.setattr(collocations, "SORTED", tasks)

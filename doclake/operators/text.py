@@ -132,9 +132,27 @@ def _start(text: str, max_chars: int | None) -> Column:
     return F.col(text) if max_chars is None else S.truncate(F.col(text), max_chars)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows of an id and an array of terms: how often each term is in it."""
+    for whole in batches:
+        for at in range(0, len(whole), 1_000):
+            batch = whole.slice(at, 1_000)
+            rows = np.repeat(np.arange(len(batch)), pc.list_value_length(batch["terms"]).fill_null(0).to_numpy())
+            coded = batch["terms"].flatten().dictionary_encode()
+            n = max(1, len(coded.dictionary))
+            key, tf = np.unique(rows * n + coded.indices.to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(key // n)), coded.dictionary.take(pa.array(key % n)), pa.array(tf.astype(np.int64))], names=["doc_id", "term", "tf"])
+
+
+def term_counts(docs: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """(doc_id, term, tf): how often each term is in each document (doc_id, full_text); counted where the document is, without a shuffle."""
+    rows = docs.select("doc_id", S.terms(_start("full_text", max_chars)).alias("terms"))
+    return rows.mapInArrow(_counted, f"doc_id {dict(rows.dtypes)['doc_id']}, term string, tf long")
+
+
 def top_concepts(docs: DataFrame, n: int = 15, max_chars: int | None = None) -> DataFrame:
-    """(doc_id, term, weight, rank): terms of highest tf-idf; ties by term."""
-    tf = docs.select("doc_id", F.explode(S.terms(_start("full_text", max_chars))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """(doc_id, term, weight, rank): terms of highest tf-idf; ties by term.  Ids are unique."""
+    tf = stored(term_counts(docs, max_chars), "term_counts")  # read twice
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*")).scalar()
     weight = F.round(F.col("tf") * F.ln((total + 1) / (F.col("df") + 1)), 6)

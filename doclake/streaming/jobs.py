@@ -36,7 +36,8 @@ def stream_ingest(
     before left every collection (``positions``) and writes where it leaves them
     itself, a row a collection.  A replayed batch reads the same state again, as
     it looks at batches before its own alone.  All batches go to the collection
-    that is the oldest one at the first.  ``extract`` finds the pages of .pdf and
+    that is the oldest one when the stream is started; with an empty table each start
+    makes a new one, so give a table that has one.  ``extract`` finds the pages of .pdf and
     .docx files; without it these are rejected.
     """
     home = stores.default_collection(collections, F.current_timestamp()).persist()  # a new one gets a random id: once

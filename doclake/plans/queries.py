@@ -18,7 +18,7 @@ from doclake.plans import tasks
 from doclake.plans.ingest import ingest, with_vectors
 from doclake.sources import files
 from doclake.sources.shared import new_path
-from doclake.streaming.jobs import daily_counts, stream_daily_counts
+from doclake.streaming.jobs import daily_counts, stream_daily_counts, stream_ingest
 
 #: Section words that occur in the given texts.
 KEYWORDS = ("tion", "the", "que")
@@ -232,6 +232,17 @@ def _text_files(f: SimpleNamespace) -> str:
     return out
 
 
+def _stream_ingested(f: SimpleNamespace) -> DataFrame:
+    """The text files ingested by a stream in about three batches; ``placed``: all their members follow each other without gaps or repeats."""
+    spark, n = f.raw.sparkSession, f.raw.select(F.floor(F.col("doc_id") / 50)).distinct().count()
+    out, state = new_path(spark, "ingested"), new_path(spark, "ingested-state")
+    stream_ingest(spark, _text_files(f), out, state, f.collections, files_per_batch=max(1, -(-n // 3))).awaitTermination()
+    members = spark.read.parquet(f"{out}/members")
+    whole = members.agg(((F.count("*") == n) & (F.countDistinct("position") == n) & (F.min("position") == 0) & (F.max("position") == n - 1)).alias("x")).scalar()
+    docs = spark.read.parquet(f"{out}/documents").join(members.select("doc_id"), "doc_id")
+    return docs.select(_file_number("file_path"), "full_text", "chunk_count", whole.alias("placed"))
+
+
 def _file_number(source: str) -> Column:
     return F.regexp_extract(source, "file=([0-9]+)", 1).cast("long").alias("file")
 
@@ -422,6 +433,10 @@ TABLE: dict[str, tuple[Rows, str | None]] = {
         lambda f: X.chunk_recursive(f.docs.select("doc_id", F.col("file_path").alias("source"), F.lit(None).cast("int").alias("page"), F.col("full_text").alias("text")), separators=("",)).select("doc_id", "pos", "content"),
         r"WITH_MORE cut AS (SELECT doc_id, i, regexp_replace(regexp_replace(substr(full_text, CAST(i * 800 + 1 AS BIGINT), 1000), '^[\t-\r\x1c-\x20\x{85}\p{Z}]+', ''), '[\t-\r\x1c-\x20\x{85}\p{Z}]+$', '') AS content FROM (SELECT doc_id, full_text, unnest(range(1 + greatest(0, length(full_text) - 201) // 800)) AS i FROM docs)) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, content FROM cut WHERE content <> ''",
     ),
+    "h1_stream_ingest": (
+        lambda f: _stream_ingested(f),
+        r"WITH_MORE files AS (SELECT doc_id // 50 AS doc_id, regexp_replace(string_agg(text || chr(10), '' ORDER BY doc_id), '\r\n?', chr(10), 'g') AS full_text FROM documents GROUP BY 1), " + _chunked_sql("files") + " SELECT doc_id AS file, full_text, CAST(coalesce(n, 0) AS INTEGER) AS chunk_count, true AS placed FROM files LEFT JOIN (SELECT doc_id, count(*) AS n FROM cut GROUP BY 1) USING (doc_id)",
+    ),
     "h2_stream_queries_per_day": (
         lambda f: _streamed_days(f),
         "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1",

@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from doclake.llm import common
 
 #: Bytes of text that are counted together before they are sent.
-UNIT = 8 << 20
+UNIT = 4 << 20
 #: Words with short numbers at most (16 bytes each are broadcast).
 VOCABULARY = (1 << 21) - 2
 #: Suffixes that a task sorts, and occurrences beyond which a word is routed with the next one.
-SORTED, HOT = 2_000_000, 100_000
+SORTED, HOT = 1_000_000, 100_000
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -215,6 +215,8 @@ def _phrase_counts(docs: DataFrame, numbers: Numbers, longest: int, least: int,
             found.append(np.array(rows))
             weights.append(batch.column(1).to_numpy().astype(np.int64))
         digits, weight = np.concatenate(found, axis=1), np.concatenate(weights)
+        found.clear()
+        weights.clear()
         for words, at, n in equal_partitions(digits, weight, least):
             phrase = digits[:words, at]
             marked = phrase[-1] == mark

@@ -82,8 +82,17 @@ def test_vectors_far_from_the_origin_are_measured_by_value(spark):
     chunks = [(f"c{i}", (base + rng.integers(0, 64, 4) / 64).tolist(), i) for i in range(200)]
     questions = [(i, (base + rng.integers(0, 2, 4)).tolist(), "") for i in range(10)]
     q, c = spark.createDataFrame(questions, Q), spark.createDataFrame(chunks, C)
-    for cells in (None, 8):
+    for cells in (None, 8, 60):
         assert result(R.knn(q, c, 5, cells=cells)) == brute(questions, chunks, 5, "l2sq")
+    # No bound is above a distance that it bounds, whatever the offset.
+    for shift in (0.0, 1e6, 1e9):
+        x = rng.normal(0, 1e-3, (300, 4)) + rng.integers(0, 5, (300, 1)) + shift
+        own = N.Cells("l2sq", {4: N._fit(x, 12)}, {})
+        cell, far = own.assign(x)
+        own.held[4] = [(int(k), int((cell == k).sum()), far[cell == k].min(), far[cell == k].max()) for k in np.unique(cell)]
+        ids, _, _, least = own.bounds(x[:50])
+        true = np.sqrt(((x[:50, None] - x[None]) ** 2).sum(-1))
+        assert all((least[:, j] <= true[:, cell == k].min(axis=1)).all() for j, k in enumerate(ids.tolist()))
 
 
 def test_approximate_search_reads_few_rows_of_clustered_vectors(spark):

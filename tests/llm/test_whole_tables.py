@@ -129,3 +129,56 @@ def test_without_labels_all_documents_are_counted(spark):
     assert len(whole) == len(few) == 1_000 and np.mean([few[i][1] - whole[i][1] for i in whole]) > 0
     kept = sum(k for k, _ in whole.values())
     assert 500 < kept < 1_000
+
+
+def by_all(texts, good):
+    """Bits per byte of each text by all n-grams of the good texts in the other half."""
+    raw = [t.encode() for t in texts]
+    half, bits = quality._half(raw), np.zeros(len(raw))
+    for h in (0, 1):
+        codes = np.concatenate([quality._codes(t) for t, of, g in zip(raw, half, good, strict=True) if g and of != h])
+        model = quality.kneser_ney(*np.unique(codes, return_counts=True))
+        for i in np.flatnonzero(half == h):
+            bits[i] = quality.gram_bits(model, quality._codes(raw[i])).sum() / len(raw[i])
+    return bits
+
+
+def test_all_good_documents_are_counted(spark):
+    """Of 6,000 labelled documents and two of a megabyte and more each one counts, whether tasks hold the model or ask for it."""
+    rng = np.random.default_rng(17)
+    letters = np.array(list("abcdefghijklmnop"))
+    texts = [" ".join("".join(rng.choice(letters, 4)) for _ in range(8)) for _ in range(6_000)]
+    texts += [" ".join("".join(x) for x in rng.choice(letters, (220_000, 4))), " ".join("".join(x).upper() for x in rng.choice(letters, (220_000, 4)))]
+    texts += [f"{texts[i]} {texts[i + 1].upper()} {'own words ' * 30}" for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i < 6_002)) for i in range(6_100)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(6)
+    wanted = by_all(texts, [i < 6_002 for i in range(len(texts))])
+    kept = []
+    for held in (1 << 21, 200_000, 3_000):  # all n-grams, or the shorter ones of them
+        got = {r.doc_id: r for r in quality.quality_rules(docs, labels, quality.Rules(held=held)).collect()}
+        assert len(got) == len(texts) and np.allclose([got[i].bits_per_byte for i in range(len(texts))], wanted, atol=1e-5)
+        kept.append([got[i].kept for i in range(len(texts))])
+    assert kept[0] == kept[1] == kept[2]
+
+
+def test_good_documents_by_bits_of_ids(spark, monkeypatch):
+    """Any ids, negative, far apart, repeated or null, by a broadcast and by a shuffle."""
+    ids = [0, 1, 63, 64, 65, -1, -64, -65, 2**62, -(2**63), 2**63 - 1, 1, None]
+    docs = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)] + [(62, "no"), (-2, "no"), (2, "no")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in ids] + [(1, 1), (2, 0), (62, None)], "doc_id long, quality int")
+    for rows in (1 << 20, 0):
+        monkeypatch.setattr(quality, "GOOD_ROWS", rows)
+        got = sorted(r.text for r in quality.good_documents(docs, labels, "doc_id", "text").collect())
+        assert got == sorted(f"text {n}" for n in range(len(ids) - 1))
+
+
+def test_models_that_tasks_ask_for_on_repeated_and_odd_rows(spark):
+    """Null and repeated ids, null and empty texts and a text of many unknown n-grams get the same rows from a model that is held and from one that is not."""
+    rng = np.random.default_rng(18)
+    odd = "".join(map(chr, rng.integers(33, 2_000, 150_000)))
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 60)), "en") for i in range(40)]
+    rows += [(None, rows[0][1], None), (3, rows[3][1], "en"), (3, None, "en"), (None, "", "en"), (41, odd, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    result = lambda held: sorted(((*r[:7], round(r.bits_per_byte, 4), *r[8:]) for r in quality.quality_rules(docs, labels, quality.Rules(held=held)).collect()), key=str)
+    assert result(1 << 21) == result(10) and len(result(10)) == len(rows)

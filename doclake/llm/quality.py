@@ -21,7 +21,8 @@ Nulls: a null text is empty and fails the base rules; a null language is a
 language of its own.  Documents of fewer than ``least_words`` words don't shape
 the bands.  Labels that are null, or of no document, count for nothing; without
 any good label Spark counts the n-grams of all documents, and the model is made
-of the ``most_grams`` most frequent ones; without any text each byte has 8 bits.
+of all of them, unless a caller asks for the ``most_grams`` most frequent ones;
+without any text each byte has 8 bits.
 Repeated rows are judged alike.  An empty table gives no rows.
 """
 
@@ -61,7 +62,7 @@ class Rules(NamedTuple):
     sample: int | None = None  # without effect, as is the next: all good documents are counted
     sample_bytes: int | None = None
     held: int = 1 << 21  # n-grams of one length that are broadcast; of further ones there is a table
-    most_grams: int = 1 << 21  # of a model that all documents are counted for
+    most_grams: int | None = None  # of a model that all documents are counted for, if a caller wants a smaller one
 
 
 class Level(NamedTuple):
@@ -282,7 +283,7 @@ def fitted(grams: DataFrame, held: int) -> tuple[Broadcast, DataFrame | None]:
         of = F.shiftright("code", 8).alias("context")
         contexts = levels[k].groupBy("half", of).agg(F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("weight"))
         tail = F.col("code").bitwiseAND((1 << 8 * (k - 1)) - 1).alias("tail")
-        seen = levels[k].select("half", "code", "n", cut.alias("cut"), of, tail).join(contexts, ["half", "context"]).join(below, ["half", "tail"])
+        seen = levels[k].select("half", "code", "n", cut.alias("cut"), of, tail).join(contexts.hint("merge"), ["half", "context"]).join(below.hint("merge"), ["half", "tail"])
         p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("weight") * F.col("below")
         level = common.checkpointed(seen.select("half", "code", "n", p.alias("p")))
         parts.append(level.select("half", _key(F.col("code"), k).alias("key"), _bits(F.col("p")).alias("bits")))
@@ -313,7 +314,8 @@ def answered(asked: DataFrame, table: DataFrame, length: int) -> DataFrame:
     best = F.max("low")
     for k in longer:
         best = F.coalesce(bits(k, False), F.coalesce(bits(k, True), F.lit(0.0)) + best)
-    return rows.join(table, ["half", "key"], "left").groupBy("half", "code").agg(best.alias("found"))
+    # Nothing here has a bound that would allow a broadcast.
+    return rows.join(table.hint("merge"), ["half", "key"], "left").groupBy("half", "code").agg(best.alias("found"))
 
 
 def _per_doc(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -374,7 +376,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None = None, rules: Rules
     if labels is not None:
         grams = common.checkpointed(count_grams(good_documents(docs, labels, label_key or key, text)))
     if grams is None or grams.isEmpty():
-        grams = common.checkpointed(count_grams(docs, text).orderBy(F.desc("n"), "half", "code").limit(rules.most_grams))
+        counted = count_grams(docs, text)
+        grams = common.checkpointed(counted if rules.most_grams is None else counted.orderBy(F.desc("n"), "half", "code").limit(rules.most_grams))
     model, table = fitted(grams, rules.held)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,8 +405,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None = None, rules: Rules
     measured = rows = common.checkpointed(made) if table is None else common.written(made)
     if table is not None:
         asked = rows.where("code is not null").select("row", "half", "code", "n", "low")
-        added = asked.join(answered(asked, table, len(model.value[0].levels)), ["half", "code"]).groupBy("row").agg(F.sum(F.col("n") * F.col("found")).alias("added"))
-        measured = rows.where("code is null").join(added, "row", "left").withColumn("bits", F.col("bits") + F.coalesce("added", F.lit(0.0)))
+        added = asked.join(answered(asked, table, len(model.value[0].levels)).hint("merge"), ["half", "code"]).groupBy("row").agg(F.sum(F.col("n") * F.col("found")).alias("added"))
+        measured = rows.where("code is null").join(added.hint("merge"), "row", "left").withColumn("bits", F.col("bits") + F.coalesce("added", F.lit(0.0)))
     measured = measured.select(key, *counts, "lang", (F.col("bits") / F.greatest("size", F.lit(1))).alias("bits_per_byte"))
     if table is not None:
         measured = common.checkpointed(measured)

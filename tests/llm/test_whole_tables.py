@@ -182,3 +182,33 @@ def test_models_that_tasks_ask_for_on_repeated_and_odd_rows(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
     result = lambda held: sorted(((*r[:7], round(r.bits_per_byte, 4), *r[8:]) for r in quality.quality_rules(docs, labels, quality.Rules(held=held)).collect()), key=str)
     assert result(1 << 21) == result(10) and len(result(10)) == len(rows)
+
+
+@pytest.mark.skipif(not os.path.exists("corpus_pipeline.py"), reason="no pipeline")
+def test_pipeline_counts_all_good_documents(spark, tmp_path, monkeypatch):
+    """Among others one of more than a megabyte, whose words the stage's model knows."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(19)
+    letters = np.array(list("abcdefghijkl"))
+    texts = [" ".join("".join(x) for x in rng.choice(letters, (60, 4))) for _ in range(300)]
+    texts += [" ".join("".join(x).upper() for x in rng.choice(letters, (220_000, 4))), " ".join("".join(x).title() for x in rng.choice(letters, (220_000, 4)))]
+    texts += [t.upper() for t in texts[:50]]
+    spark.createDataFrame([(i, int(i < 302)) for i in range(320)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    monkeypatch.setattr(corpus_pipeline, "_chosen", lambda docs, kept: kept.join(docs.select("doc_id", corpus_pipeline.ROW), corpus_pipeline.ROW))
+    got = {r.doc_id: r.bits_per_byte for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    wanted = by_all(texts, [i < 302 for i in range(len(texts))])
+    assert len(got) > 200 and all(abs(bits - wanted[i]) < 1e-5 for i, bits in got.items())
+
+
+def test_without_labels_all_n_grams_make_the_model(spark):
+    """More than the 2,097,152 that once were the most."""
+    rng = np.random.default_rng(20)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .", dtype=np.uint8)
+    texts = [letters[rng.integers(0, 64, 9_000)].tobytes().decode() for _ in range(300)]
+    texts += [t[:4_500] + u[4_500:] for t, u in zip(texts[:20], texts[20:40], strict=True)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(4)
+    wanted = by_all(texts, [True] * len(texts))
+    got = {r.doc_id: r.bits_per_byte for r in quality.quality_rules(docs, rules=quality.Rules(held=1 << 22)).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], wanted, atol=1e-5)

@@ -11,6 +11,8 @@ from doclake.sources.shared import stored
 
 #: What is answered without any hit (fixed value).
 NOTHING = "No relevant documents found in the knowledge base."
+#: Hits, of about 100 bytes, that are broadcast at most.
+SENT = 1_000_000
 
 
 def oversample(k: int) -> int:
@@ -90,8 +92,11 @@ def context_pack(hits: DataFrame) -> DataFrame:
 
 def kept_hits(questions: DataFrame, chunks: DataFrame, k: int = 4, keywords: tuple[str, ...] = S.SECTIONS) -> tuple[DataFrame, DataFrame]:
     """Candidates after the section filter, and the hits that are shown."""
-    near = stored(knn(questions, chunks, oversample(k)), "hits")  # 2k rows a question, read several times
-    hits = chunks.select("chunk_id", "source", "page", "content").join(near, "chunk_id")
+    near = stored(knn(questions, chunks, oversample(k)), "hits")  # 2k rows a question
+    # Contents stay where they are, and are looked up once.
+    if near.count() <= SENT:
+        near = F.broadcast(near)
+    hits = stored(chunks.select("chunk_id", "source", "page", "content").join(near, "chunk_id"), "contents")
     sections = questions.select("qid", S.detect_section(F.col("question"), keywords).alias("section"))
     cands = filter_section(hits, sections)
     return cands, dedup_hits(cands, k)
